@@ -2,5 +2,5 @@
 
 
 def load():
-    from palimpsest.plans import registry, structure, text  # noqa: F401
+    from palimpsest.plans import lint, registry, revisions, structure, text  # noqa: F401
     return registry
