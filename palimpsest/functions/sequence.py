@@ -104,11 +104,14 @@ def _rows(steps):
     return [{"op": op, "a": int(a), "b": int(b)} for op, a, b in steps]
 
 
+# A NULL sequence is one that was settled without a script.
+
 @F.pandas_udf(SCRIPT)
 def script_of_values(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_rows(diff_values(list(x), list(y))) for x, y in zip(a, b)])
+    return pd.Series([None if x is None else _rows(diff_values(list(x), list(y))) for x, y in zip(a, b)], dtype=object)
 
 
 @F.pandas_udf(SCRIPT)
 def script_of_matches(n: pd.Series, m: pd.Series, i: pd.Series, j: pd.Series) -> pd.Series:
-    return pd.Series([_rows(diff_matches(int(x), int(y), p, q)) for x, y, p, q in zip(n, m, i, j)])
+    return pd.Series([None if p is None else _rows(diff_matches(int(x), int(y), p, q))
+                      for x, y, p, q in zip(n, m, i, j)], dtype=object)

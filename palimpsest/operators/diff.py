@@ -33,10 +33,11 @@ def with_scripts(df: DataFrame, a: str, b: str, name: str = "script") -> DataFra
     """Add the edit script of two array columns. Equal arrays and one-sided ones are scripted without Python."""
     plain = (F.when(F.col(a) == F.col(b), _kept_all(F.col(a))).when(F.size(a) == 0, _one_sided(F.col(b), INSERT))
              .when(F.size(b) == 0, _one_sided(F.col(a), DELETE)))
-    settled = df.withColumn(name, plain)
-    done = settled.filter(F.col(name).isNotNull())
-    open_ = settled.filter(F.col(name).isNull()).withColumn(name, SQ.script_of_values(F.col(a), F.col(b)))
-    return done.unionByName(open_)
+    # A settled row hands the core NULLs, so only what differs crosses into Python.
+    settled = df.withColumn("_plain", plain)
+    unsettled = F.col("_plain").isNull()
+    return settled.withColumn(name, F.coalesce("_plain", SQ.script_of_values(
+        F.when(unsettled, F.col(a)), F.when(unsettled, F.col(b))))).drop("_plain")
 
 
 def edits(df: DataFrame, keys: Sequence[str], script: str = "script") -> DataFrame:
@@ -134,76 +135,56 @@ def line_status(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return both.select(*keys, "i", "j", "text", status.alias("status"))
 
 
-def first_fit(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each i, in order, takes the first j still free. One document's candidates make one group."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys, "i", "j").schema)
-
-    def fit(frame):
-        used, taken, rows = set(), set(), []
-        for position, (i, j) in enumerate(zip(frame["i"], frame["j"])):
-            if i not in taken and j not in used:
-                taken.add(i)
-                used.add(j)
-                rows.append(position)
-        return frame.iloc[rows]
-
-    def sorted_fit(frame):
-        return fit(frame.sort_values(["i", "j"]).reset_index(drop=True))
-
-    return pairs.select(*keys, "i", "j").groupBy(*keys).applyInPandas(sorted_fit, schema)
-
-
-def node_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = V.PAIRING_THRESHOLD) -> DataFrame:
-    """Pair the nodes of two revisions: by exact key, k-th with k-th, then what is left by similar wording.
-
-    ``old``: keys, i, text; ``new``: keys, j, text.
-    """
-    exact = line_status(old.withColumnRenamed("i", "line_no"), new.withColumnRenamed("j", "line_no"), keys).filter(
-        "status = 'same'").select(*keys, "i", "j")
-    a, b = PR.leftovers(old, new, exact, keys)
-    alike = first_fit(PR.token_candidates(a, b, keys, threshold), keys)
-    return exact.unionByName(alike)
-
-
-def _side(name):
-    return lambda p: p[name]
-
-
-def ordered_pairs(pairs: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The steps of the script whose matches are the given pairs: what moved is removed and added.
-
-    ``pairs``: keys, i, j from 1; ``sizes``: keys, n, m.
-    """
-    listed = pairs.groupBy(*keys).agg(F.collect_list(F.struct(
-        (F.col("i") - 1).cast("int").alias("i"), (F.col("j") - 1).cast("int").alias("j"))).alias("_p"))
-    rows = sizes.join(listed, list(keys), "left")
-    identity = (F.size("_p") == F.col("n")) & (F.col("n") == F.col("m")) & F.forall("_p", lambda p: p["i"] == p["j"])
-    settled = rows.withColumn("script", F.when(identity & (F.col("n") > 0), F.transform(
-        F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.struct(F.lit(KEEP).alias("op"), i.alias("a"), i.alias("b")))))
-    done = settled.filter("script IS NOT NULL")
-    open_ = settled.filter("script IS NULL").withColumn("script", SQ.script_of_matches(
-        F.col("n").cast("int"), F.col("m").cast("int"), *[
-            F.coalesce(F.transform("_p", _side(side)), F.array().cast("array<int>")) for side in "ij"]))
-    return edits(done.unionByName(open_), keys)
+def _matched_scripts(df: DataFrame) -> DataFrame:
+    """Add the script of rows n, m, pairs (i, j from 1): what a script cannot keep in order is removed and added."""
+    n, m = F.col("n").cast("int"), F.col("m").cast("int")
+    identity = (F.size("pairs") == n) & (n == m) & F.forall("pairs", lambda p: p["i"] == p["j"])
+    plain = (F.when((n > 0) & identity, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct(
+        F.lit(KEEP).alias("op"), (k - 1).alias("a"), (k - 1).alias("b"))))
+        .when((n == 0) & (m > 0), F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda k: F.struct(
+            F.lit(INSERT).alias("op"), F.lit(0).alias("a"), (k - 1).alias("b"))))
+        .when((m == 0) & (n > 0), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct(
+            F.lit(DELETE).alias("op"), (k - 1).alias("a"), F.lit(0).alias("b")))))
+    settled = df.withColumn("_plain", plain)
+    unsettled = F.col("_plain").isNull()
+    i = F.when(unsettled, F.transform("pairs", lambda p: p["i"].cast("int") - 1))
+    j = F.when(unsettled, F.transform("pairs", lambda p: p["j"].cast("int") - 1))
+    return settled.withColumn("script", F.coalesce("_plain", SQ.script_of_matches(n, m, i, j))).drop("_plain")
+
+
+def _documents(rows: DataFrame, keys: Sequence[str], pairs: DataFrame, exact: bool) -> DataFrame:
+    """One row per document: its texts on both sides in order, and the pairs found so far."""
+    def side(name):
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("ord", "text")))), lambda s: s["text"])
+    held = F.when((F.col("side") == "old") & F.col("mate").isNotNull(), F.struct(
+        F.col("ord").alias("i"), F.col("mate").alias("j"))) if exact else F.lit(None).cast("struct<i:bigint,j:bigint>")
+    whole = rows.groupBy(*keys).agg(side("old").alias("olds"), side("new").alias("news"), F.collect_list(held).alias("_exact"))
+    found = pairs.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))).alias("_alike"))
+    return whole.join(found, list(keys), "left").select(
+        *keys, "olds", "news", F.size("olds").alias("n"), F.size("news").alias("m"),
+        F.concat("_exact", F.coalesce("_alike", F.array().cast("array<struct<i:bigint,j:bigint>>"))).alias("pairs"))
 
 
 def diff_nodes(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = V.PAIRING_THRESHOLD) -> DataFrame:
     """(keys, pos, change, i, j, old_text, new_text): same, edited, removed and added nodes in reading order.
 
-    A revision missing on one side is an empty one, so everything of the other is added or removed.
+    Nodes pair by exact text, k-th with k-th, then by similar wording, first come first served; pairs out of order
+    are a removal and an addition. Both revisions are clustered by document once; the pairing, the words and the
+    script all follow that clustering. A revision missing on one side is an empty one.
     """
-    a = old.select(*keys, F.col("line_no").alias("i"), "text")
-    b = new.select(*keys, F.col("line_no").alias("j"), "text")
-    sizes = (a.groupBy(*keys).agg(F.count("*").alias("n")).join(b.groupBy(*keys).agg(F.count("*").alias("m")), list(keys), "full")
-             .select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m")))
-    steps = ordered_pairs(node_pairs(a, b, keys, threshold), sizes, keys)
-    placed = steps.select(*keys, "pos", "op", F.when(F.col("op") != INSERT, F.col("a") + 1).cast("bigint").alias("i"),
-                          F.when(F.col("op") != DELETE, F.col("b") + 1).cast("bigint").alias("j"))
-    texts = (placed.join(a.withColumnRenamed("text", "old_text"), [*keys, "i"], "left")
-             .join(b.withColumnRenamed("text", "new_text"), [*keys, "j"], "left"))
+    rows = PR.two_sides(old, new, keys, "line_no")
+    mated = PR.mated(rows, [*keys, "text"])
+    alike = PR.fit_in_group(PR.alike_in_document(mated.filter("mate IS NULL"), keys, threshold).drop("score"), keys)
+    whole = _matched_scripts(_documents(mated, keys, alike, exact=True))
+    spelled = F.transform("script", lambda s: F.struct(
+        s["op"].alias("op"), F.when(s["op"] != INSERT, s["a"] + 1).cast("bigint").alias("i"),
+        F.when(s["op"] != DELETE, s["b"] + 1).cast("bigint").alias("j"),
+        F.when(s["op"] != INSERT, F.get("olds", s["a"])).alias("old_text"),
+        F.when(s["op"] != DELETE, F.get("news", s["b"])).alias("new_text")))
     change = (F.when(F.col("op") == DELETE, "removed").when(F.col("op") == INSERT, "added")
               .when(F.col("old_text") == F.col("new_text"), "same").otherwise("edited"))
-    return texts.select(*keys, "pos", change.alias("change"), "i", "j", "old_text", "new_text")
+    return whole.select(*keys, F.posexplode(spelled).alias("pos", "_s")).select(*keys, "pos", "_s.*").select(
+        *keys, "pos", change.alias("change"), "i", "j", "old_text", "new_text")
 
 
 def changed_beneath(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -270,18 +251,12 @@ def diff_alike(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: f
     Both sides: keys, ord from 1, text and the ``agree`` columns, which must be equal for two elements to match. With
     ``lone_pair``, a single element on each side always matches.
     """
-    a = old.select(*keys, F.col("ord").alias("i"), "text", *agree)
-    b = new.select(*keys, F.col("ord").alias("j"), "text", *agree)
-    alike = PR.token_candidates(a, b, [*keys, *agree], threshold).select(*keys, "i", "j")
-    blank = X.token_set("text")
-    empty = a.filter(F.size(blank) == 0).drop("text").join(b.filter(F.size(blank) == 0).drop("text"), [*keys, *agree]).select(*keys, "i", "j")
-    pairs = alike.unionByName(empty)
-    sizes = (a.groupBy(*keys).agg(F.count("*").alias("n")).join(b.groupBy(*keys).agg(F.count("*").alias("m")), list(keys), "full")
-             .select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m")))
+    rows = PR.two_sides(old, new, keys, "ord", agree)
+    whole = _documents(rows, keys, PR.alike_in_document(rows, keys, threshold, agree).select(*keys, "i", "j"), exact=False)
     if lone_pair:
-        single = sizes.filter("n = 1 AND m = 1").select(*keys, F.lit(1).cast("bigint").alias("i"), F.lit(1).cast("bigint").alias("j"))
-        pairs = pairs.unionByName(single).distinct()
-    return ordered_pairs(pairs, sizes, keys)
+        only = F.array(F.struct(F.lit(1).cast("bigint").alias("i"), F.lit(1).cast("bigint").alias("j")))
+        whole = whole.withColumn("pairs", F.when((F.col("n") == 1) & (F.col("m") == 1), only).otherwise(F.col("pairs")))
+    return edits(_matched_scripts(whole), keys)
 
 
 def diff_code(df: DataFrame, keys: Sequence[str], a: str = "old_text", b: str = "new_text",
@@ -301,27 +276,28 @@ def diff_code(df: DataFrame, keys: Sequence[str], a: str = "old_text", b: str =
     kept = F.col("op") == KEEP
     runs = steps.withColumn("run", F.sum(F.when(F.lag(kept).over(w).eqNullSafe(kept), 0).otherwise(1)).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    same = runs.filter(kept).select(*keys, "run", F.lit("kept").alias("action"), F.col("a").alias("i"), F.col("b").alias("j"))
-    change = runs.filter(~kept).withColumn("k", F.row_number().over(Window.partitionBy(*keys, "run", "op").orderBy("pos")))
-    gone = change.filter(F.col("op") == DELETE).select(*keys, "run", "k", F.col("a").alias("i"), F.col("text").alias("ta"))
-    come = change.filter(F.col("op") == INSERT).select(*keys, "run", "k", F.col("b").alias("j"), F.col("text").alias("tb"))
-    words = F.array_distinct(F.flatten(F.collect_list(X.token_set("text"))))
-    sides = change.groupBy(*keys, "run", "op").agg(F.count("*").alias("n"), words.alias("t"))
-    d, i = (sides.filter(F.col("op") == op).select(*keys, "run", F.col("n").alias(f"n{op}"), F.col("t").alias(f"t{op}"))
-            for op in (DELETE, INSERT))
-    rewrapped = d.join(i, [*keys, "run"]).filter(
-        (F.col("ndelete") != F.col("ninsert"))
-        & (X.jaccard(F.col("tdelete"), F.col("tinsert")) >= max(threshold, V.REWRAP_THRESHOLD))).select(
-        *keys, "run", F.lit(True).alias("_w"))
-    met = gone.join(come, [*keys, "run", "k"], "full").join(rewrapped, [*keys, "run"], "left")
-    alike = X.jaccard(X.token_set("ta"), X.token_set("tb")) >= threshold
-    action = (F.when(F.col("_w"), "rewrapped").when(F.col("i").isNotNull() & F.col("j").isNotNull() & alike, "merged"))
-    one = met.withColumn("action", action)
-    settled = one.filter("action IS NOT NULL").select(*keys, "run", "action", "i", "j")
-    apart = one.filter("action IS NULL")
-    out = apart.filter("i IS NOT NULL").select(*keys, "run", F.lit("removed").alias("action"), "i", F.lit(None).cast("int").alias("j"))
-    inn = apart.filter("j IS NOT NULL").select(*keys, "run", F.lit("added").alias("action"), F.lit(None).cast("int").alias("i"), "j")
-    return same.unionByName(settled).unionByName(out).unionByName(inn)
+    whole = runs.groupBy(*keys, "run").agg(
+        F.first(kept).alias("_kept"), F.array_sort(F.collect_list(F.struct("pos", "op", "a", "b", "text"))).alias("_s"))
+    whole = whole.withColumns({"_d": F.filter("_s", lambda s: s["op"] == DELETE), "_i": F.filter("_s", lambda s: s["op"] == INSERT)})
+    words = lambda side: F.array_distinct(F.flatten(F.transform(side, lambda s: X.token_set(s["text"]))))
+    rewrapped = ((F.size("_d") > 0) & (F.size("_i") > 0) & (F.size("_d") != F.size("_i"))
+                 & (X.jaccard(words("_d"), words("_i")) >= max(threshold, V.REWRAP_THRESHOLD)))
+
+    def row(action, i, j):
+        none = F.lit(None).cast("int")
+        return F.struct(F.lit(action).alias("action"), (none if i is None else i["a"]).alias("i"), (none if j is None else j["b"]).alias("j"))
+
+    def meet(k):
+        d, i = F.get("_d", k - 1), F.get("_i", k - 1)
+        alike = X.jaccard(X.token_set(d["text"]), X.token_set(i["text"])) >= threshold
+        return (F.when(F.col("_w"), F.array(row("rewrapped", d, i)))
+                .when(d.isNotNull() & i.isNotNull() & alike, F.array(row("merged", d, i)))
+                .otherwise(F.array_compact(F.array(F.when(d.isNotNull(), row("removed", d, None)),
+                                                   F.when(i.isNotNull(), row("added", None, i))))))
+
+    steps = F.sequence(F.lit(1), F.greatest(F.size("_d"), F.size("_i"), F.lit(1)))
+    actions = F.when(F.col("_kept"), F.transform("_s", lambda s: row("kept", s, s))).otherwise(F.flatten(F.transform(steps, meet)))
+    return whole.withColumn("_w", rewrapped).select(*keys, "run", F.explode(actions).alias("_r")).select(*keys, "run", "_r.*")
 
 
 # --- overlay ----------------------------------------------------------------------------------------------------

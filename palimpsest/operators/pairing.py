@@ -36,41 +36,97 @@ def greedy_pairs(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return reduce(DataFrame.unionByName, taken)
 
 
-def token_candidates(a: DataFrame, b: DataFrame, block: Sequence[str], minimum: float, text: str = "text") -> DataFrame:
-    """Candidate pairs inside a block with their word-set score; pairs with no word in common are left out.
+def fit_in_group(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same walk inside documents, without rounds: every i and j of a document is used once, best first.
 
-    ``a``: block, i, text; ``b``: block, j, text. Pairs come from shared words, the sets themselves stay in the row
-    once per side.
+    With no score, each i in order takes the first j still free.
     """
-    at = a.select(*block, "i", X.token_set(text).alias("t1"))
-    bt = b.select(*block, "j", X.token_set(text).alias("t2"))
-    shared = (at.select(*block, "i", F.size("t1").alias("n1"), F.explode("t1").alias("_w"))
-              .join(bt.select(*block, "j", F.size("t2").alias("n2"), F.explode("t2").alias("_w")), [*block, "_w"])
-              .groupBy(*block, "i", "j", "n1", "n2").agg(F.count("*").alias("_c")))
-    return shared.withColumn("score", F.col("_c") / (F.col("n1") + F.col("n2") - F.col("_c"))).filter(
-        F.col("score") >= minimum).select(*block, "i", "j", "score")
-
-
-def pair_by_name(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str = "name", text: str = "text") -> DataFrame:
-    """Pair rows of one name, those that read most alike first; every row of a name finds a partner while there is one.
-
-    Rows with the same set of words are matched first, k-th with k-th, which is what best-first does with them.
-    Rows that share words follow by rounds, and what is left of a name shares nothing, so its order decides.
+    scored = "score" in pairs.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+
+    def fit(frame):
+        order = ["score", "i", "j"] if scored else ["i", "j"]
+        frame = frame.sort_values(order, ascending=[c != "score" for c in order])
+        used_i, used_j, rows = set(), set(), []
+        for position, (i, j) in enumerate(zip(frame["i"], frame["j"])):
+            if i not in used_i and j not in used_j:
+                used_i.add(i)
+                used_j.add(j)
+                rows.append(position)
+        return frame.iloc[rows]
+
+    return pairs.groupBy(*keys).applyInPandas(fit, schema)
+
+
+def two_sides(a: DataFrame, b: DataFrame, keys: Sequence[str], order: tuple[str, str] | str, extra: Sequence[str] = ()) -> DataFrame:
+    """Both sides as one table, clustered by document once for everything that follows."""
+    orders = (order, order) if isinstance(order, str) else order
+    sides = [d.select(*keys, F.lit(side).alias("side"), F.col(o).alias("ord"), "text", *extra)
+             for side, o, d in (("old", orders[0], a), ("new", orders[1], b))]
+    return sides[0].unionByName(sides[1]).repartition(*keys)
+
+
+def mated(rows: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Each row with the place of its mate: the k-th of a block on one side and the k-th of it on the other."""
+    nth = F.row_number().over(Window.partitionBy(*block, "side").orderBy("ord"))
+    same = Window.partitionBy(*block, "nth")
+    at = {side: F.max(F.when(F.col("side") == side, F.col("ord"))).over(same) for side in ("old", "new")}
+    return rows.withColumn("nth", nth).withColumn(
+        "mate", F.when(F.col("side") == "old", at["new"]).otherwise(at["old"]))
+
+
+def alike_in_document(rows: DataFrame, keys: Sequence[str], minimum: float, agree: Sequence[str] = ()) -> DataFrame:
+    """Old and new rows of a document that share words, with their word-set score: keys, agree, i, j, score.
+
+    Rows meet over the words of their prefix, the least ones by hash, as many as a pair of the minimum score must
+    share one of; with no minimum that is every word. Two texts without words are the same text. Both sides come
+    from one table clustered by document, so grouping by word shuffles nothing.
+    """
+    tokens = F.array_sort(F.transform(X.token_set("text"), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    size = F.size("_t")
+    need = F.ceil(size * minimum - 1e-9).cast("int") if minimum > 0 else F.lit(1)
+    cut = rows.withColumn("_t", tokens).withColumn("_e", F.struct("ord", F.transform("_t", lambda t: t["w"]).alias("t")))
+    words = F.when(size == 0, F.array(F.lit(""))).otherwise(F.transform(F.slice("_t", F.lit(1), size - need + 1), lambda t: t["w"]))
+    met = cut.select(*keys, *agree, "side", "_e", F.explode(words).alias("_w")).groupBy(*keys, *agree, "_w").agg(
+        F.collect_list(F.when(F.col("side") == "old", F.col("_e"))).alias("_o"),
+        F.collect_list(F.when(F.col("side") == "new", F.col("_e"))).alias("_n"))
+    both = met.filter((F.size("_o") > 0) & (F.size("_n") > 0)).select(*keys, *agree, F.explode("_o").alias("_a"), "_n").select(
+        *keys, *agree, "_a", F.explode("_n").alias("_b"))
+    return both.withColumn("score", X.jaccard(F.col("_a.t"), F.col("_b.t"))).filter(F.col("score") >= minimum).select(
+        *keys, *agree, F.col("_a.ord").alias("i"), F.col("_b.ord").alias("j"), "score").distinct()
+
+
+def pair_by_name(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str = "name") -> DataFrame:
+    """Pair rows of one name in a document, those that read most alike first, while both sides have one left.
+
+    ``a``: keys, name, i, text; ``b``: keys, name, j, text. Rows with the same set of words are matched first, k-th
+    with k-th, which is what best-first does with them. Rows that share words follow best first, and what is left of
+    a name shares nothing, so its order decides.
     """
     block = [*keys, name]
-    key = F.sha2(F.array_join(F.array_sort(X.token_set(text)), " "), 256)
-    same = _kth(a.withColumn("_k", key), b.withColumn("_k", key), [*block, "_k"]).select(
-        *block, "i", "j", F.lit(1.0).alias("score"))
-    a1, b1 = _without(a, same, [*keys, "i"]), _without(b, same, [*keys, "j"])
-    alike = greedy_pairs(token_candidates(a1, b1, block, 0.0, text), block)
-    rest = _kth(_without(a1, alike, [*keys, "i"]), _without(b1, alike, [*keys, "j"]), block).select(
-        *block, "i", "j", F.lit(0.0).alias("score"))
-    return same.unionByName(alike.select(*block, "i", "j", "score")).unionByName(rest)
+    rows = two_sides(a, b, keys, ("i", "j"), [name]).withColumn("_k", F.array_join(F.array_sort(X.token_set("text")), " "))
+    met = mated(rows, [*block, "_k"])
+    alike = fit_in_group(alike_in_document(met.filter("mate IS NULL"), keys, 0.0, [name]), keys)
+    found = alike.groupBy(*block).agg(F.collect_list(F.struct("i", "j", "score")).alias("_f"))
+    left = lambda side: F.array_sort(F.collect_list(F.when(
+        (F.col("side") == side) & F.col("mate").isNull(), F.col("ord"))))
+    whole = met.groupBy(*block).agg(
+        F.collect_list(F.when((F.col("side") == "old") & F.col("mate").isNotNull(), F.struct(
+            F.col("ord").alias("i"), F.col("mate").alias("j"), F.lit(1.0).alias("score")))).alias("_same"),
+        left("old").alias("_i"), left("new").alias("_j"))
+    joined = whole.join(found, block, "left").withColumn("_f", F.coalesce("_f", F.filter("_same", lambda s: F.lit(False))))
+    rest_i = F.array_except("_i", F.transform("_f", lambda f: f["i"]))
+    rest_j = F.array_except("_j", F.transform("_f", lambda f: f["j"]))
+    rest = F.filter(F.arrays_zip(rest_i.alias("i"), rest_j.alias("j")), lambda z: z["i"].isNotNull() & z["j"].isNotNull())
+    every = F.concat("_same", "_f", F.transform(rest, lambda z: F.struct(
+        z["i"].alias("i"), z["j"].alias("j"), F.lit(0.0).alias("score"))))
+    return joined.select(*block, F.explode(every).alias("_p")).select(*block, "_p.*")
 
 
 def leftovers(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The rows of each side that no pair holds."""
-    return _without(a, pairs, [*keys, "i"]), _without(b, pairs, [*keys, "j"])
+    return (a.join(pairs.select(*keys, "i"), [*keys, "i"], "left_anti"),
+            b.join(pairs.select(*keys, "j"), [*keys, "j"], "left_anti"))
 
 
 def pair_asking(asking: DataFrame, base: DataFrame, threshold: float = V.PAIRING_THRESHOLD
@@ -81,29 +137,18 @@ def pair_asking(asking: DataFrame, base: DataFrame, threshold: float = V.PAIRING
     entities pair first, best reading first; then an item with no entities on either side pairs by how alike the
     declarations read, from the threshold on. Unpaired asking items are returned as the second table.
     """
-    block = ["doc_id", "section"]
-    named = pair_by_name(asking.filter("entities <> ''").withColumnRenamed("entities", "name"),
-                         base.filter("entities <> ''").withColumnRenamed("entities", "name"), block)
-    a1, b1 = leftovers(asking, base, named, block)
-    loose = token_candidates(a1, b1, block, threshold)
-    empty_a = a1.filter("entities = ''").select(*block, "i").withColumn("_ea", F.lit(True))
-    empty_b = b1.filter("entities = ''").select(*block, "j").withColumn("_eb", F.lit(True))
-    eligible = (loose.join(empty_a, [*block, "i"], "left").join(empty_b, [*block, "j"], "left")
-                .filter("_ea OR _eb").drop("_ea", "_eb"))
-    alike = greedy_pairs(eligible, block)
-    pairs = named.select(*block, "i", "j", "score").unionByName(alike.select(*block, "i", "j", "score"))
-    return pairs, _without(asking, pairs, [*block, "i"])
-
-
-def _kth(a, b, block):
-    nth = F.row_number().over(Window.partitionBy(*block).orderBy("_o"))
-    left = a.withColumn("_o", F.col("i")).select(*block, "i", nth.alias("_n"))
-    right = b.withColumn("_o", F.col("j")).select(*block, "j", nth.alias("_n"))
-    return left.join(right, [*block, "_n"])
-
-
-def _without(df, pairs, key):
-    return df.join(pairs.select(*key).distinct(), key, "left_anti")
+    keys, block = ["doc_id"], ["doc_id", "section"]
+    label = F.concat_ws("|", "section", "entities")
+    named = pair_by_name(*(d.filter("entities <> ''").withColumn("name", label) for d in (asking, base)), keys)
+    a, b = leftovers(asking, base, named, keys)
+    rows = two_sides(a, b, keys, ("i", "j"), ["section", "entities"])
+    unnamed = rows.withColumn("_u", F.col("entities") == "")
+    alike = alike_in_document(unnamed.withColumn("ord", F.struct("ord", "_u")), keys, threshold, ["section"])
+    eligible = alike.filter(F.col("i._u") | F.col("j._u")).select(
+        *block, F.col("i.ord").alias("i"), F.col("j.ord").alias("j"), "score")
+    pairs = named.select("doc_id", F.split_part("name", F.lit("|"), F.lit(1)).cast("bigint").alias("section"), "i", "j", "score") \
+        .unionByName(fit_in_group(eligible, keys))
+    return pairs, asking.join(pairs.select("doc_id", "i"), ["doc_id", "i"], "left_anti")
 
 
 def best_match(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:

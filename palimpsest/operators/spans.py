@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,47 +65,64 @@ def valid_spans(spans: DataFrame, keys: Sequence[str], length: str = "length") -
     return listed.select(*keys, F.explode(chosen).alias("_t")).select(*keys, "_t.*")
 
 
-def substitute(texts: DataFrame, spans: DataFrame, keys: Sequence[str], replacement: Column, text: str = "text",
-               length: str = "length") -> DataFrame:
+def splice(text: Column, spans: Column, replace: Callable[[Column, Column], Column]) -> Column:
+    """A text with ordered, disjoint spans of its row replaced. ``replace`` gets a span and the text it covers."""
+    def stop(i):
+        return F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)).cast("int")
+
+    def piece(span, i):
+        begin, end = span["begin"].cast("int"), span["end"].cast("int")
+        return F.concat(F.substring(text, stop(i) + 1, begin - stop(i)), replace(span, F.substring(text, begin + 1, end - begin)))
+
+    tail = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0)).cast("int") + 1
+    return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, tail, F.length(text)))
+
+
+def substitute(texts: DataFrame, spans: DataFrame, keys: Sequence[str], replace: Callable[[Column, Column], Column],
+               text: str = "text", length: str = "length") -> DataFrame:
     """Each text with its valid spans replaced; what is between them is kept as it is.
 
-    The pieces are rows until one ordered aggregate per text puts them together; a text is one cell, so the group
-    is bounded by what a cell can hold.
+    The spans of a text meet it as one list, so a text is shuffled once however many spans it has.
     """
-    order = Window.partitionBy(*keys).orderBy("begin", "span_ord")
-    taken = valid_spans(spans, keys, length).join(texts.select(*keys, F.col(text).alias("_text")), list(keys))
-    pieces = (taken.withColumn("_from", F.coalesce(F.lag("end").over(order), F.lit(0)))
-              .withColumn("covered", F.substring(F.col("_text"), F.col("begin") + 1, F.col("end") - F.col("begin")))
-              .withColumn("_piece", F.concat(
-                  F.substring(F.col("_text"), F.col("_from") + 1, F.col("begin") - F.col("_from")), replacement)))
-    built = pieces.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("begin", "span_ord", "_piece"))),
-                                 lambda s: s["_piece"]), "").alias("_head"),
-        F.max("end").alias("_end"))
-    return texts.join(built, list(keys), "left").withColumn(
-        text, F.concat(F.coalesce("_head", F.lit("")), F.substring(
-            F.col(text), F.coalesce("_end", F.lit(0)) + 1, F.length(text)))).drop("_head", "_end")
+    rest = [c for c in spans.columns if c not in (*keys, "begin", "end", "span_ord")]
+    listed = valid_spans(spans, keys, length).groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("begin", "span_ord", "end", *rest))).alias("_s"))
+    joined = texts.join(listed, list(keys), "left")
+    return joined.withColumn(text, F.when(F.col("_s").isNull(), F.col(text)).otherwise(
+        splice(F.col(text), F.col("_s"), replace))).drop("_s")
 
 
 def apply_edits(texts: DataFrame, edits: DataFrame, keys: Sequence[str], text: str = "text"
                 ) -> tuple[DataFrame, DataFrame]:
     """Texts with their edits applied, and the edits that stop a text being edited.
 
-    Equal edits are one. A text with an edit that overlaps the one before it, is inverted or runs past the end is
-    rejected whole.
+    Equal edits are one. A text with an edit that overlaps one before it, is inverted or runs past the end is
+    rejected whole. A text's edits meet it as one list and are weighed in the row.
     """
-    order = Window.partitionBy(*keys).orderBy("begin", "end", "replacement")
-    sized = texts.select(*keys, F.length(text).cast("bigint").alias("length"))
-    distinct = edits.select(*keys, "begin", "end", "replacement").distinct().join(sized, list(keys))
-    checked = distinct.withColumn("_prev", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    bad = checked.filter((F.col("begin") < F.coalesce("_prev", F.lit(0))) | (F.col("end") < F.col("begin"))
-                         | (F.col("end") > F.col("length")))
-    rejects = bad.select(*keys, "begin", "end",
-                         X.template(V.EDIT_OVERLAP, F.col("begin"), F.col("end")).alias("message"))
-    spoiled = rejects.select(*keys).distinct()
-    good_texts = texts.join(spoiled, list(keys), "left_anti")
-    numbered = distinct.join(spoiled, list(keys), "left_anti").withColumn("span_ord", F.row_number().over(order))
-    return substitute(good_texts, numbered, keys, F.col("replacement"), text), rejects
+    listed = edits.select(*keys, "begin", "end", "replacement").distinct().groupBy(*keys).agg(F.array_sort(
+        F.collect_list(F.struct("begin", "end", "replacement"))).alias("_e"))
+    joined = texts.join(listed, list(keys), "left")
+    whole = F.length(text)
+    start = F.struct(F.lit(0).cast("bigint").alias("reach"), F.filter("_e", lambda e: F.lit(False)).alias("bad"))
+    weighed = F.aggregate("_e", start, lambda acc, e: F.struct(
+        F.greatest(acc["reach"], e["end"].cast("bigint")).alias("reach"),
+        F.when((e["begin"] < acc["reach"]) | (e["end"] < e["begin"]) | (e["end"] > whole),
+               F.array_append(acc["bad"], e)).otherwise(acc["bad"]).alias("bad")), lambda acc: acc["bad"])
+    flagged = joined.withColumn("_bad", weighed)
+    rejects = flagged.select(*keys, F.explode("_bad").alias("_z")).select(
+        *keys, F.col("_z.begin").alias("begin"), F.col("_z.end").alias("end")).withColumn(
+        "message", X.template(V.EDIT_OVERLAP, F.col("begin"), F.col("end")))
+    good = flagged.filter(F.col("_e").isNull() | (F.size("_bad") == 0)).withColumn(
+        text, F.when(F.col("_e").isNull(), F.col(text)).otherwise(
+            splice(F.col(text), F.col("_e"), lambda e, covered: e["replacement"])))
+    return good.drop("_e", "_bad"), rejects
+
+
+def back_to_front(edits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct edits of each text as one list, the last in the text first."""
+    listed = edits.select(*keys, "begin", "end").distinct().groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("begin", "end")), asc=False).alias("edits"))
+    return listed
 
 
 def drop_dominated(edits: DataFrame, dominant: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,15 +161,20 @@ def mask(texts: DataFrame, spans: DataFrame, keys: Sequence[str], text: str = "t
     A placeholder is built from a character the text does not contain; a text that holds it is left as it is and
     has no row in the table, so recovery is always exact.
     """
-    opener, closer = F.lit("\u0001"), F.lit("\u0002")
-    clean = texts.filter(~F.col(text).contains("\u0001") & ~F.col(text).contains("\u0002"))
-    placeholder = F.concat(opener, F.col("span_ord").cast("string"), closer)
-    taken = valid_spans(spans, keys).join(clean.select(*keys, F.col(text).alias("_text")), list(keys))
-    table = taken.select(*keys, placeholder.alias("placeholder"), F.substring(
-        F.col("_text"), F.col("begin") + 1, F.col("end") - F.col("begin")).alias("payload"))
-    masked = substitute(clean, spans, keys, placeholder, text)
-    kept = texts.join(clean.select(*keys), list(keys), "left_anti")
-    return masked.unionByName(kept), table
+    clean = texts.filter(~F.col(text).rlike("[\\x{1}\\x{2}]"))
+
+    def placeholder(number):
+        return F.concat(F.lit("\x01"), number.cast("string"), F.lit("\x02"))
+
+    taken = valid_spans(spans, keys)
+    listed = taken.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("begin", "span_ord", "end"))).alias("_s"))
+    table = clean.select(*keys, F.col(text).alias("_text")).join(listed, list(keys)).select(*keys, F.explode(F.transform(
+        "_s", lambda s: F.struct(placeholder(s["span_ord"]).alias("placeholder"), F.substring(
+            F.col("_text"), s["begin"].cast("int") + 1, (s["end"] - s["begin"]).cast("int")).alias("payload")))).alias("_p"))
+    masked = substitute(texts, spans, keys, lambda span, covered: placeholder(span["span_ord"]), text)
+    kept = masked.join(texts.select(*keys, F.col(text).alias("_text")), list(keys)).withColumn(
+        text, F.when(F.col("_text").rlike("[\\x{1}\\x{2}]"), F.col("_text")).otherwise(F.col(text))).drop("_text")
+    return kept, table.select(*keys, "_p.placeholder", "_p.payload")
 
 
 def recover(masked: DataFrame, table: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:

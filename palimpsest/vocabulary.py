@@ -126,3 +126,53 @@ FRAGMENT_NO_PREFIX = ("%s top-level nodes sit outside every section, and the sec
 COVERS_MISSING = ("\\covers names the %s element, and neither the baseline's description nor this item has one")
 EDIT_OVERLAP = "an edit of bytes %s to %s overlaps another or runs past the end"
 UNTERMINATED = "unterminated ` code span"
+
+# Labels of description elements, by kind in canonical order.
+ELEMENT_LABELS = [
+    "Constraints", "Mandates", "Preconditions", "Hardened preconditions", "Effects", "Synchronization",
+    "Postconditions", "Result", "Returns", "Throws", "Complexity", "Remarks", "Error conditions",
+    "Recommended practice",
+]
+
+# What stands before and after an inline piece, by text format and kind of piece.
+INLINE_FORMS = {
+    "markdown": {
+        "text": ("", ""), "open_code": ("", ""), "code": ("`", "`"), "iref": ("([", "]{- .sref})"),
+        "ref": ("[", "]{- .sref}"), "placeholder": ("*", "*"), "cvqual": ("*", "*"), "cv": ("*cv", "*"),
+        "oldconcept": ("*Cpp17", "*"), "libconcept": ("`", "`"), "exposconcept": ("`$", "$`"),
+        "term": ("*", "*"), "defn": ("*", "*"), "Fundescx": ("*", "*"), "tref": ("[Table \\[", "\\]]"),
+    },
+    "latex": {
+        "text": ("", ""), "open_code": ("", ""), "code": ("\\tcode{", "}"), "iref": ("\\iref{", "}"),
+        "ref": ("\\ref{", "}"), "placeholder": ("\\placeholder{", "}"), "cvqual": ("\\cvqual{", "}"),
+        "cv": ("\\cv{", "}"), "oldconcept": ("\\oldconcept{", "}"), "libconcept": ("\\libconcept{", "}"),
+        "exposconcept": ("\\exposconcept{", "}"), "term": ("\\term{", "}"), "defn": ("\\defn{", "}"),
+        "Fundescx": ("\\Fundescx{", "}"), "tref": ("\\tref{", "}"),
+    },
+    "org": {
+        "text": ("", ""), "open_code": ("", ""), "code": ("~", "~"), "iref": ("([[", "]])"), "ref": ("[[", "]]"),
+        "placeholder": ("/", "/"), "cvqual": ("/", "/"), "cv": ("/cv", "/"), "oldconcept": ("/Cpp17", "/"),
+        "libconcept": ("~", "~"), "exposconcept": ("~", "~"), "term": ("/", "/"), "defn": ("/", "/"),
+        "Fundescx": ("/", "/"), "tref": ("[[", "]]"),
+    },
+}
+
+# Marks around a changed run of prose, and around whole blocks.
+RUN_MARKS = {
+    "markdown": {"added": ("[", "]{.add}"), "removed": ("[", "]{.rm}")},
+    "latex": {"added": ("\\added{", "}"), "removed": ("\\removed{", "}")},
+    "org": {"added": ("[[insert:][", "]]"), "removed": ("[[delete:][", "]]")},
+}
+BLOCK_MARKS = {
+    "markdown": {"added": ("::: add\n\n", "\n:::\n"), "removed": ("::: rm\n\n", "\n:::\n")},
+    "latex": {"added": ("\\begin{addedblock}\n", "\n\\end{addedblock}\n"),
+              "removed": ("\\begin{removedblock}\n", "\n\\end{removedblock}\n")},
+    "org": {"added": ("#+begin_addedblock\n", "\n#+end_addedblock\n"),
+            "removed": ("#+begin_removedblock\n", "\n#+end_removedblock\n")},
+}
+
+# Characters a format reserves in running text: (pattern, replacement).
+TEXT_ESCAPES = {"markdown": None, "latex": ("([&%#])", "\\\\$1"), "org": None}
+
+# File name ending of a fragment.
+EXTENSIONS = {"markdown": ".md", "latex": ".tex", "org": ".org"}
