@@ -115,3 +115,17 @@ def script_of_values(a: pd.Series, b: pd.Series) -> pd.Series:
 def script_of_matches(n: pd.Series, m: pd.Series, i: pd.Series, j: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else _rows(diff_matches(int(x), int(y), p, q))
                       for x, y, p, q in zip(n, m, i, j)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def free_positions(i: pd.Series, j: pd.Series) -> pd.Series:
+    """Which of a row's ordered pairs a walk takes that uses every i and every j once; positions from 0."""
+    def walk(left, right):
+        used_i, used_j, taken = set(), set(), []
+        for position, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+            if a not in used_i and b not in used_j:
+                used_i.add(a)
+                used_j.add(b)
+                taken.append(position)
+        return taken
+    return pd.Series([walk(a, b) for a, b in zip(i, j)], dtype=object)

@@ -34,6 +34,17 @@ def words_of(text: Column | str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(f"^{TEXT_ORDER}+|{WORD}{TEXT_ORDER}*"), F.lit(0))
 
 
+def code_tokens_of(text: Column | str) -> Column:
+    """Tokens of a code line, each with the whitespace after it: an identifier or number, or one other character."""
+    return F.regexp_extract_all(_col(text), F.lit(
+        f"^{TEXT_ORDER}+|[A-Za-z0-9_]+{TEXT_ORDER}*|[^A-Za-z0-9_ \\t\\r\\n]{TEXT_ORDER}*"), F.lit(0))
+
+
+def code_token_set(text: Column | str) -> Column:
+    """The distinct code tokens of a line without their whitespace; leading whitespace leaves an empty one."""
+    return F.array_distinct(F.transform(code_tokens_of(text), lambda t: rstripped(t)))
+
+
 def token_set(text: Column | str) -> Column:
     """The distinct words of a text without their whitespace."""
     return F.array_distinct(F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0)))

@@ -74,13 +74,13 @@ def join_islands(steps: DataFrame, keys: Sequence[str], island: int = V.ISLAND,
 
 
 def mark_words(pairs: DataFrame, keys: Sequence[str], a: str = "old_text", b: str = "new_text",
-               island: int = V.ISLAND) -> DataFrame:
-    """Runs of each pair of texts: same, removed or added words, with the whitespace at their ends moved outside.
+               island: int = V.ISLAND, tokens=X.words_of) -> DataFrame:
+    """Runs of each pair of texts: same, removed or added words (or code, by ``X.code_tokens_of``), with the whitespace at their ends moved outside.
 
     Kept words take the new spelling of the whitespace after them. The removal of a replacement loses its trailing
     whitespace, so its mark abuts the addition's.
     """
-    cut = pairs.select(*keys, X.words_of(a).alias("_wa"), X.words_of(b).alias("_wb")).withColumns({
+    cut = pairs.select(*keys, tokens(a).alias("_wa"), tokens(b).alias("_wb")).withColumns({
         "_a": F.transform("_wa", lambda w: X.rstripped(w)), "_b": F.transform("_wb", lambda w: X.rstripped(w))})
     scripted = with_scripts(cut, "_a", "_b")
     # The words ride along in the step itself, so no step is joined back to its text.
@@ -279,7 +279,8 @@ def diff_code(df: DataFrame, keys: Sequence[str], a: str = "old_text", b: str =
     whole = runs.groupBy(*keys, "run").agg(
         F.first(kept).alias("_kept"), F.array_sort(F.collect_list(F.struct("pos", "op", "a", "b", "text"))).alias("_s"))
     whole = whole.withColumns({"_d": F.filter("_s", lambda s: s["op"] == DELETE), "_i": F.filter("_s", lambda s: s["op"] == INSERT)})
-    words = lambda side: F.array_distinct(F.flatten(F.transform(side, lambda s: X.token_set(s["text"]))))
+    words = lambda side: F.filter(F.array_distinct(F.flatten(F.transform(
+        side, lambda s: X.code_token_set(s["text"])))), lambda t: t != "")
     rewrapped = ((F.size("_d") > 0) & (F.size("_i") > 0) & (F.size("_d") != F.size("_i"))
                  & (X.jaccard(words("_d"), words("_i")) >= max(threshold, V.REWRAP_THRESHOLD)))
 
@@ -289,7 +290,7 @@ def diff_code(df: DataFrame, keys: Sequence[str], a: str = "old_text", b: str =
 
     def meet(k):
         d, i = F.get("_d", k - 1), F.get("_i", k - 1)
-        alike = X.jaccard(X.token_set(d["text"]), X.token_set(i["text"])) >= threshold
+        alike = X.jaccard(X.code_token_set(d["text"]), X.code_token_set(i["text"])) >= threshold
         return (F.when(F.col("_w"), F.array(row("rewrapped", d, i)))
                 .when(d.isNotNull() & i.isNotNull() & alike, F.array(row("merged", d, i)))
                 .otherwise(F.array_compact(F.array(F.when(d.isNotNull(), row("removed", d, None)),

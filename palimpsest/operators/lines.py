@@ -106,17 +106,30 @@ def index_entries(lines: DataFrame, raw: str = "raw") -> DataFrame:
 
 def names_used(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Identifier runs with their qualifier context: ``qualifier`` stands before ``::``, ``standard`` is in a std chain."""
-    runs = df.select(*keys, F.posexplode(X.name_runs(text)).alias("pos", "_r")).select(
+    # Only text with a qualifier in it has any context to look at; the rest is cut up without leaving its row.
+    qualified = F.col(text).contains("::")
+    plain = df.filter(~qualified).select(*keys, F.posexplode(X.name_runs(text)).alias("pos", "_r")).select(
+        *keys, (F.col("pos") + 1).cast("bigint").alias("pos"), "_r.name", F.lit(False).alias("qualifier"),
+        F.lit(False).alias("standard"))
+    runs = df.filter(qualified).select(*keys, F.posexplode(X.name_runs(text)).alias("pos", "_r")).select(
         *keys, "pos", "_r.gap", "_r.name")
     order = Window.partitionBy(*keys).orderBy("pos")
     connected = (F.col("pos") > 0) & F.col("gap").rlike("^[ \\t\\r\\n]*::[ \\t\\r\\n]*$")
     chain = F.last(F.when(~F.col("_c"), F.col("name")), ignorenulls=True).over(
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (runs.withColumn("_c", connected)
-            .withColumn("qualifier", F.coalesce(F.lead("gap").over(order).rlike("^[ \\t\\n]*::"), F.lit(False)))
-            .withColumn("standard", F.col("_c") & (chain == "std"))
-            .filter("name <> ''").select(*keys, (F.col("pos") + 1).cast("bigint").alias("pos"), "name",
-                                         "qualifier", "standard"))
+    contextual = (runs.withColumn("_c", connected)
+                  .withColumn("qualifier", F.coalesce(F.lead("gap").over(order).rlike("^[ \\t\\n]*::"), F.lit(False)))
+                  .withColumn("standard", F.col("_c") & (chain == "std"))
+                  .select(*keys, (F.col("pos") + 1).cast("bigint").alias("pos"), "name", "qualifier", "standard"))
+    return plain.unionByName(contextual).filter("name <> ''")
+
+
+def first_uses(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """Each name of a text once, with the place of its first use; settled inside the row."""
+    names = F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    return df.select(*keys, names.alias("_n")).select(*keys, F.explode(F.transform(
+        F.array_distinct("_n"), lambda n: F.struct(F.array_position("_n", n).alias("pos"), n.alias("name")))).alias("_u")).select(
+        *keys, "_u.pos", "_u.name")
 
 
 def slice_sections(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: str = "raw") -> DataFrame:

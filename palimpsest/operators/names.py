@@ -64,16 +64,20 @@ def hidden_names(roster: DataFrame, documented: DataFrame, paper: str = "paper_i
     return mine.join(documented.select(paper, "name").distinct(), [paper, "name"], "left_anti")
 
 
-def leaks(uses: DataFrame, hidden: DataFrame, fragment: Sequence[str]) -> DataFrame:
+def leaks(fragments: DataFrame, hidden: DataFrame, fragment: Sequence[str], text: str = "text") -> DataFrame:
     """Hidden names that wording uses: one finding per name and fragment, at its first use.
 
-    ``uses`` is pre-aggregated to the first position of a name in a fragment, and the join key holds the document,
-    so no name is hot across the corpus.
+    ``fragments``: the fragment's keys, ``doc_id`` among them, and its text. The hidden names of a document, a few of
+    its own declarations, meet its fragments as one map, so the uses are looked up in the row and never shuffled.
     """
-    first = uses.groupBy(*fragment, "name").agg(F.min("pos").alias("pos"))
-    return first.join(hidden.select("doc_id", "name", "disposition"), ["doc_id", "name"]).select(
-        *fragment, "pos", "name", F.lit("error").alias("severity"),
-        X.template(V.LEAKED, F.col("name"), reason(F.col("disposition"))).alias("message"))
+    known = hidden.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "disposition"))).alias("_h"))
+    names = F.regexp_extract_all(F.col(text), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    met = fragments.join(known, "doc_id").select(*fragment, names.alias("_n"), "_h")
+    leaked = F.transform(F.array_intersect("_n", F.map_keys("_h")), lambda n: F.struct(
+        F.array_position("_n", n).alias("pos"), n.alias("name"), F.try_element_at("_h", n).alias("disposition")))
+    return met.select(*fragment, F.explode(leaked).alias("_l")).select(
+        *fragment, "_l.pos", "_l.name", F.lit("error").alias("severity"),
+        X.template(V.LEAKED, F.col("_l.name"), reason(F.col("_l.disposition"))).alias("message"))
 
 
 def foreign_leaks(uses: DataFrame, foreign: DataFrame, documented: DataFrame, fragment: Sequence[str],

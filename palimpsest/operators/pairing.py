@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
+from palimpsest.functions import sequence as SQ
 from palimpsest.functions import text as X
+from palimpsest.operators import similarity as SM
 from palimpsest.session import checkpointed
 
 
@@ -42,20 +44,13 @@ def fit_in_group(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     With no score, each i in order takes the first j still free.
     """
     scored = "score" in pairs.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-
-    def fit(frame):
-        order = ["score", "i", "j"] if scored else ["i", "j"]
-        frame = frame.sort_values(order, ascending=[c != "score" for c in order])
-        used_i, used_j, rows = set(), set(), []
-        for position, (i, j) in enumerate(zip(frame["i"], frame["j"])):
-            if i not in used_i and j not in used_j:
-                used_i.add(i)
-                used_j.add(j)
-                rows.append(position)
-        return frame.iloc[rows]
-
-    return pairs.groupBy(*keys).applyInPandas(fit, schema)
+    rest = [c for c in pairs.columns if c not in (*keys, "i", "j", "score")]
+    rank = [(-F.col("score")).alias("s")] if scored else []
+    listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*rank, "i", "j", *rest))).alias("_p"))
+    walked = listed.withColumn("_k", SQ.free_positions(F.transform("_p", lambda p: p["i"]), F.transform("_p", lambda p: p["j"])))
+    taken = walked.select(*keys, F.explode(F.transform("_k", lambda k: F.get("_p", k))).alias("_t"))
+    score = [(-F.col("_t.s")).alias("score")] if scored else []
+    return taken.select(*keys, "_t.i", "_t.j", *score, *[f"_t.{c}" for c in rest])
 
 
 def two_sides(a: DataFrame, b: DataFrame, keys: Sequence[str], order: tuple[str, str] | str, extra: Sequence[str] = ()) -> DataFrame:
@@ -78,22 +73,44 @@ def mated(rows: DataFrame, block: Sequence[str]) -> DataFrame:
 def alike_in_document(rows: DataFrame, keys: Sequence[str], minimum: float, agree: Sequence[str] = ()) -> DataFrame:
     """Old and new rows of a document that share words, with their word-set score: keys, agree, i, j, score.
 
-    Rows meet over the words of their prefix, the least ones by hash, as many as a pair of the minimum score must
-    share one of; with no minimum that is every word. Two texts without words are the same text. Both sides come
+    Rows meet over the words of their prefix, the longest ones, as many as a pair of the minimum score must share one
+    of; with no minimum that is every word. Long words are seldom common, so few rows meet, and sizes and counts rule
+    most of those out before their words are compared. Two texts without words are the same text. Both sides come
     from one table clustered by document, so grouping by word shuffles nothing.
     """
-    tokens = F.array_sort(F.transform(X.token_set("text"), lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w"))))
+    tokens = F.array_sort(F.transform(X.token_set("text"), lambda w: F.struct(
+        (-F.length(w)).alias("l"), F.xxhash64(w).alias("h"), w.alias("w"))))
+    cut = rows.select(*keys, *agree, "side", "ord", tokens.alias("_t"))
     size = F.size("_t")
-    need = F.ceil(size * minimum - 1e-9).cast("int") if minimum > 0 else F.lit(1)
-    cut = rows.withColumn("_t", tokens).withColumn("_e", F.struct("ord", F.transform("_t", lambda t: t["w"]).alias("t")))
-    words = F.when(size == 0, F.array(F.lit(""))).otherwise(F.transform(F.slice("_t", F.lit(1), size - need + 1), lambda t: t["w"]))
-    met = cut.select(*keys, *agree, "side", "_e", F.explode(words).alias("_w")).groupBy(*keys, *agree, "_w").agg(
-        F.collect_list(F.when(F.col("side") == "old", F.col("_e"))).alias("_o"),
-        F.collect_list(F.when(F.col("side") == "new", F.col("_e"))).alias("_n"))
+    prefix = SM.prefix_size(size, minimum) if minimum > 0 else size
+    words = F.when(size == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(
+        F.slice("_t", F.lit(1), prefix), lambda t: t["h"]))
+    met = cut.select(*keys, *agree, "side", F.struct("ord", size.alias("n")).alias("_e"), F.explode(words).alias("_w")).groupBy(
+        *keys, *agree, "_w").agg(F.collect_list(F.when(F.col("side") == "old", F.col("_e"))).alias("_o"),
+                                 F.collect_list(F.when(F.col("side") == "new", F.col("_e"))).alias("_n"))
+
+    def near(a, b):
+        return (a["n"] >= b["n"] * minimum - 1e-9) & (b["n"] >= a["n"] * minimum - 1e-9)
+
     both = met.filter((F.size("_o") > 0) & (F.size("_n") > 0)).select(*keys, *agree, F.explode("_o").alias("_a"), "_n").select(
-        *keys, *agree, "_a", F.explode("_n").alias("_b"))
-    return both.withColumn("score", X.jaccard(F.col("_a.t"), F.col("_b.t"))).filter(F.col("score") >= minimum).select(
-        *keys, *agree, F.col("_a.ord").alias("i"), F.col("_b.ord").alias("j"), "score").distinct()
+        *keys, *agree, "_a", F.explode(F.filter("_n", lambda b: near(F.col("_a"), b))).alias("_b"))
+    counted = both.groupBy(*keys, *agree, "_a", "_b").agg(F.count("*").alias("_c"))
+    n1, n2 = F.col("_a.n"), F.col("_b.n")
+    if minimum > 0:
+        counted = counted.filter(((n1 == 0) & (n2 == 0)) | (F.col("_c") + F.greatest(
+            SM.beyond_prefix(n1, minimum), SM.beyond_prefix(n2, minimum)) >= SM.shared_need(n1, n2, minimum)))
+    # What is left open is compared in the document's own row.
+    pairs = counted.groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("_a.ord").alias("i"), F.col("_b.ord").alias("j"), *agree)).alias("_p"))
+    sets = F.map_from_entries(F.collect_list(F.struct(F.struct("side", "ord").alias("k"), F.transform(
+        "_t", lambda t: t["w"]).alias("t"))))
+    held = cut.groupBy(*keys).agg(sets.alias("_m"))
+    score = lambda p: X.jaccard(F.try_element_at("_m", F.struct(F.lit("old").alias("side"), p["i"].alias("ord"))),
+                                F.try_element_at("_m", F.struct(F.lit("new").alias("side"), p["j"].alias("ord"))))
+    return pairs.join(held, list(keys)).select(*keys, F.explode(F.transform("_p", lambda p: F.struct(
+        p.alias("p"), score(p).alias("score")))).alias("_s")).filter(F.col("_s.score") >= minimum).select(
+        *keys, *[F.col(f"_s.p.{c}").alias(c) for c in agree], F.col("_s.p.i").alias("i"), F.col("_s.p.j").alias("j"),
+        F.col("_s.score").alias("score"))
 
 
 def pair_by_name(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str = "name") -> DataFrame:
@@ -140,8 +157,10 @@ def pair_asking(asking: DataFrame, base: DataFrame, threshold: float = V.PAIRING
     keys, block = ["doc_id"], ["doc_id", "section"]
     label = F.concat_ws("|", "section", "entities")
     named = pair_by_name(*(d.filter("entities <> ''").withColumn("name", label) for d in (asking, base)), keys)
-    a, b = leftovers(asking, base, named, keys)
-    rows = two_sides(a, b, keys, ("i", "j"), ["section", "entities"])
+    used = named.select(*keys, F.explode(F.array(
+        F.struct(F.lit("old").alias("side"), F.col("i").alias("ord")),
+        F.struct(F.lit("new").alias("side"), F.col("j").alias("ord")))).alias("_u")).select(*keys, "_u.*")
+    rows = two_sides(asking, base, keys, ("i", "j"), ["section", "entities"]).join(used, [*keys, "side", "ord"], "left_anti")
     unnamed = rows.withColumn("_u", F.col("entities") == "")
     alike = alike_in_document(unnamed.withColumn("ord", F.struct("ord", "_u")), keys, threshold, ["section"])
     eligible = alike.filter(F.col("i._u") | F.col("j._u")).select(

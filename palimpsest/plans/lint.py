@@ -169,7 +169,7 @@ uses AS (SELECT doc_id, line_no, CAST(generate_subscripts(w, 1) AS BIGINT) AS po
 
 
 def uses(t):
-    return L.names_used(D.doc_lines(t).select("doc_id", "line_no", F.lower("text").alias("text")), ["doc_id", "line_no"])
+    return L.first_uses(D.doc_lines(t).select("doc_id", "line_no", F.lower("text").alias("text")), ["doc_id", "line_no"])
 
 
 @query("leaked_names", f"""
@@ -178,7 +178,8 @@ SELECT doc_id, line_no, pos, name, 'error' AS severity, '`' || name || '` is use
   || '): mark it `\\expos`, rewrite the wording in documented terms, or demote it to authored prose' AS message
 FROM f JOIN hidden USING (doc_id, name)""")
 def leaked_names(t):
-    return N.leaks(uses(t), hidden(t), ["doc_id", "line_no"])
+    lines = D.doc_lines(t).select("doc_id", "line_no", F.lower("text").alias("text"))
+    return N.leaks(lines, hidden(t), ["doc_id", "line_no"])
 
 
 @query("foreign_qualifiers", rf"""
@@ -220,10 +221,11 @@ SELECT b.doc_id, 'line ' || b.line_no || '/body' AS context, 'note' AS severity,
 FROM body b JOIN hidden h USING (doc_id, name) WHERE h.kind = 'function'
   AND NOT EXISTS (SELECT 1 FROM wording w WHERE w.doc_id = b.doc_id AND w.name = b.name)""")
 def unextracted_uses(t):
-    used = uses(t)
-    body = used.groupBy("doc_id", "line_no").agg(F.max_by("name", "pos").alias("name")).select(
-        "doc_id", F.concat(F.lit("line "), "line_no").alias("user"), "name")
-    return N.unextracted_uses(body, hidden(t), used.filter("pos = 2"))
+    names = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    lines = D.doc_lines(t).select("doc_id", "line_no", names.alias("w")).filter(F.size("w") > 0)
+    body = lines.select("doc_id", F.concat(F.lit("line "), "line_no").alias("user"), F.try_element_at("w", F.lit(-1)).alias("name"))
+    wording = lines.select("doc_id", F.get("w", 1).alias("name")).filter("name IS NOT NULL")
+    return N.unextracted_uses(body, hidden(t), wording)
 
 
 @query("page_link_dangling", r"""

@@ -466,14 +466,14 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS
 def saved_round_trip(t):
     """Node tables written as saved documents and read back."""
     saved = SD.emit_saved(saved_nodes(t), ["doc_id"], ["type", "stable", "title"])
-    nodes, _ = SD.parse_saved(saved, "doc_id", "json", max_depth=4)
-    return nodes.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("path")).alias("ord"), "depth", "type", "stable", "title")
+    nodes, _ = SD.parse_saved(saved, "doc_id", "json")
+    return nodes.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("node_path")).alias("ord"), "depth", "type", "stable", "title")
 
 
 @query("saved_rejects", "SELECT doc_id FROM documents")
 def saved_rejects(t):
     """Prose is no saved document: every text is rejected, with where it fails."""
-    _, rejects = SD.parse_saved(t.documents.select("doc_id", "text"), "doc_id", "text", max_depth=1)
+    _, rejects = SD.parse_saved(t.documents.select("doc_id", "text"), "doc_id", "text")
     return rejects.filter("message IS NOT NULL").select("doc_id")
 
 

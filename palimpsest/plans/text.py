@@ -60,6 +60,15 @@ def doc_words(t):
     return L.words(t.documents.select("doc_id", "text"), ["doc_id"])
 
 
+@query("code_tokens", rf"""
+WITH {LINES}, w AS (SELECT doc_id, line_no, regexp_extract_all(text, '^[ \t\r\n]+|[A-Za-z0-9_]+[ \t\r\n]*|[^A-Za-z0-9_ \t\r\n][ \t\r\n]*', 0) AS ws FROM lines)
+SELECT doc_id, line_no, CAST(len(ws) AS BIGINT) AS n_tokens, md5(array_to_string(ws, '|')) AS tokens FROM w""")
+def code_tokens(t):
+    tokens = X.code_tokens_of("text")
+    return D.doc_lines(t).select("doc_id", "line_no", F.size(tokens).alias("n_tokens"),
+                                 F.md5(F.array_join(tokens, "|").cast("binary")).alias("tokens"))
+
+
 @query("line_offsets", f"""
 WITH {LINES} SELECT doc_id, line_no, CAST(coalesce(sum(length(text) + 1) OVER (
   PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset
