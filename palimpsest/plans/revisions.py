@@ -79,7 +79,7 @@ def best_declaration(t):
 
 @query("greedy_pairing", f"""
 WITH RECURSIVE {CLASSES},
-ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS n FROM alike),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS n FROM alike),
 walk AS (
   SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS i, CAST(NULL AS BIGINT) AS j, CAST(NULL AS DOUBLE) AS score,
          FALSE AS took, CAST([] AS BIGINT[]) AS si, CAST([] AS BIGINT[]) AS sj

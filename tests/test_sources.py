@@ -25,7 +25,7 @@ def test_saved_documents_become_node_rows(spark, tmp_path):
     assert rows == [((0,), (), "synopsis", "", "widget"), ((1,), (), "section", "a", ""), ((1, 0), (1,), "section", "a.b", ""),
                     ((1, 0, 0), (1, 0), "paragraph", "", ""), ((1, 1), (1,), "item", "", "")]
     bad = {r.path.rsplit("/", 1)[1]: r.message for r in rejects.collect()}
-    assert set(bad) == {"bad.json", "trailing.json"} and "char 13" in bad["trailing.json"]
+    assert set(bad) == {"bad.json", "trailing.json"} and "char 14" in bad["trailing.json"]
 
 
 def test_documents_nested_too_deep_are_rejected_whole(spark):
