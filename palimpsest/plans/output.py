@@ -405,14 +405,15 @@ def fragment_findings(t):
     return FR.fragment_findings(paper_fragments(t))
 
 
-PAPER_CHUNK = F.floor(F.col("doc_id") / 65536)
+def paper_chunk():
+    return F.floor(F.col("doc_id") / 65536)
 
 
 @query("manifest", f"""
 WITH {PLACED}, p AS (SELECT f.*, d.source AS paper_id FROM frags f JOIN documents d USING (doc_id) WHERE fragment IS NOT NULL)
 SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY doc_id, pos) AS BIGINT) AS pos, paper_id || '/' || fragment || '.tex' AS path FROM p""")
 def manifest(t):
-    return FR.manifest(paper_fragments(t).filter("fragment IS NOT NULL").drop("text"), ["doc_id", "pos"], PAPER_CHUNK, "latex")
+    return FR.manifest(paper_fragments(t).filter("fragment IS NOT NULL").drop("text"), ["doc_id", "pos"], paper_chunk(), "latex")
 
 
 @query("lineage", f"""
@@ -427,7 +428,7 @@ def lineage(t):
 @query("paper_documents", """
 SELECT source AS paper_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS doc_ord, doc_id FROM documents WHERE trim(text) <> ''""")
 def paper_documents(t):
-    good, _ = SD.paper(t.documents.select(F.col("source").alias("paper_id"), "doc_id", "text"), "paper_id", "doc_id", PAPER_CHUNK)
+    good, _ = SD.paper(t.documents.select(F.col("source").alias("paper_id"), "doc_id", "text"), "paper_id", "doc_id", paper_chunk())
     return good.select("paper_id", "doc_ord", "doc_id")
 
 
@@ -437,7 +438,7 @@ SELECT source AS paper_id, doc_id, CAST(row_number() OVER w AS BIGINT) AS pos, C
 FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""")
 def whole_papers(t):
     pieces = t.documents.select(F.col("source").alias("paper_id"), "doc_id", F.length("text").cast("bigint").alias("length"))
-    return FR.positions(pieces, ["paper_id"], ["doc_id"], PAPER_CHUNK)
+    return FR.positions(pieces, ["paper_id"], ["doc_id"], paper_chunk())
 
 
 # --- sources --------------------------------------------------------------------------------------------------------

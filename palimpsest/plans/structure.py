@@ -144,7 +144,8 @@ def routed_rows(t):
 
 # --- groups ---------------------------------------------------------------------------------------------------
 
-TURN_CHUNK = F.floor(F.col("turn") / 4096)
+def turn_chunk():
+    return F.floor(F.col("turn") / 4096)
 
 
 @query("turn_groups", """
@@ -153,7 +154,7 @@ SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGN
 FROM conversations""")
 def turn_groups(t):
     turns = t.conversations.select("conv_id", "turn", "role")
-    return O.running(turns, ["conv_id"], ["turn"], TURN_CHUNK,
+    return O.running(turns, ["conv_id"], ["turn"], turn_chunk(),
                      primary_turn=O.Running("last", F.when(F.col("role") == "user", F.col("turn"))))
 
 
@@ -162,7 +163,7 @@ WITH f AS (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER (PARTITION BY co
                   THEN 0 ELSE 1 END AS starts FROM conversations)
 SELECT conv_id, turn, role, CAST(sum(starts) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS cohort FROM f""")
 def turn_cohorts(t):
-    return O.cohorts(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], TURN_CHUNK, "role")
+    return O.cohorts(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], turn_chunk(), "role")
 
 
 @query("event_cohorts", """
