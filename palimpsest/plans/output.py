@@ -29,7 +29,7 @@ offs AS (SELECT doc_id, line_no, text, CAST(coalesce(sum(length(text) + 1) OVER
   PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM lines),
 spans AS (SELECT o.doc_id, o.line_no AS span_ord, off AS "begin",
   CAST(off + length(o.text) + CASE WHEN length(o.text) % 13 = 0 THEN 5 ELSE 0 END - CASE WHEN length(o.text) % 11 = 0 THEN length(o.text) + 3 ELSE 0 END AS BIGINT) AS "end",
-  CAST(length(d.text) AS BIGINT) AS n FROM offs o JOIN documents d USING (doc_id))
+  CAST(length(d.text) AS BIGINT) AS n, strpos(o.text, ' ') = 0 AS one_word FROM offs o JOIN documents d USING (doc_id))
 """
 
 
@@ -39,7 +39,8 @@ def line_spans(t):
     total = F.max(F.col("offset") + n).over(Window.partitionBy("doc_id"))
     end = F.col("offset") + n + F.when(n % 13 == 0, 5).otherwise(0) - F.when(n % 11 == 0, n + 3).otherwise(0)
     return lines.select("doc_id", F.col("line_no").alias("span_ord"), F.col("offset").cast("bigint").alias("begin"),
-                        end.cast("bigint").alias("end"), total.cast("bigint").alias("length"))
+                        end.cast("bigint").alias("end"), total.cast("bigint").alias("length"),
+                        (F.instr("text", " ") == 0).alias("one_word"))
 
 
 @query("span_findings", f"""
@@ -111,14 +112,15 @@ def spans_in_runs(t):
     return P.spans_in_runs(inner, runs, ["doc_id"]).select("doc_id", "span_ord", "run_begin", "change")
 
 
+# Every line is an edit of its own text; one that is a single word also dominates what stands near it.
 EDITS = LINE_SPANS + """,
-edits AS (SELECT doc_id, "begin", "end", 'x' || span_ord AS replacement FROM spans WHERE "begin" <= "end" AND span_ord % 3 = 0),
-dominant AS (SELECT doc_id, "begin" + 3 AS "begin", "end" + 20 AS "end" FROM spans WHERE span_ord % 5 = 0)
+edits AS (SELECT doc_id, "begin", "end", 'x' || span_ord AS replacement FROM spans WHERE "begin" <= "end"),
+dominant AS (SELECT doc_id, "begin" + 3 AS "begin", "end" + 20 AS "end" FROM spans WHERE one_word)
 """
 
 
 def span_edits(t):
-    return line_spans(t).filter("begin <= end AND span_ord % 3 = 0").select(
+    return line_spans(t).filter("begin <= end").select(
         "doc_id", "begin", "end", F.concat(F.lit("x"), "span_ord").alias("replacement"))
 
 
@@ -126,7 +128,7 @@ def span_edits(t):
 WITH {EDITS} SELECT doc_id, "begin", "end", replacement FROM edits e WHERE NOT EXISTS (
   SELECT 1 FROM dominant d WHERE d.doc_id = e.doc_id AND e."begin" < d."end" AND d."begin" < e."end")""")
 def dominated_edits(t):
-    dominant = line_spans(t).filter("span_ord % 5 = 0").select("doc_id", (F.col("begin") + 3).alias("begin"), (F.col("end") + 20).alias("end"))
+    dominant = line_spans(t).filter("one_word").select("doc_id", (F.col("begin") + 3).alias("begin"), (F.col("end") + 20).alias("end"))
     return P.drop_dominated(span_edits(t), dominant, ["doc_id"])
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from palimpsest.session import estimated_bytes
 
-SPREAD_BYTES = 1024 * 1024
+# Sizes between which a table that arrives in few splits is dealt out: below, one core is enough; above, its own
+# splits are, and moving it would cost more than it gains.
+SPREAD_FROM, SPREAD_TO = 1024 * 1024, 512 * 1024 * 1024
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -40,9 +42,9 @@ class Tables:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that arrives in fewer splits than there are cores over all of them; larger ones stay as they are."""
+    """Deal a small table that arrives in fewer splits than there are cores over all of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) < SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+    if not SPREAD_FROM <= estimated_bytes(df) <= SPREAD_TO or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
