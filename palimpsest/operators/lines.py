@@ -144,6 +144,6 @@ def slice_sections(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: str
 
 
 def lines_in_slices(lines: DataFrame, slices: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The lines of each slice; a range join inside one document."""
-    return slices.join(lines, list(keys)).filter(
-        (F.col("line_no") >= F.col("first_line")) & (F.col("line_no") <= F.col("last_line")))
+    """The lines of each slice. A slice lists its line numbers, so the join is on equal keys and makes no other pair."""
+    listed = slices.withColumn("line_no", F.explode(F.sequence("first_line", "last_line")))
+    return listed.join(lines, [*keys, "line_no"])

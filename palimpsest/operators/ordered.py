@@ -61,7 +61,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
             return F.coalesce(F.first(value, ignorenulls=True).over(after if exclusive else onward), carried)
         return F.when(F.row_number().over(local) == 1, carried).otherwise(F.lag(value).over(local))
 
-    chunked = df.withColumn("_chunk", chunk)
+    # Clustered once: the chunk totals and the rows they come back to read the same exchange.
+    chunked = df.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
     totals = chunked.groupBy(*keys, "_chunk").agg(*[total[r.how](r.value).alias(f"_t_{n}") for n, r in wanted.items()])
     carried = totals.select(*keys, "_chunk", *[carry[r.how](F.col(f"_t_{n}")).alias(f"_c_{n}")
                                                for n, r in wanted.items()])
@@ -77,8 +78,22 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Co
 
 def cohorts(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, key: str,
             name: str = "cohort") -> DataFrame:
-    """Number the runs of neighbouring rows that share ``key``."""
-    seen = running(df, keys, order, chunk, _before=Running("lag", F.col(key)))
-    starts = F.when(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col(key)), 1).otherwise(0)
-    return running(seen.withColumn("_starts", starts.cast("bigint")), keys, order, chunk,
-                   **{name: Running("sum", F.col("_starts"))}).drop("_before", "_starts")
+    """Number the runs of neighbouring rows that share ``key``.
+
+    Inside a chunk a run starts where the key is not that of the row before; whether a chunk's first row starts one is
+    settled between the one row per chunk that holds its first and last key.
+    """
+    position = F.struct(*order)
+    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    before = F.lag(F.struct(key)).over(local)
+    chunked = df.withColumn("_chunk", chunk).repartition(*keys, "_chunk").withColumn(
+        "_starts", F.when(before.isNotNull() & ~before[key].eqNullSafe(F.col(key)), 1).otherwise(0).cast("bigint"))
+    totals = chunked.groupBy(*keys, "_chunk").agg(
+        F.sum("_starts").alias("_n"), F.min_by(F.struct(key), position).alias("_first"), F.max_by(F.struct(key), position).alias("_last"))
+    fresh = totals.withColumn("_fresh", F.when(F.lag("_last").over(across).eqNullSafe(F.col("_first")), 0).otherwise(1))
+    carried = fresh.select(*keys, "_chunk", (F.coalesce(F.sum(F.col("_n") + F.col("_fresh")).over(
+        across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_fresh")).alias("_base"))
+    return chunked.join(carried, [*keys, "_chunk"]).withColumn(
+        name, (F.col("_base") + F.sum("_starts").over(upto)).cast("bigint")).drop("_chunk", "_starts", "_base")

@@ -126,11 +126,18 @@ def back_to_front(edits: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def drop_dominated(edits: DataFrame, dominant: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Edits that no dominant edit of their text overlaps."""
-    d = dominant.select(*keys, F.col("begin").alias("_b"), F.col("end").alias("_e"))
-    on = [F.col(f"a.{k}") == F.col(f"d.{k}") for k in keys]
-    return edits.alias("a").join(d.alias("d"), [*on, F.col("a.begin") < F.col("d._e"), F.col("d._b") < F.col("a.end")],
-                                 "left_anti")
+    """Edits that no dominant edit of their text overlaps.
+
+    An edit is overlapped when, of the dominant ones that begin before its end, the furthest reaching ends behind its
+    begin. Both kinds of a text are one ordered sequence, so that is a running maximum and no pair of them is made.
+    """
+    columns = edits.columns
+    asked = edits.select(F.col("end").alias("_at"), F.lit(0).alias("_d"), F.lit(None).cast("bigint").alias("_reach"), *columns)
+    ruling = dominant.select(F.col("begin").alias("_at"), F.lit(1).alias("_d"), F.col("end").cast("bigint").alias("_reach"),
+                             *[F.col(c) if c in keys else F.lit(None).cast(edits.schema[c].dataType).alias(c) for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_at", "_d").rowsBetween(Window.unboundedPreceding, -1)
+    return asked.unionByName(ruling).withColumn("_max", F.max("_reach").over(before)).filter(
+        (F.col("_d") == 0) & (F.col("_max").isNull() | (F.col("_max") <= F.col("begin")))).select(*columns)
 
 
 def shift_offsets(points: DataFrame, edits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -148,11 +155,18 @@ def shift_offsets(points: DataFrame, edits: DataFrame, keys: Sequence[str]) -> D
             .select(*keys, F.col("_old").alias("offset"), (F.col("_old") + F.col("_sum")).alias("moved")))
 
 
-def spans_in_runs(spans: DataFrame, runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spans that stand whole inside a changed run; those that straddle an edge are left out."""
-    r = runs.select(*keys, F.col("begin").alias("run_begin"), F.col("end").alias("run_end"), "change")
-    return spans.join(r, list(keys)).filter(
-        (F.col("begin") >= F.col("run_begin")) & (F.col("end") <= F.col("run_end")) & (F.col("begin") <= F.col("end")))
+def spans_in_runs(spans: DataFrame, runs: DataFrame, keys: Sequence[str], bin_size: int = 4096) -> DataFrame:
+    """Spans that stand whole inside a changed run; those that straddle an edge are left out.
+
+    A run lists the bins of its text it reaches into and a span looks in the bin it begins in, so spans meet only the
+    runs near them.
+    """
+    r = runs.filter("begin <= end").select(
+        *keys, F.col("begin").alias("run_begin"), F.col("end").alias("run_end"), "change", F.explode(F.sequence(
+            F.floor(F.col("begin") / bin_size), F.floor(F.col("end") / bin_size))).alias("_bin"))
+    s = spans.withColumn("_bin", F.floor(F.col("begin") / bin_size))
+    return s.join(r, [*keys, "_bin"]).filter(
+        (F.col("begin") >= F.col("run_begin")) & (F.col("end") <= F.col("run_end")) & (F.col("begin") <= F.col("end"))).drop("_bin")
 
 
 def mask(texts: DataFrame, spans: DataFrame, keys: Sequence[str], text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -93,3 +93,16 @@ def test_chunked_running_values_equal_plain_windows(spark):
     got = O.running(df, ["k"], ["n"], F.floor(F.col("n") / 8), s=O.Running("sum", F.col("v")), m=O.Running("max", F.col("v")),
                     l=O.Running("last", F.col("v"), before=True), x=O.Running("next", F.col("v")), g=O.Running("lag", F.col("v")))
     assert sorted(map(tuple, got.select(*plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_cohorts_run_on_over_chunks(spark):
+    rng = random.Random(31)
+    rows = [(k, n, rng.choice("xxy")) for k in range(4) for n in range(50)]
+    got = O.cohorts(spark.createDataFrame(rows, "k long, n long, c string"), ["k"], ["n"], F.floor(F.col("n") / 6), "c")
+    seen = {(r.k, r.n): r.cohort for r in got.collect()}
+    for k in range(4):
+        cohort, last = 0, None
+        for _, n, c in (r for r in rows if r[0] == k):
+            cohort += c != last
+            last = c
+            assert seen[(k, n)] == cohort
