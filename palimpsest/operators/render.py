@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
-from palimpsest.session import small_side
 
 
 def _ordered(order, value, separator=""):
@@ -115,7 +114,7 @@ def render_documents(blocks: DataFrame, keys: Sequence[str], form: str) -> DataF
 
 def with_section_numbers(sections: DataFrame, numbers: DataFrame) -> DataFrame:
     """The number an option gives a section name. ``numbers``: stable, number; one row per name."""
-    return sections.join(small_side(numbers), "stable", "left")
+    return sections.join(numbers, "stable", "left")
 
 
 def unmatched_options(options: DataFrame, sections: DataFrame) -> DataFrame:

@@ -1,14 +1,10 @@
-"""Session defaults, the shared checkpoint folder, and size-checked broadcasts."""
+"""Session defaults and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only when the optimizer's own estimate of it stays under this many bytes.
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -19,6 +15,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -28,24 +25,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where neither the setting nor the context names a folder (a laptop, a test) is one made here.
+    Where the setting is absent a folder is made only for a local master (a laptop, a test); on a cluster its absence
+    is an error, since a folder of one machine would be silently missing on the others.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
-
+        context.setCheckpointDir(named)
+    return named
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; nothing is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
-
-def small_side(df: DataFrame) -> DataFrame:
-    """Hint a broadcast when the plan's estimated size is under the bound; otherwise leave the join to AQE."""
-    return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared folder; runs the plan so far."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
