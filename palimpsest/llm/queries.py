@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import personal
+from palimpsest.llm import language, personal
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,6 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(ident: str = "doc_id"):
+    """True on the fifth of ids that no model here may learn from; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(ident).cast("string"), F.lit(""))) % 5 == 0
+
+
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document; prototypes are learned from all documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    prototypes = language.learn(docs.filter(~held_out()))
+    found = language.identify(docs, prototypes, ["doc_id"])
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_personal_data")
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and places of the personal data of each document."""
