@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import language, personal
+from palimpsest.llm import language, personal, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -52,3 +52,15 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(counted(kind) for kind in personal.BASE),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document and its worst sentence; fitted on labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter(~held_out())
+    weights = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    found = toxicity.score(docs, weights)
+    return found.select("doc_id", held_out().alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
+                        "worst_start", "worst_end", "worst_score")
