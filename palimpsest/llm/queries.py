@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import language, personal, toxicity
+from palimpsest.llm import language, personal, toxicity, warc
+from palimpsest.session import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -59,8 +60,34 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document and its worst sentence; fitted on labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter(~held_out())
-    weights = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    weights = toxicity.fit(docs, labels)
     found = toxicity.score(docs, weights)
     return found.select("doc_id", held_out().alias("held_out"), "score",
                         F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
                         "worst_start", "worst_end", "worst_score")
+
+
+@query("op10_warc", """
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest
+  FROM pages),
+bits AS (
+  SELECT *, array_to_string(list_transform(regexp_extract_all(hex, '.'),
+      lambda d: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110',
+            '1111'][strpos('0123456789abcdef', d)]), '') AS b
+  FROM page)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+           + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = latest THEN NULL ELSE latest END AS refers_to
+FROM bits
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through archives and back: what each capture's records say."""
+    path = warc.archive_folder(shared_folder(spark))
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.captures(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

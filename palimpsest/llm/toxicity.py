@@ -1,12 +1,12 @@
 """Toxicity as multiple-instance learning: sentences are scored, documents carry the labels.
 
 A text is cut into sentences after ``.``, ``!``, ``?`` and at line ends. A sentence's features are the distinct hash
-buckets of its lower-cased words and of their beginnings of 4 to 7 bytes. Its score is a logistic function of the summed weights;
+buckets of its lower-cased words and of their beginnings of 4 to 6 bytes. Its score is a logistic function of the summed weights;
 the text's score is the noisy-or of its sentences, 1 - prod(1 - p). Weights are learned by gradient steps on the
 likelihood of the document labels alone, so the model itself finds which sentences carry a label.
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows of each label, those with the smallest hash of their text and
-id: a documented bound, so the learner's input does not grow. Scoring covers every sentence of every whole text.
+The model is fitted on at most ``FIT_ROWS`` labelled rows of each label, those with the smallest hash of their id: a
+documented bound, so the learner's input does not grow. Scoring covers every sentence of every whole text.
 
 Null and empty texts have no sentence and score 0, as does everything when no row of label 1 is known. Labels other
 than 0 and 1 are not learned from. Several labels of one document are learned each for itself. Repeated rows are scored
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from palimpsest.llm import texts
 
 BUCKETS = 1 << 18  # weights of the model
-FIT_ROWS = {0: 8000, 1: 4000}  # labelled rows of each label that the model is fitted on, at most
+FIT_ROWS = {0: 4000, 1: 2000}  # labelled rows of each label that the model is fitted on, at most
 SUPPORT = 5  # a feature of fewer of those rows has no weight
-STEPS = 1200  # of BATCH rows each
+STEPS = 700  # of BATCH rows each
 BATCH = 256
 BIAS = -10.0  # a sentence begins as clean: long texts have thousands of them
-PREFIXES = (4, 5, 6, 7)  # bytes
+PREFIXES = (4, 5, 6)  # bytes
 
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord("."), ord("!"), ord("?")]] = True
@@ -74,15 +74,23 @@ def _sentence_scores(weights: np.ndarray, bias: float, sentence: np.ndarray, buc
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(labelled: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "label") -> np.ndarray | None:
-    """Weights of all buckets and, last, the bias; None where no row of label 1 or none of label 0 is given."""
-    given = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(
-        F.col(label).cast("int").alias("label"), F.col(text).cast("string").alias("text"),
-        F.xxhash64(F.col(ident).cast("string"), F.crc32(F.col(text).cast("string"))).alias("order"))
-    sample = None
-    for value in (0, 1):
-        part = given.filter(F.col("label") == value).orderBy("order", "text").limit(FIT_ROWS[value])
-        sample = part if sample is None else sample.union(part)
+def sample_labels(labels: DataFrame, ident: str = "doc_id", label: str = "label") -> DataFrame:
+    """id and label of at most FIT_ROWS[label] rows of ``labels`` of each label, those with the smallest hash of the id."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).select(
+        F.col(ident).alias("id"), F.col(label).cast("int").alias("label"))
+    chosen = [known.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS[value])
+              for value in (0, 1)]
+    return chosen[0].union(chosen[1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text",
+        label: str = "label") -> np.ndarray | None:
+    """Weights of all buckets and, last, the bias; None where no row of label 1 or none of label 0 is given.
+
+    The sampled labels, bounded by FIT_ROWS, are broadcast to the texts; their features meet in one task that fits.
+    """
+    given = docs.select(docs[ident].alias("id"), docs[text].cast("string").alias("text")).filter(
+        F.col("text").isNotNull()).join(F.broadcast(sample_labels(labels, ident, label)), "id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,15 +101,18 @@ def fit(labelled: DataFrame, ident: str = "doc_id", text: str = "text", label: s
                 rows = [(sentence[a:b] - s).astype(np.int32).tobytes() for a, b, s in zip(at, at[1:], of)]
                 cols = [bucket[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("label"), piece.column("order"), pa.array(np.diff(of), pa.int32()),
-                     pa.array(rows, pa.binary()), pa.array(cols, pa.binary())],
-                    ["label", "order", "n", "sentence", "bucket"])
-    rows = sample.mapInArrow(features, "label int, order bigint, n int, sentence binary, bucket binary").collect()
-    rows = sorted((r for r in rows if r["n"]), key=lambda r: (r["order"], r["label"], r["bucket"]))
-    labels = np.array([r["label"] for r in rows], float)
-    if not len(labels) or labels.min() == labels.max():
-        return None
-    return _descend(rows, labels)
+                    [piece.column("label"), pa.array(np.diff(of), pa.int32()),
+                     pa.array(rows, pa.binary()), pa.array(cols, pa.binary())], ["label", "n", "sentence", "bucket"])
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist() if r["n"]]
+        rows.sort(key=lambda r: (r["label"], r["bucket"], r["sentence"]))  # whatever order the rows came in
+        found = np.array([r["label"] for r in rows], float)
+        if len(found) and found.min() != found.max():
+            yield pa.RecordBatch.from_pydict({"weights": [_descend(rows, found).tobytes()]})
+    featured = given.mapInArrow(features, "label int, n int, sentence binary, bucket binary")
+    learned = featured.repartition(1).mapInArrow(descend, "weights binary").collect()
+    return np.frombuffer(learned[0]["weights"]) if learned else None
 
 
 def _descend(rows: list, labels: np.ndarray) -> np.ndarray:
