@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import language, personal, toxicity, warc
+from palimpsest.llm import jaccard, language, personal, toxicity, warc
 from palimpsest.session import shared_folder
 
 QUERIES: dict = {}
@@ -39,6 +39,31 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+GRAMS = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+  FROM cut)"""
+
+
+@query("op4_ngram_jaccard", GRAMS + """,
+kinds AS (SELECT min(doc_id) AS k, g, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM sets) GROUP BY g),
+flat AS (SELECT k, n, unnest(g) AS s FROM kinds),
+meet AS (SELECT x.k AS a, y.k AS b, x.n + y.n AS n, count(*) AS c FROM flat x JOIN flat y ON x.s = y.s AND x.k <> y.k
+         GROUP BY ALL HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT k AS a, k AS b FROM kinds UNION SELECT r.a, m.b FROM reach r JOIN meet m ON r.b = m.a),
+root AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE root.c END AS component_id
+FROM sets s JOIN kinds ON list_sort(s.g) = kinds.g JOIN root ON root.a = kinds.k
+""")
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their five-word shingles."""
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op5_personal_data")
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and places of the personal data of each document."""
