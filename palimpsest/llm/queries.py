@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import jaccard, language, personal, toxicity, warc
+from palimpsest.llm import contamination, jaccard, language, personal, toxicity, warc
 from palimpsest.session import shared_folder
 
 QUERIES: dict = {}
@@ -49,6 +49,24 @@ sets AS (
   FROM cut)"""
 
 
+@query("op3_decontamination", GRAMS + """,
+items AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
+grams AS (
+  SELECT item_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g
+  FROM items),
+want AS (SELECT item_id, len(g) AS n, unnest(g) AS s FROM grams),
+have AS (SELECT doc_id, unnest(g) AS s FROM sets)
+SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_found FROM want JOIN have USING (s)
+GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
+""")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_ngram_jaccard", GRAMS + """,
 kinds AS (SELECT min(doc_id) AS k, g, len(g) AS n FROM (SELECT doc_id, list_sort(g) AS g FROM sets) GROUP BY g),
 flat AS (SELECT k, n, unnest(g) AS s FROM kinds),
