@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import contamination, jaccard, language, personal, toxicity, warc
+from palimpsest.llm import contamination, jaccard, language, personal, sharding, toxicity, warc
 from palimpsest.session import shared_folder
 
 QUERIES: dict = {}
@@ -134,3 +134,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.captures(spark, path).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes, equal texts together."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
