@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import contamination, jaccard, language, personal, sharding, toxicity, warc
+from palimpsest.llm import contamination, jaccard, language, mixing, personal, sharding, toxicity, warc
 from palimpsest.session import shared_folder
 
 QUERIES: dict = {}
@@ -140,3 +140,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes, equal texts together."""
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken when sources are mixed half way to equal weights, repeated four times at most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs).select("doc_id", "source", "n_tokens", "weight", "quota", "copies")
