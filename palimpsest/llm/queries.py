@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import contamination, jaccard, language, mixing, personal, sharding, toxicity, warc
+from palimpsest.llm import contamination, jaccard, language, mixing, neighbours, personal, sharding, toxicity, warc
 from palimpsest.session import shared_folder
 
 QUERIES: dict = {}
@@ -147,3 +147,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document is taken when sources are mixed half way to equal weights, repeated four times at most."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mixed(docs).select("doc_id", "source", "n_tokens", "weight", "quota", "copies")
+
+
+@query("op8_embedding_near_dups", """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+          WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+pass1 AS (SELECT vec_id, least(vec_id, coalesce(min(b), vec_id)) AS c, count(b) AS n FROM v LEFT JOIN links ON a = vec_id
+          GROUP BY vec_id),
+pass2 AS (SELECT p.vec_id, p.n, least(p.c, coalesce(min(q.c), p.c)) AS c
+          FROM pass1 p LEFT JOIN links ON a = p.vec_id LEFT JOIN pass1 q ON q.vec_id = b GROUP BY p.vec_id, p.n, p.c),
+pass3 AS (SELECT p.vec_id, p.n, least(p.c, coalesce(min(q.c), p.c)) AS c
+          FROM pass2 p LEFT JOIN links ON a = p.vec_id LEFT JOIN pass2 q ON q.vec_id = b GROUP BY p.vec_id, p.n, p.c)
+SELECT vec_id, n AS n_links, c AS component_id, vec_id = c AS kept FROM pass3
+""")
+def op8_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of one label with cosine 0.93 or more."""
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
