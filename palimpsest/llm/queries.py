@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import contamination, jaccard, language, mixing, neighbours, personal, sharding, toxicity, warc
+from palimpsest.llm import contamination, jaccard, language, licences, mixing, neighbours, personal, sharding, toxicity, warc
 from palimpsest.session import shared_folder
 
 QUERIES: dict = {}
@@ -39,6 +39,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op2_licences")
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licences of documents. The tables have no paths: a document's path is made from its source and
+    id, a hundred to a directory, every tenth named as a licence file, every hundredth of them a level higher."""
+    i = F.col("doc_id")
+    upper = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.concat(F.lit("v"), F.floor(i / 1000).cast("string")))
+    path = F.when(i % 1000 == 0, F.concat(upper, F.lit("/LICENSE."), i.cast("string"))).otherwise(F.concat(
+        upper, F.lit("/p"), F.floor(i / 100).cast("string"), F.when(i % 10 == 0, "/LICENSE.").otherwise("/text."),
+        i.cast("string")))
+    docs = table(spark, sf_dir, "documents").withColumn("path", path)
+    return licences.inherit(licences.declared(docs, keep=("doc_id", "path")))
+
+
 GRAMS = r"""
 WITH RECURSIVE cut AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
