@@ -27,6 +27,7 @@ from palimpsest.llm import texts
 
 DIMENSIONS = 512
 SEED = 20
+FLOOR = 0.02  # a text whose cosine with every prototype is under this is like no language
 _TRIGRAMS_AT_ONCE = 4096
 _ITEMS: dict[int, np.ndarray] = {}
 _LETTERS: list[np.ndarray] = []
@@ -154,3 +155,24 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
     schema = ", ".join(f"k{i} {given.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     out = given.mapInArrow(predict, f"{schema}, lang_pred string, score double")
     return out.select(*(F.col(f"k{i}").alias(name) for i, name in enumerate(keep)), "lang_pred", "score")
+
+
+def select_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text",
+                 floor: float = FLOOR) -> DataFrame:
+    """``docs`` less the rows that are ``und`` or whose cosine with every prototype is under ``floor``; columns stay and
+    no row leaves its task. Without prototypes only rows without a letter go."""
+    unit = [prototypes[name] / np.linalg.norm(prototypes[name]) for name in prototypes]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = names[docs.columns.index(text)]
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in texts.slices(batch, place):
+                rows = bundles(piece.column(place).to_pylist())
+                size = np.linalg.norm(rows, axis=1)
+                keep = size > 0
+                if unit:
+                    keep &= (rows @ np.stack(unit).T).max(1) >= floor * size
+                yield piece.filter(pa.array(keep))
+    out = docs.toDF(*names)
+    return out.mapInArrow(select, out.schema).toDF(*docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from palimpsest.llm import contamination, jaccard, language, licences, mixing, neighbours, personal, sharding, toxicity, warc
 from palimpsest.session import shared_folder
 
@@ -177,3 +178,13 @@ SELECT vec_id, n AS n_links, c AS component_id, vec_id = c AS kept FROM pass3
 def op8_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings of one label with cosine 0.93 or more."""
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
