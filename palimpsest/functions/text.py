@@ -80,19 +80,41 @@ def strip_decoration(raw: Column | str) -> Column:
 # --- headings, fences, references, tags ---------------------------------------------------------------------------
 
 _HEADING_TAG = f"^{BLANKS}//[/!]?{BLANKS}\\\\rSec"
-_HEADING = f"{_HEADING_TAG}([0-9]+){BLANKS}\\[([^\\]]*)\\]{BLANKS}\\{{([^}}]*)\\}}"
+_BARE_TAG = f"^{BLANKS}(?://[/!]?{BLANKS})?\\\\rSec"
+_HEAD = f"([0-9]+){BLANKS}\\[([^\\]]*)\\]{BLANKS}\\{{"
 
 
-def heading_tagged(raw: Column | str) -> Column:
-    return _col(raw).rlike(_HEADING_TAG)
+def heading_tagged(raw: Column | str, bare: bool = False) -> Column:
+    """A line that begins a heading; with ``bare`` also one without a comment leader, as drafts have them."""
+    return _col(raw).rlike(_BARE_TAG if bare else _HEADING_TAG)
 
 
-def heading_of(raw: Column | str) -> Column:
-    """struct(depth, stable, title) of a well-formed heading line, else NULL."""
+def balanced(text: Column) -> Column:
+    """What stands before the brace that closes a group opened just ahead of ``text``; NULL where none does.
+
+    Nested groups of any depth are passed over, by one fold over the braces of the text.
+    """
+    braces = F.regexp_extract_all(text, F.lit("[^{}]*[{}]"), F.lit(0))
+
+    def step(acc, part):
+        depth = acc["depth"] + F.when(F.endswith(part, F.lit("{")), 1).otherwise(-1)
+        ended = acc["depth"] == 0
+        return F.struct(F.when(ended, 0).otherwise(depth).alias("depth"),
+                        (acc["length"] + F.when(ended, 0).otherwise(F.length(part))).alias("length"))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("length"))
+    end = F.aggregate(braces, start, step)
+    return F.when(end["depth"] == 0, F.substring(text, F.lit(1), end["length"] - 1))
+
+
+def heading_of(raw: Column | str, bare: bool = False) -> Column:
+    """struct(depth, stable, title) of a well-formed heading line, else NULL. The title is a balanced group."""
     raw = _col(raw)
-    part = lambda i: F.regexp_extract(raw, _HEADING, i)
-    return F.when(raw.rlike(_HEADING), F.struct(
-        part(1).cast("int").alias("depth"), part(2).alias("stable"), unwrap_title(part(3)).alias("title")))
+    head = (_BARE_TAG if bare else _HEADING_TAG) + _HEAD
+    part = lambda i: F.regexp_extract(raw, head, i)
+    title = balanced(F.regexp_replace(raw, head, ""))
+    return F.when(raw.rlike(head) & title.isNotNull(), F.struct(
+        part(1).try_cast("bigint").alias("depth"), part(2).alias("stable"),
+        unwrap_title(title).alias("title")))
 
 
 def unwrap_title(title: Column) -> Column:

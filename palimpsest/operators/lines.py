@@ -34,29 +34,39 @@ def classify(lines: DataFrame, raw: str = "raw") -> DataFrame:
     return lines.withColumn("vocab", X.vocabulary_of(raw)).withColumn("text", X.strip_decoration(raw))
 
 
-def headings(lines: DataFrame, raw: str = "raw") -> DataFrame:
+def headings(lines: DataFrame, raw: str = "raw", bare: bool = False) -> DataFrame:
     """Heading lines with depth, stable name and title; a tagged line that does not parse is kept as malformed."""
-    return (lines.filter(X.heading_tagged(raw)).withColumn("_h", X.heading_of(raw))
+    return (lines.filter(X.heading_tagged(raw, bare)).withColumn("_h", X.heading_of(raw, bare))
             .withColumn("malformed", F.col("_h").isNull())
             .withColumns({"depth": F.col("_h.depth"), "stable": F.col("_h.stable"), "title": F.col("_h.title")})
             .drop("_h", raw))
 
 
-def wrapped_headings(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: str = "raw") -> DataFrame:
-    """Heading lines with a title left open joined to the comment lines that close it."""
+def wrapped_headings(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: str = "raw",
+                     bare: bool = False) -> DataFrame:
+    """Lines with each heading whose title is left open joined to the lines that close it.
+
+    A title goes on over the comment lines after its own (with ``bare`` over any lines) until its group is balanced;
+    another heading, or a line that is no comment, ends the attempt.
+    """
     order = Window.partitionBy(*keys).orderBy("line_no")
-    opens = X.heading_tagged(raw) & ~F.col(raw).contains("}")
-    state = F.last(F.when(opens, F.struct(F.col("line_no").alias("at"), F.lit(True).alias("open")))
-                   .when(F.col(raw).contains("}") | X.heading_tagged(raw) | X.vocabulary_of(raw).isNull(),
-                         F.struct(F.col("line_no").alias("at"), F.lit(False).alias("open"))), ignorenulls=True)
-    before = state.over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = lines.withColumn("_before", before).withColumn(
-        "_head", F.when(F.col("_before.open") & X.vocabulary_of(raw).isNotNull() & ~X.heading_tagged(raw),
-                        F.col("_before.at")).otherwise(F.col("line_no")))
-    joined = marked.groupBy(*keys, F.col("_head").alias("line_no")).agg(
+    tagged = X.heading_tagged(raw, bare)
+    goes_on = F.lit(True) if bare else X.vocabulary_of(raw).isNotNull()
+    opens = F.regexp_count(raw, F.lit("\\{")) - F.regexp_count(raw, F.lit("\\}"))
+    run = F.sum((tagged | ~goes_on).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = lines.withColumns({"_run": run, "_tagged": tagged})
+    inside = Window.partitionBy(*keys, "_run").orderBy("line_no")
+    before = F.sum(opens).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumns({"_left": F.coalesce(before, F.lit(0)), "_headed": F.first("_tagged").over(inside)})
+    # A line belongs to the heading of its run while the group has stayed open on every line before it.
+    still = F.min(F.when(~F.col("_tagged"), F.col("_left"))).over(
+        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = marked.withColumn("_part", F.col("_headed") & ~F.col("_tagged") & (still > 0))
+    head = F.min("line_no").over(inside)
+    marked = marked.withColumn("_head", F.when(F.col("_part"), head).otherwise(F.col("line_no")))
+    return marked.groupBy(*keys, F.col("_head").alias("line_no")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", raw))), lambda s: s[raw]), "\n")
         .alias(raw))
-    return joined
 
 
 def fences(lines: DataFrame, raw: str = "raw") -> DataFrame:
@@ -132,10 +142,11 @@ def first_uses(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFr
         *keys, "_u.pos", "_u.name")
 
 
-def slice_sections(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: str = "raw") -> DataFrame:
+def slice_sections(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: str = "raw",
+                   bare: bool = False) -> DataFrame:
     """Each heading with its last line: the line before the next heading of the same or a higher level."""
     from palimpsest.operators import sections as S
-    heads = headings(lines, raw).filter("NOT malformed").select(*keys, "line_no", "depth", "stable")
+    heads = headings(lines, raw, bare).filter("NOT malformed").select(*keys, "line_no", "depth", "stable")
     last = lines.groupBy(*keys).agg(F.max("line_no").alias("_end"))
     nested = S.next_at_or_above(heads, keys)
     return nested.join(last, list(keys)).select(

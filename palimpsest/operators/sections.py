@@ -10,57 +10,73 @@ from pyspark.sql import functions as F
 from palimpsest import vocabulary as V
 from palimpsest.functions import text as X
 
-DEPTHS = tuple(range(1, 10))
+def _in_order(heads: DataFrame, keys: Sequence[str], order: str = "line_no") -> DataFrame:
+    """One row per document: its headings, a cell's worth, as one array in order."""
+    rest = [c for c in heads.columns if c not in keys]
+    ordered = F.struct(F.col(order).alias("_by"), F.struct(*rest).alias("h"))
+    return heads.groupBy(*keys).agg(F.sort_array(F.collect_list(ordered)).alias("_heads"))
 
 
-def heading_depths(heads: DataFrame) -> list[int]:
-    """The distinct depths in use, for corpora that go deeper than ``DEPTHS``."""
-    return sorted(r[0] for r in heads.select("depth").distinct().collect())
+def _unfolded(folded: DataFrame, heads: DataFrame, keys: Sequence[str], added: Sequence[str]) -> DataFrame:
+    rest = [c for c in heads.columns if c not in keys]
+    return folded.select(*keys, F.explode("_out").alias("_o")).select(
+        *keys, *[F.col(f"_o.h.{c}").alias(c) for c in rest], *[F.col(f"_o.{c}").alias(c) for c in added])
 
 
-def _open_at(depth: int, keys, before: bool, value="line_no"):
-    """The heading open at ``depth`` when a row is reached: the last of that depth with no shallower one after it."""
-    window = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(
-        Window.unboundedPreceding, -1 if before else Window.currentRow)
-    return F.last(F.when(F.col("depth") == depth, F.col(value))
-                  .when(F.col("depth") < depth, F.lit(None).cast("string") if value != "line_no" else F.lit(-1)),
-                  ignorenulls=True).over(window)
+def fold_headings(heads: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Parent, ancestors and their names of every heading; a heading closes each open one at its depth or deeper.
 
-
-def fold_headings(heads: DataFrame, keys: Sequence[str] = ("doc_id",), depths: Sequence[int] = DEPTHS) -> DataFrame:
-    """Parent and path of every heading; a heading closes each open one at its depth or deeper.
-
-    One window column per depth and one sort for all of them. The parent is the deepest heading still open at a
-    smaller depth.
+    One fold over a document's headings with the stack of open ones, of any depth. The parent is the innermost
+    heading still open; ``ancestors`` are the lines of all open ones, outermost first, and ``names`` their stable names.
     """
-    opened = heads.withColumns({f"_o{d}": _open_at(d, keys, before=True) for d in depths})
-    parent = F.coalesce(*[F.when((F.col("depth") > d) & (F.col(f"_o{d}") > 0), F.col(f"_o{d}"))
-                          for d in sorted(depths, reverse=True)])
-    ancestors = F.array_compact(F.array(*[
-        F.when((F.col("depth") > d) & (F.col(f"_o{d}") > 0), F.col(f"_o{d}")) for d in sorted(depths)]))
-    return opened.withColumns({"parent": parent, "ancestors": ancestors}).drop(*[f"_o{d}" for d in depths])
-
-
-def next_at_or_above(heads: DataFrame, keys: Sequence[str] = ("doc_id",),
-                     depths: Sequence[int] = DEPTHS) -> DataFrame:
-    """For each heading, the line of the next one of the same or a smaller depth."""
-    after = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    nexts = {f"_n{d}": F.min(F.when(F.col("depth") <= d, F.col("line_no"))).over(after) for d in depths}
-    out = heads.withColumns(nexts)
-    chosen = F.coalesce(*[F.when(F.col("depth") == d, F.col(f"_n{d}")) for d in depths])
-    return out.withColumn("next_line", chosen).drop(*nexts)
-
-
-def context_paths(tree: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    heads = heads.withColumn("depth", F.col("depth").cast("bigint"))
+    heads = heads if "stable" in heads.columns else heads.withColumn("stable", F.lit(""))
+    kinds = heads.schema
+    opened = f"array<struct<depth:bigint,line_no:{kinds['line_no'].dataType.simpleString()},stable:string>>"
+    grouped = _in_order(heads, keys)
+    row = grouped.schema["_heads"].dataType.elementType["h"].dataType.simpleString()
+    out = f"array<struct<h:{row},open:{opened}>>"
+
+    def step(acc, x):
+        h = x["h"]
+        still = F.filter(acc["stack"], lambda s: s["depth"] < h["depth"])
+        own = F.struct(h["depth"].alias("depth"), h["line_no"].alias("line_no"), h["stable"].alias("stable"))
+        return F.struct(F.concat(still, F.array(own)).cast(opened).alias("stack"),
+                        F.concat(acc["out"], F.array(F.struct(h.alias("h"), still.alias("open"))).cast(out)).alias("out"))
+    start = F.struct(F.array().cast(opened).alias("stack"), F.array().cast(out).alias("out"))
+    folded = grouped.select(*keys, F.aggregate("_heads", start, step)["out"].alias("_out"))
+    tree = _unfolded(folded, heads, keys, ["open"])
+    return tree.withColumns({
+        "parent": F.get(F.col("open")["line_no"], F.size("open") - 1), "ancestors": F.col("open")["line_no"],
+        "names": F.filter(F.col("open")["stable"], lambda s: s != "")}).drop("open")
+
+
+def next_at_or_above(heads: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """For each heading, the line of the next one of the same or a smaller depth, by one fold from the end."""
+    heads = heads.withColumn("depth", F.col("depth").cast("bigint"))
+    line = heads.schema["line_no"].dataType.simpleString()
+    later = f"array<struct<depth:bigint,line_no:{line}>>"
+    grouped = _in_order(heads, keys)
+    row = grouped.schema["_heads"].dataType.elementType["h"].dataType.simpleString()
+    out = f"array<struct<h:{row},next_line:{line}>>"
+
+    def step(acc, x):
+        h = x["h"]
+        met = F.filter(acc["stack"], lambda s: s["depth"] <= h["depth"])
+        left = F.filter(met, lambda s: s["depth"] < h["depth"])
+        own = F.struct(h["depth"].alias("depth"), h["line_no"].alias("line_no"))
+        made = F.struct(h.alias("h"), F.get(met["line_no"], F.size(met) - 1).alias("next_line"))
+        return F.struct(F.concat(left, F.array(own)).cast(later).alias("stack"),
+                        F.concat(acc["out"], F.array(made).cast(out)).alias("out"))
+    start = F.struct(F.array().cast(later).alias("stack"), F.array().cast(out).alias("out"))
+    folded = grouped.select(*keys, F.aggregate(F.reverse("_heads"), start, step)["out"].alias("_out"))
+    return _unfolded(folded, heads, keys, ["next_line"])
+
+
+def context_paths(tree: DataFrame) -> DataFrame:
     """The stable names from the outermost section to each heading, joined with slashes; nameless levels are left out."""
-    up = (tree.select(*keys, "line_no", F.posexplode("ancestors").alias("_i", "_a"))
-          .join(tree.select(*keys, F.col("line_no").alias("_a"), F.col("stable").alias("_s")), [*keys, "_a"]))
-    names = up.filter("_s <> ''").groupBy(*keys, "line_no").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda s: s["_s"]).alias("_up"))
     own = F.when(F.col("stable") != "", F.array("stable")).otherwise(F.array().cast("array<string>"))
-    return (tree.join(names, [*keys, "line_no"], "left")
-            .withColumn("context", F.array_join(
-                F.concat(F.coalesce("_up", F.array().cast("array<string>")), own), "/")).drop("_up"))
+    return tree.withColumn("context", F.array_join(F.concat("names", own), "/"))
 
 
 def section_of_lines(lines: DataFrame, heads: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -74,42 +90,39 @@ def section_of_lines(lines: DataFrame, heads: DataFrame, keys: Sequence[str] = (
             .drop("_s", "_h"))
 
 
-FENCED = "{keys}, line_no bigint, event string, stable string, parent bigint, closes bigint, warning string"
-
-
 def fold_fenced(events: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Sections of documents whose end fences close them.
 
     ``events`` has ``event`` 'open' or 'close', ``depth`` (NULL for a fence), ``stable``. A fence closes the
     innermost open section when the name is the same and is a finding otherwise; what is open then depends on
-    every earlier event, so one document folds as one group. A document is one cell, which bounds the group.
+    every earlier event, so one document folds as one array with the stack of what is open.
     """
-    key_types = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in keys)
-    columns = [*keys, "line_no", "event", "stable", "parent", "closes", "warning"]
-
-    def fold(frame):
-        frame = frame.sort_values("line_no")
-        stack, rows = [], []
-        for row in frame.itertuples(index=False):
-            parent = closes = warning = None
-            if row.event == "open":
-                while stack and stack[-1][0] >= row.depth:
-                    stack.pop()
-                parent = stack[-1][2] if stack else None
-                stack.append((row.depth, row.stable, row.line_no))
-            elif not stack:
-                warning = V.FENCE_NONE % row.stable
-            elif stack[-1][1] != row.stable:
-                warning = V.FENCE_MISMATCH % (row.stable, stack[-1][1])
-            else:
-                closes = stack.pop()[2]
-            rows.append((*[getattr(row, k) for k in keys], row.line_no, row.event, row.stable, parent, closes,
-                         warning))
-        import pandas as pd
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"parent": "Int64", "closes": "Int64"})
-
-    return events.groupBy(*keys).applyInPandas(fold, FENCED.format(keys=key_types))
+    events = events.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), "event",
+                           F.col("depth").cast("bigint").alias("depth"), "stable")
+    opened = "array<struct<depth:bigint,line_no:bigint,stable:string>>"
+    grouped = _in_order(events, keys)
+    row = grouped.schema["_heads"].dataType.elementType["h"].dataType.simpleString()
+    out = f"array<struct<h:{row},parent:bigint,closes:bigint,warning:string>>"
+    mismatch = V.FENCE_MISMATCH.replace("%s", "%1$s", 1).replace("%s", "%2$s", 1)
+
+    def step(acc, x):
+        h = x["h"]
+        opens = h["event"] == "open"
+        still = F.when(opens, F.filter(acc["stack"], lambda s: s["depth"] < h["depth"])).otherwise(acc["stack"])
+        top = F.get(still, F.size(still) - 1)
+        match = ~opens & top.isNotNull() & top["stable"].eqNullSafe(h["stable"])
+        own = F.struct(h["depth"].alias("depth"), h["line_no"].alias("line_no"), h["stable"].alias("stable"))
+        stack = F.when(opens, F.concat(still, F.array(own))).when(
+            match, F.slice(still, F.lit(1), F.greatest(F.size(still) - 1, F.lit(0)))).otherwise(still)
+        warning = F.when(opens | match, None).when(top.isNull(), F.format_string(V.FENCE_NONE, h["stable"])).otherwise(
+            F.format_string(mismatch, h["stable"], top["stable"]))
+        made = F.struct(h.alias("h"), F.when(opens, top["line_no"]).alias("parent"),
+                        F.when(match, top["line_no"]).alias("closes"), warning.alias("warning"))
+        return F.struct(stack.cast(opened).alias("stack"),
+                        F.concat(acc["out"], F.array(made).cast(out)).alias("out"))
+    start = F.struct(F.array().cast(opened).alias("stack"), F.array().cast(out).alias("out"))
+    folded = grouped.select(*keys, F.aggregate("_heads", start, step)["out"].alias("_out"))
+    return _unfolded(folded, events, keys, ["parent", "closes", "warning"]).drop("depth")
 
 
 def section_names(heads: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

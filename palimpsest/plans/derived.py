@@ -40,7 +40,8 @@ cut AS (
 annotated AS (
   SELECT doc_id, line_no,
     CASE n % 17
-      WHEN 0 THEN '/// \\rSec' || CAST(1 + (n // 17) % 3 AS VARCHAR) || '[' || source || '.s' || line_no || ']{' || text || '}'
+      WHEN 0 THEN '/// \\rSec' || CAST((n // 17) % 13 AS VARCHAR) || '[' || source || '.s' || line_no || ']{' ||
+             CASE WHEN n // 17 % 2 = 1 THEN 'Of \\tcode{' || w1 || '{}} and ' || text || '} {after}' ELSE text || '}' END
       WHEN 1 THEN '/// END [' || source || '.s' || (line_no - 1 - n % 2) || ']'
       WHEN 2 THEN '//! \\effects ' || text
       WHEN 3 THEN '//! \\returns ' || text
@@ -69,8 +70,10 @@ def annotated(t) -> DataFrame:
     w2 = F.when(F.instr(text, " ") > 0, F.split_part(text, F.lit(" "), F.lit(2))).otherwise(text)
     name = F.concat(F.col("source"), F.lit(".s"))
     forms = [
-        F.concat(F.lit("/// \\rSec"), (1 + F.floor(n / 17) % 3).cast("string"), F.lit("["), name, F.col("line_no"),
-                 F.lit("]{"), text, F.lit("}")),
+        F.concat(F.lit("/// \\rSec"), (F.floor(n / 17) % 13).cast("string"), F.lit("["), name, F.col("line_no"),
+                 F.lit("]{"), F.when(F.floor(n / 17) % 2 == 1, F.concat(
+                     F.lit("Of \\tcode{"), w1, F.lit("{}} and "), text, F.lit("} {after}"))).otherwise(
+                     F.concat(text, F.lit("}")))),
         F.concat(F.lit("/// END ["), name, F.col("line_no") - 1 - n % 2, F.lit("]")),
         F.concat(F.lit("//! \\effects "), text),
         F.concat(F.lit("//! \\returns "), text),

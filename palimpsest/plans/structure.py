@@ -75,7 +75,7 @@ WITH {PAGE_TAGS}, o AS (
 SELECT page_id, line_no, stable AS tag, depth,
   CASE depth WHEN 3 THEN CASE WHEN o2 > 0 THEN o2 ELSE o1 END WHEN 2 THEN o1 END AS parent FROM o""")
 def page_tree(t):
-    return S.fold_headings(page_tags(t), ["page_id"], depths=(1, 2, 3)).select(
+    return S.fold_headings(page_tags(t), ["page_id"]).select(
         "page_id", "line_no", F.col("stable").alias("tag"), "depth", "parent")
 
 

@@ -38,12 +38,21 @@ roles AS (
                  WHEN tag IN ({in_list(V.BLOCK_TAGS)}) THEN 'block'
                  WHEN tag IN ({in_list(V.MARKER_TAGS)}) THEN 'marker' ELSE 'unknown' END AS role FROM tags)
 """
+# Headings by a scan of their characters: the title ends where the count of open braces comes to nothing.
 HEADS = ANNOTATED + r""",
-tagged AS (SELECT doc_id, line_no, raw,
-    regexp_extract(raw, '^[ \t]*//[/!]?[ \t]*\\rSec([0-9]+)[ \t]*\[([^\]]*)\][ \t]*\{([^}]*)\}', ['depth', 'stable', 'title']) AS h,
-    regexp_matches(raw, '^[ \t]*//[/!]?[ \t]*\\rSec([0-9]+)[ \t]*\[([^\]]*)\][ \t]*\{([^}]*)\}') AS ok
+opened AS (SELECT doc_id, line_no, raw,
+    regexp_extract(raw, '^[ \t]*//[/!]?[ \t]*\\rSec([0-9]+)[ \t]*\[([^\]]*)\][ \t]*\{', ['depth', 'stable']) AS h,
+    CASE WHEN regexp_matches(raw, '^[ \t]*//[/!]?[ \t]*\\rSec([0-9]+)[ \t]*\[([^\]]*)\][ \t]*\{')
+         THEN substr(raw, strpos(raw, '{') + 1) END AS rest
   FROM annotated WHERE regexp_matches(raw, '^[ \t]*//[/!]?[ \t]*\\rSec')),
-heads AS (SELECT doc_id, line_no, TRY_CAST(h.depth AS BIGINT) AS depth, h.stable AS stable, h.title AS title
+letters AS (SELECT doc_id, line_no, unnest(string_split(rest, '')) AS c,
+    generate_subscripts(string_split(rest, ''), 1) AS i FROM opened WHERE rest IS NOT NULL),
+counted AS (SELECT doc_id, line_no, i, 1 + sum(CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END)
+    OVER (PARTITION BY doc_id, line_no ORDER BY i) AS held FROM letters),
+title_ends AS (SELECT doc_id, line_no, min(i) AS at FROM counted WHERE held = 0 GROUP BY ALL),
+tagged AS (SELECT o.doc_id, o.line_no, raw, h, e.at IS NOT NULL AS ok, substr(rest, 1, e.at - 1) AS title
+  FROM opened o LEFT JOIN title_ends e ON e.doc_id = o.doc_id AND e.line_no = o.line_no),
+heads AS (SELECT doc_id, line_no, TRY_CAST(h.depth AS BIGINT) AS depth, h.stable AS stable, title
   FROM tagged WHERE ok)
 """
 
@@ -83,12 +92,44 @@ def comment_lines(t):
 
 
 @query("section_headings", f"""
-WITH {HEADS} SELECT doc_id, line_no, NOT ok AS malformed, TRY_CAST(h.depth AS BIGINT) AS depth,
-  CASE WHEN ok THEN h.stable END AS stable, CASE WHEN ok THEN h.title END AS title FROM tagged""")
+WITH {HEADS} SELECT doc_id, line_no, NOT ok AS malformed, CASE WHEN ok THEN TRY_CAST(h.depth AS BIGINT) END AS depth,
+  CASE WHEN ok THEN h.stable END AS stable, CASE WHEN ok THEN title END AS title FROM tagged""")
 def section_headings(t):
     return L.headings(D.annotated(t)).select("doc_id", "line_no", "malformed", "depth", "stable", "title")
 
 
+@query("wrapped_titles", f"""
+WITH {LINES} SELECT doc_id, 2 * line_no AS line_no, 'w' || line_no AS stable,
+  rtrim(split_part(text, ' ', 1)) || ' \\tcode{{' || ltrim(substr(text, length(split_part(text, ' ', 1)) + 1)) || '}}' AS title
+FROM lines WHERE NOT regexp_matches(text, '[{{}}\\r\\t]')""")
+def wrapped_titles(t):
+    """Titles broken over two lines, inside a nested group: each line of the corpus is written as such a heading."""
+    df = D.doc_lines(t).filter(~F.col("text").rlike("[{}\\r\\t]"))
+    first = F.split_part("text", F.lit(" "), F.lit(1))
+    rest = F.ltrim(F.substring(F.col("text"), F.length(first) + 1, F.length("text")))
+    parts = F.array(F.concat(F.lit("/// \\rSec3[w"), F.col("line_no"), F.lit("]{"), first, F.lit(" \\tcode{")),
+                    F.concat(F.lit("/// "), rest, F.lit("}} more")))
+    lines = df.select("doc_id", F.posexplode(parts).alias("_p", "raw"), "line_no").select(
+        "doc_id", (2 * F.col("line_no") + F.col("_p")).alias("line_no"), "raw")
+    return L.headings(L.wrapped_headings(lines)).filter("NOT malformed").select(
+        "doc_id", "line_no", "stable", F.regexp_replace("title", r"\{ ", "{").alias("title"))
+
+
+@query("bare_sections", f"""
+WITH {LINES}, h AS (SELECT doc_id, line_no, length(text) % 11 AS depth FROM lines WHERE length(text) % 3 = 0),
+ends AS (SELECT doc_id, max(line_no) AS last FROM lines GROUP BY doc_id)
+SELECT h.doc_id, 'b' || h.line_no AS stable, h.depth, h.line_no AS first_line,
+  coalesce((SELECT min(n.line_no) FROM h n WHERE n.doc_id = h.doc_id AND n.line_no > h.line_no AND n.depth <= h.depth) - 1,
+           e.last) AS last_line
+FROM h JOIN ends e ON e.doc_id = h.doc_id""")
+def bare_sections(t):
+    """Draft sections, whose headings have no comment leader: every third line length makes one."""
+    n = F.length("text")
+    raw = F.when(n % 3 == 0, F.concat(F.lit("\\rSec"), n % 11, F.lit("[b"), F.col("line_no"), F.lit("]{Title}"))).otherwise(
+        F.col("text"))
+    return L.slice_sections(D.doc_lines(t).select("doc_id", "line_no", raw.alias("raw")), bare=True)
+
+
 @query("page_headings", r"""
 WITH h AS (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS titles,
                   regexp_extract_all(html, '<h([1-6])[^>]*>[^<]*</h[1-6]>', 1) AS depths FROM pages)
