@@ -249,13 +249,17 @@ def diff_alike(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: f
     """Script of two lists whose elements match when their words are alike: list items, rows, signatures, blocks.
 
     Both sides: keys, ord from 1, text and the ``agree`` columns, which must be equal for two elements to match. With
-    ``lone_pair``, a single element on each side always matches.
+    ``lone_pair``, a single element on each side matches whatever its words.
     """
     rows = PR.two_sides(old, new, keys, "ord", agree)
     whole = _documents(rows, keys, PR.alike_in_document(rows, keys, threshold, agree).select(*keys, "i", "j"), exact=False)
     if lone_pair:
         only = F.array(F.struct(F.lit(1).cast("bigint").alias("i"), F.lit(1).cast("bigint").alias("j")))
-        whole = whole.withColumn("pairs", F.when((F.col("n") == 1) & (F.col("m") == 1), only).otherwise(F.col("pairs")))
+        kinds = F.struct(*agree) if agree else F.lit(0)
+        one_kind = rows.groupBy(*keys).agg(F.min(kinds).eqNullSafe(F.max(kinds)).alias("_one_kind"))
+        lone = (F.col("n") == 1) & (F.col("m") == 1) & F.col("_one_kind")
+        whole = whole.join(one_kind, list(keys)).withColumn("pairs", F.when(lone, only).otherwise(F.col("pairs"))).drop(
+            "_one_kind")
     return edits(_matched_scripts(whole), keys)
 
 

@@ -142,15 +142,24 @@ def order_findings(tags: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
     return repeat.unionByName(late)
 
 
-def exclusive_findings(tags: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]] = V.EXCLUSIVE_TAGS
-                       ) -> DataFrame:
-    """Descriptions that carry both tags of an exclusive pair. One aggregate holds the few tags of each."""
-    watched = sorted({t for pair in pairs for t in pair})
-    held = tags.filter(F.col("tag").isin(watched)).groupBy(*keys).agg(F.collect_set("tag").alias("_tags"))
-    clash = F.array_compact(F.array(*[
-        F.when(F.array_contains("_tags", a) & F.array_contains("_tags", b), F.lit(V.EXCLUSIVE % (a, b)))
-        for a, b in pairs]))
-    return held.select(*keys, F.lit("error").alias("severity"), F.explode(clash).alias("message"))
+def exclusive_findings(tags: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[str, str]] = V.EXCLUSIVE_TAGS,
+                       taken: Sequence[tuple[str, list[str], str]] = V.TAKEN_TAGS) -> DataFrame:
+    """Descriptions whose tags exclude one another, and ``\\also`` beside a description.
+
+    One aggregate holds the few tags of each description that any rule names.
+    """
+    watched = {t for pair in pairs for t in pair} | {t for tag, others, _ in taken for t in (tag, *others)}
+    watched |= {"also", *V.ELEMENT_KINDS}
+    held = tags.filter(F.col("tag").isin(sorted(watched))).groupBy(*keys).agg(F.collect_set("tag").alias("_tags"))
+    has = lambda tag: F.array_contains("_tags", tag)
+    any_of = lambda names: F.arrays_overlap("_tags", F.array(*map(F.lit, names)))
+
+    def finding(when, severity, message):
+        return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message")))
+    found = [finding(has(a) & has(b), "error", V.EXCLUSIVE % (a, b)) for a, b in pairs]
+    found += [finding(has(tag) & any_of(others), "error", message) for tag, others, message in taken]
+    found.append(finding(has("also") & any_of(V.ELEMENT_KINDS), "warning", V.ALSO_DESCRIBED))
+    return held.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("_f")).select(*keys, "_f.*")
 
 
 def merge_same_kind(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:

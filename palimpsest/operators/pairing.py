@@ -140,33 +140,25 @@ def pair_by_name(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str = "n
     return joined.select(*block, F.explode(every).alias("_p")).select(*block, "_p.*")
 
 
-def leftovers(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows of each side that no pair holds."""
-    return (a.join(pairs.select(*keys, "i"), [*keys, "i"], "left_anti"),
-            b.join(pairs.select(*keys, "j"), [*keys, "j"], "left_anti"))
-
-
 def pair_asking(asking: DataFrame, base: DataFrame, threshold: float = V.PAIRING_THRESHOLD
                 ) -> tuple[DataFrame, DataFrame]:
     """Pair items that ask for a description with unclaimed baseline items of the same section.
 
     ``asking``: doc_id, section, i, entities, text; ``base``: doc_id, section, j, entities, text. Items of the same
     entities pair first, best reading first; then an item with no entities on either side pairs by how alike the
-    declarations read, from the threshold on. Unpaired asking items are returned as the second table.
+    declarations read, from the threshold on; an item without a declaration does not pair there. Unpaired asking items are returned as the second table.
     """
     keys, block = ["doc_id"], ["doc_id", "section"]
-    label = F.concat_ws("|", "section", "entities")
-    named = pair_by_name(*(d.filter("entities <> ''").withColumn("name", label) for d in (asking, base)), keys)
+    named = pair_by_name(*(d.filter("entities <> ''") for d in (asking, base)), block, "entities")
     used = named.select(*keys, F.explode(F.array(
         F.struct(F.lit("old").alias("side"), F.col("i").alias("ord")),
         F.struct(F.lit("new").alias("side"), F.col("j").alias("ord")))).alias("_u")).select(*keys, "_u.*")
     rows = two_sides(asking, base, keys, ("i", "j"), ["section", "entities"]).join(used, [*keys, "side", "ord"], "left_anti")
-    unnamed = rows.withColumn("_u", F.col("entities") == "")
+    unnamed = rows.filter(F.trim("text") != "").withColumn("_u", F.col("entities") == "")
     alike = alike_in_document(unnamed.withColumn("ord", F.struct("ord", "_u")), keys, threshold, ["section"])
     eligible = alike.filter(F.col("i._u") | F.col("j._u")).select(
         *block, F.col("i.ord").alias("i"), F.col("j.ord").alias("j"), "score")
-    pairs = named.select("doc_id", F.split_part("name", F.lit("|"), F.lit(1)).cast("bigint").alias("section"), "i", "j", "score") \
-        .unionByName(fit_in_group(eligible, keys))
+    pairs = named.select(*block, "i", "j", "score").unionByName(fit_in_group(eligible, keys))
     return pairs, asking.join(pairs.select("doc_id", "i"), ["doc_id", "i"], "left_anti")
 
 

@@ -170,32 +170,35 @@ def spans_in_runs(spans: DataFrame, runs: DataFrame, keys: Sequence[str], bin_si
 
 
 def mask(texts: DataFrame, spans: DataFrame, keys: Sequence[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Spans replaced by placeholders no text of the corpus holds, and the table that gives them back.
+    """Spans replaced by placeholders the text does not hold, and the table that gives them back.
 
-    A placeholder is built from a character the text does not contain; a text that holds it is left as it is and
-    has no row in the table, so recovery is always exact.
+    A placeholder opens with one U+0001 more than the longest run of them in the text, then the number of the span and
+    U+0002, so it occurs nowhere in the text whatever that holds, and every span of every text is masked.
     """
-    clean = texts.filter(~F.col(text).rlike("[\\x{1}\\x{2}]"))
+    runs = F.transform(F.regexp_extract_all(F.col(text), F.lit("\u0001+"), F.lit(0)), lambda r: F.length(r))
+    opener = F.repeat(F.lit("\x01"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
 
-    def placeholder(number):
-        return F.concat(F.lit("\x01"), number.cast("string"), F.lit("\x02"))
+    def placeholder(opened, number):
+        return F.concat(opened, number.cast("string"), F.lit("\x02"))
 
-    taken = valid_spans(spans, keys)
-    listed = taken.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("begin", "span_ord", "end"))).alias("_s"))
-    table = clean.select(*keys, F.col(text).alias("_text")).join(listed, list(keys)).select(*keys, F.explode(F.transform(
-        "_s", lambda s: F.struct(placeholder(s["span_ord"]).alias("placeholder"), F.substring(
-            F.col("_text"), s["begin"].cast("int") + 1, (s["end"] - s["begin"]).cast("int")).alias("payload")))).alias("_p"))
-    masked = substitute(texts, spans, keys, lambda span, covered: placeholder(span["span_ord"]), text)
-    kept = masked.join(texts.select(*keys, F.col(text).alias("_text")), list(keys)).withColumn(
-        text, F.when(F.col("_text").rlike("[\\x{1}\\x{2}]"), F.col("_text")).otherwise(F.col(text))).drop("_text")
-    return kept, table.select(*keys, "_p.placeholder", "_p.payload")
+    listed = valid_spans(spans, keys).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("begin", "span_ord", "end"))).alias("_s"))
+    table = texts.select(*keys, F.col(text).alias("_text"), opener.alias("_opener")).join(listed, list(keys)).select(
+        *keys, F.explode(F.transform("_s", lambda s: F.struct(
+            placeholder(F.col("_opener"), s["span_ord"]).alias("placeholder"), F.substring(
+                F.col("_text"), s["begin"].cast("int") + 1, (s["end"] - s["begin"]).cast("int")).alias("payload")))).alias("_p"))
+    opened = spans.join(texts.select(*keys, opener.alias("_opener")), list(keys))
+    masked = substitute(texts, opened, keys, lambda span, covered: placeholder(span["_opener"], span["span_ord"]), text)
+    return masked, table.select(*keys, "_p.placeholder", "_p.payload")
 
 
 def recover(masked: DataFrame, table: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Masked texts with every placeholder replaced by what it stands for."""
-    payloads = table.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "payload")))
-                                        .alias("_m"))
-    parts = F.regexp_extract_all(F.col(text), F.lit("\u0001[0-9]+\u0002|[^\u0001\u0002]+"), F.lit(0))
+    payloads = table.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("placeholder", "payload"))).alias("_m"),
+        F.regexp_extract(F.min("placeholder"), "^(\u0001+)", 1).alias("_opener"))
+    one = F.concat("_opener", F.lit("[0-9]+\u0002"))
+    parts = F.regexp_extract_all(F.col(text), F.concat(one, F.lit("|(?s:(?!"), one, F.lit(").)+")), F.lit(0))
     filled = F.transform(parts, lambda p: F.coalesce(F.try_element_at("_m", p), p))
     return masked.join(payloads, list(keys), "left").withColumn(
-        text, F.when(F.col("_m").isNull(), F.col(text)).otherwise(F.array_join(filled, ""))).drop("_m")
+        text, F.when(F.col("_m").isNull(), F.col(text)).otherwise(F.array_join(filled, ""))).drop("_m", "_opener")

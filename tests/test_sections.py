@@ -21,7 +21,7 @@ def stack_fold(depths):
 
 def test_folded_headings_equal_a_stack(spark):
     rng = random.Random(3)
-    docs = [[rng.randint(1, 6) for _ in range(rng.randint(1, 25))] for _ in range(40)]
+    docs = [[rng.randint(0, 14) for _ in range(rng.randint(1, 25))] for _ in range(40)]
     rows = [(d, n, depth, f"s{n}") for d, depths in enumerate(docs) for n, depth in enumerate(depths, 1)]
     tree = S.fold_headings(spark.createDataFrame(rows, "doc_id long, line_no long, depth int, stable string"))
     got = {(r.doc_id, r.line_no): r.parent for r in tree.collect()}

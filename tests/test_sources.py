@@ -28,10 +28,14 @@ def test_saved_documents_become_node_rows(spark, tmp_path):
     assert set(bad) == {"bad.json", "trailing.json"} and "char 14" in bad["trailing.json"]
 
 
-def test_documents_nested_too_deep_are_rejected_whole(spark):
-    df = spark.createDataFrame([(1, json.dumps(DOC)), (2, '{"nodes":[{"type":"item"}]}')], "id long, json string")
-    nodes, rejects = SD.parse_saved(df, "id", "json", max_depth=2)
-    assert [r.id for r in nodes.collect()] == [2] and [r.id for r in rejects.collect()] == [1]
+def test_documents_of_any_depth_are_read_whole(spark):
+    node = {"type": "item"}
+    for level in range(60):
+        node = {"type": "section", "stable": f"s{level}", "children": [node]}
+    df = spark.createDataFrame([(1, json.dumps({"nodes": [node]})), (2, '{"nodes":[{"type":"item"}]}')], "id long, json string")
+    nodes, rejects = SD.parse_saved(df, "id", "json")
+    assert sorted((r.id, r.depth) for r in nodes.collect()) == [(1, d) for d in range(1, 62)] + [(2, 1)]
+    assert rejects.collect() == []
 
 
 def test_writing_leaves_defaults_out_and_reads_back(spark):
@@ -87,7 +91,7 @@ def test_masked_spans_come_back(spark):
     spans = spark.createDataFrame([(1, 1, 5, 8, 12), (2, 1, 0, 3, 10)], "doc_id long, span_ord long, begin long, end long, length long")
     masked, table = P.mask(texts, spans, ["doc_id"])
     got = {r.doc_id: r.text for r in masked.collect()}
-    assert got[1] == "call \u00011\u0002 now" and got[2] == "odd \u0001 text" and got[3] == "plain"
+    assert got[1] == "call \u00011\u0002 now" and got[2] == "\u0001\u00011\u0002 \u0001 text" and got[3] == "plain"
     back = {r.doc_id: r.text for r in P.recover(masked, table, ["doc_id"]).collect()}
     assert back == {r.doc_id: r.text for r in texts.collect()}
 
