@@ -88,6 +88,12 @@ def tags(lines: DataFrame, raw: str = "raw") -> DataFrame:
             .drop(raw, "text", "vocab"))
 
 
+def wording(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """What each markup line says: its text, without the tag it may open with."""
+    text = F.when(X.tag_of("text").isNotNull(), X.after_tag("text")).otherwise(F.col("text"))
+    return classify(lines, raw).filter("vocab = 'markup'").withColumn("text", text)
+
+
 def join_prose(lines: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """Prose lines without their trailing comments, joined in order.
 

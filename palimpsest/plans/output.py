@@ -192,8 +192,9 @@ def reconciled_attributes(t):
 # --- rendering ----------------------------------------------------------------------------------------------------
 
 PIECES = STRIPPED + r""",
-pl AS (SELECT doc_id, line_no, regexp_extract_all(text, '`[^`]*`|`[^`]*$|\\iref\{[^}]*\}|[^`\\]+', 0) AS ps
-       FROM stripped WHERE vocab = 'markup' AND NOT regexp_matches(text, '^\\')),
+worded AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(text, '^[ \t]*\\[a-z0-9-]+') THEN trim(regexp_replace(text, '^[ \t]*\\[a-z0-9-]+(\([^)]*\))?', ''))
+  ELSE text END AS text FROM stripped WHERE vocab = 'markup'),
+pl AS (SELECT doc_id, line_no, regexp_extract_all(text, '`[^`]*`|`[^`]*$|\\iref\{[^}]*\}|[^`\\]+', 0) AS ps FROM worded),
 pe AS (SELECT doc_id, line_no, CAST(generate_subscripts(ps, 1) AS BIGINT) AS ord, unnest(ps) AS p FROM pl),
 pieces AS (SELECT doc_id, line_no, ord,
   CASE WHEN regexp_matches(p, '^`[^`]*`$') THEN 'code' WHEN p LIKE '`%' THEN 'open_code' WHEN p LIKE '\iref{%' THEN 'iref' ELSE 'text' END AS kind,
@@ -202,8 +203,7 @@ pieces AS (SELECT doc_id, line_no, ord,
 
 
 def pieces(t):
-    prose = L.classify(D.annotated(t)).filter("vocab = 'markup'").filter(~F.col("text").startswith("\\"))
-    return L.pieces(prose, ["doc_id", "line_no"])
+    return L.pieces(L.wording(D.annotated(t)), ["doc_id", "line_no"])
 
 
 @query("rendered_markdown", f"""
@@ -434,6 +434,16 @@ def paper_documents(t):
     return good.select("paper_id", "doc_ord", "doc_id")
 
 
+@query("paper_rejects", """
+SELECT source AS paper_id, doc_id, 'nothing to read' AS message FROM documents WHERE text IS NULL OR trim(text) = ''
+UNION ALL SELECT source, -1 - doc_id, 'nothing to read' FROM documents WHERE length(text) % 7 = 0""")
+def paper_rejects(t):
+    """Documents of a paper that cannot be read; every seventh length adds one that says nothing."""
+    docs = t.documents.select(F.col("source").alias("paper_id"), "doc_id", "text")
+    blank = docs.filter(F.length("text") % 7 == 0).select("paper_id", (-1 - F.col("doc_id")).alias("doc_id"), F.lit(" ").alias("text"))
+    return SD.paper(docs.unionByName(blank), "paper_id", "doc_id", paper_chunk())[1]
+
+
 @query("whole_papers", """
 SELECT source AS paper_id, doc_id, CAST(row_number() OVER w AS BIGINT) AS pos, CAST(coalesce(sum(length(text) + 1) OVER (
   PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, CAST(length(text) AS BIGINT) AS length

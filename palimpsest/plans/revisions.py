@@ -35,6 +35,15 @@ def similar_documents(t):
     return SM.similar_pairs(SM.token_classes(t.documents.select("doc_id", "text"), "doc_id"))
 
 
+@query("similar_members", f"""
+WITH {CLASSES} SELECT s.doc_id, c.first_id, c.n_members FROM sets s JOIN classes c ON c.tokens = s.tokens""")
+def similar_members(t):
+    """The class of each document, whose first one stands for it in similar_documents; copies are one class."""
+    docs = t.documents.select("doc_id", "text")
+    return SM.members(docs, "doc_id").join(SM.token_classes(docs, "doc_id").select("class_key", "first_id", "n_members"),
+                                           "class_key").select("doc_id", "first_id", "n_members")
+
+
 @query("token_classes", f"WITH {CLASSES} SELECT first_id, n_members, CAST(n AS BIGINT) AS n_tokens FROM classes")
 def token_classes(t):
     return SM.token_classes(t.documents.select("doc_id", "text"), "doc_id").select("first_id", "n_members", "n_tokens")

@@ -190,8 +190,10 @@ def joined_prose(t):
 
 @query("prose_pieces", rf"""
 WITH {STRIPPED},
+worded AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(text, '^[ \t]*\\[a-z0-9-]+') THEN trim(regexp_replace(text, '^[ \t]*\\[a-z0-9-]+(\([^)]*\))?', ''))
+  ELSE text END AS text FROM stripped WHERE vocab = 'markup'),
 p AS (SELECT doc_id, line_no, regexp_extract_all(text, '`[^`]*`|`[^`]*$|\\iref\{{[^}}]*\}}|[^`\\]+', 0) AS ps
-      FROM stripped WHERE vocab = 'markup' AND NOT regexp_matches(text, '^\\')),
+      FROM worded),
 e AS (SELECT doc_id, line_no, CAST(generate_subscripts(ps, 1) AS BIGINT) AS ord, unnest(ps) AS p FROM p)
 SELECT doc_id, line_no, ord,
   CASE WHEN regexp_matches(p, '^`[^`]*`$') THEN 'code' WHEN p LIKE '`%' THEN 'open_code'
@@ -199,8 +201,7 @@ SELECT doc_id, line_no, ord,
   CASE WHEN regexp_matches(p, '^`[^`]*`$') THEN p[2:-2] WHEN p LIKE '`%' THEN p[2:]
        WHEN p LIKE '\iref{{%' THEN p[7:-2] ELSE p END AS text FROM e""")
 def prose_pieces(t):
-    prose = L.classify(D.annotated(t)).filter("vocab = 'markup'").filter(~F.col("text").startswith("\\"))
-    return L.pieces(prose, ["doc_id", "line_no"])
+    return L.pieces(L.wording(D.annotated(t)), ["doc_id", "line_no"])
 
 
 @query("unterminated_code", rf"""
