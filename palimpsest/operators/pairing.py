@@ -80,12 +80,13 @@ def alike_in_document(rows: DataFrame, keys: Sequence[str], minimum: float, agre
     """
     tokens = F.array_sort(F.transform(X.token_set("text"), lambda w: F.struct(
         (-F.length(w)).alias("l"), F.xxhash64(w).alias("h"), w.alias("w"))))
-    cut = rows.select(*keys, *agree, "side", "ord", tokens.alias("_t"))
+    place = F.row_number().over(Window.partitionBy(*keys, "side").orderBy("ord"))
+    cut = rows.select(*keys, *agree, "side", "ord", tokens.alias("_t"), place.alias("_at"))
     size = F.size("_t")
     prefix = SM.prefix_size(size, minimum) if minimum > 0 else size
     words = F.when(size == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(
         F.slice("_t", F.lit(1), prefix), lambda t: t["h"]))
-    met = cut.select(*keys, *agree, "side", F.struct("ord", size.alias("n")).alias("_e"), F.explode(words).alias("_w")).groupBy(
+    met = cut.select(*keys, *agree, "side", F.struct("ord", size.alias("n"), F.col("_at").alias("at")).alias("_e"), F.explode(words).alias("_w")).groupBy(
         *keys, *agree, "_w").agg(F.collect_list(F.when(F.col("side") == "old", F.col("_e"))).alias("_o"),
                                  F.collect_list(F.when(F.col("side") == "new", F.col("_e"))).alias("_n"))
 
@@ -101,12 +102,14 @@ def alike_in_document(rows: DataFrame, keys: Sequence[str], minimum: float, agre
             SM.beyond_prefix(n1, minimum), SM.beyond_prefix(n2, minimum)) >= SM.shared_need(n1, n2, minimum)))
     # What is left open is compared in the document's own row.
     pairs = counted.groupBy(*keys).agg(F.collect_list(F.struct(
-        F.col("_a.ord").alias("i"), F.col("_b.ord").alias("j"), *agree)).alias("_p"))
-    sets = F.map_from_entries(F.collect_list(F.struct(F.struct("side", "ord").alias("k"), F.transform(
-        "_t", lambda t: t["w"]).alias("t"))))
-    held = cut.groupBy(*keys).agg(sets.alias("_m"))
-    score = lambda p: X.jaccard(F.try_element_at("_m", F.struct(F.lit("old").alias("side"), p["i"].alias("ord"))),
-                                F.try_element_at("_m", F.struct(F.lit("new").alias("side"), p["j"].alias("ord"))))
+        F.col("_a.ord").alias("i"), F.col("_b.ord").alias("j"), *agree, F.col("_a.at").alias("x"),
+        F.col("_b.at").alias("y"))).alias("_p"))
+
+    def listed(side):
+        taken = F.collect_list(F.when(F.col("side") == side, F.struct("_at", F.transform("_t", lambda t: t["w"]).alias("w"))))
+        return F.transform(F.array_sort(taken), lambda s: s["w"]).alias(f"_{side}")
+    held = cut.groupBy(*keys).agg(listed("old"), listed("new"))
+    score = lambda p: X.jaccard(F.get("_old", p["x"] - 1), F.get("_new", p["y"] - 1))
     return pairs.join(held, list(keys)).select(*keys, F.explode(F.transform("_p", lambda p: F.struct(
         p.alias("p"), score(p).alias("score")))).alias("_s")).filter(F.col("_s.score") >= minimum).select(
         *keys, *[F.col(f"_s.p.{c}").alias(c) for c in agree], F.col("_s.p.i").alias("i"), F.col("_s.p.j").alias("j"),
