@@ -9,9 +9,13 @@ until it has fewer. Of two alike sets the one that stops first is signed in full
 hence they share a signature of a part that is not empty. The join is exact up to 64-bit hash collisions.
 
 Equal sets are one class from the start. A bucket of a signature is not expanded into pairs: each class is first
-verified with the least class of the bucket it shares most signatures with, which settles groups of near copies; only
-buckets that still hold several components are then compared between components, under the size bound and a bound from
-256 parity bits of each set, and verified by exact intersection.
+compared with the least class of each of its buckets, and of those that pass a bound on sizes and a bound from 256
+parity bits of each set it is verified with the one it shares most signatures with. In further rounds each component
+proposes its best untested pair with another component of some bucket, until a round finds no link. That settles groups
+of near copies with about one comparison for each class. Only buckets that still hold several components are then
+compared between components, all pairs that the bounds let pass. Every link is verified by exact intersection. Sets are
+made again for the classes to verify, picked out by a bit table of fixed size, and so neither texts nor the sets of all
+documents are shuffled.
 
 Null and blank texts have the empty set, size 0, and link with nothing: their component is their own id. Rows with a
 null id keep their size; their component is null and they link nothing. Repeated rows are members of one class. An
@@ -36,6 +40,9 @@ from palimpsest.session import shared_folder
 
 PERCENT = 80
 SKETCH = 4  # words of 64 parity bits
+BITS = [f"bits{i}" for i in range(SKETCH)]
+WANTED_BITS = 24
+TURNS = 4  # rounds of proposals at most; what they leave is compared in full
 ROUNDS = 64  # partitions of the domain that a set may be signed under
 
 
@@ -127,16 +134,20 @@ def _shingled(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.n
 
 
 def members(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, set_key and n_shingles of each row."""
+    """id, set_key, n_shingles and the parity bits of each row's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, sets, keys in _shingled(batch):
+                bits = np.array([np.packbits((np.bincount((s >> np.uint64(17)).astype(np.int64) % (64 * SKETCH),
+                                                          minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+                                 for s in sets]).reshape(-1, SKETCH)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64())],
-                    ["id", "set_key", "n_shingles"])
+                    [piece.column("id"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()),
+                     *(pa.array(bits[:, i].copy()) for i in range(SKETCH))],
+                    ["id", "set_key", "n_shingles", *BITS])
     given = docs.select(docs[ident].alias("id"), docs[text].cast("string").alias("text"))
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(run, f"id {kind}, set_key bigint, n_shingles bigint")
+    return given.mapInArrow(run, f"id {kind}, set_key bigint, n_shingles bigint, {', '.join(f'{b} bigint' for b in BITS)}")
 
 
 def signed(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -155,23 +166,38 @@ def signed(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataF
     return docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "signature bigint, set_key bigint")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """set_key, size, parity bits and the set itself, of the texts in ``docs``."""
+def _wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """A table of 2 ** WANTED_BITS bits, those of the hashes of the keys in ``wanted`` set: 2 MB for any input."""
+    slot = F.col("set_key").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    words = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr(
+        f"shiftleft(1L, cast(set_key & {63} as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table = np.zeros(1 << (WANTED_BITS - 6), np.int64)
+    found = words.toArrow()
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """set_key and shingles of the sets whose key is in ``wanted``, and of few others; one row per set and task."""
+    table = _wanted_bits(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, sets, keys in _shingled(batch):
-                values = pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
-                bits = [np.packbits((np.bincount((s >> np.uint64(17)).astype(np.int64) % (64 * SKETCH),
-                                                 minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
-                        for s in sets]
-                columns = [pa.array([b[i] for b in bits], pa.int64()) for i in range(SKETCH)]
+                slot = keys.view(np.uint64) & np.uint64((1 << WANTED_BITS) - 1)
+                hit = table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)
+                chosen = [i for i in np.flatnonzero(hit).tolist() if len(sets[i]) and keys[i] not in seen
+                          and not seen.add(keys[i])]
+                if not chosen:
+                    continue
+                values = pa.array(np.concatenate([sets[i] for i in chosen]).view(np.int64))
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(sets[i]) for i in chosen])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), *columns,
-                     pa.ListArray.from_arrays(offsets, values)],
-                    ["set_key", "size", *(f"bits{i}" for i in range(SKETCH)), "shingles"])
-    bits = "".join(f"bits{i} bigint, " for i in range(SKETCH))
-    return docs.select("text").mapInArrow(run, f"set_key bigint, size bigint, {bits}shingles array<bigint>")
+                    [pa.array(keys[np.array(chosen)]), pa.ListArray.from_arrays(offsets, values)],
+                    ["set_key", "shingles"])
+    return docs.select(docs[text].cast("string").alias("text")).mapInArrow(
+        run, "set_key bigint, shingles array<bigint>").groupBy("set_key").agg(F.first("shingles").alias("shingles"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,6 +210,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(met * (100 + percent) >= whole * percent).select("a", "b")
 
 
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
+
+
+def _open_buckets(shared: DataFrame, component: DataFrame) -> DataFrame:
+    """signature, set_key and component of the buckets that hold several components."""
+    bucket = Window.partitionBy("signature")
+    held = shared.join(component.withColumnRenamed("id", "set_key"), "set_key", "left").select(
+        "signature", "set_key", F.coalesce("component", "set_key").alias("component"))
+    return held.withColumn("low", F.min("component").over(bucket)).withColumn(
+        "high", F.max("component").over(bucket)).filter(F.col("low") < F.col("high")).drop("low", "high")
+
+
+def _plausible(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``pairs`` whose classes a and b pass the bounds."""
+    x, y = traits.alias("x"), traits.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.set_key")).join(y, F.col("b") == F.col("y.set_key")).filter(
+        _may_be_alike("x", "y", percent)).select(*pairs.columns)
+
+
+def _proposals(open_buckets: DataFrame, traits: DataFrame, tested: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each component its best untested pair (a, b) with a delegate of another component of one of its buckets.
+
+    A bucket has two delegates of different components, drawn by a hash that changes with ``turn``.
+    """
+    bucket = Window.partitionBy("signature")
+    drawn = F.struct(F.xxhash64(F.lit(turn), "set_key").alias("h"), "set_key", "component")
+    first = open_buckets.withColumn("one", F.min(drawn).over(bucket))
+    second = first.withColumn("two", F.min(F.when(F.col("component") != F.col("one.component"), drawn)).over(bucket))
+    met = second.select(
+        "component", F.col("set_key").alias("a"),
+        F.when(F.col("component") != F.col("one.component"), F.col("one.set_key")).otherwise(
+            F.col("two.set_key")).alias("b")).groupBy("component", "a", "b").count()
+    fresh = met.join(tested, ["a", "b"], "left_anti")
+    return _plausible(fresh, traits, percent).groupBy("component").agg(
+        F.max(F.struct("count", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+
+
 def _may_be_alike(x: str, y: str, percent: int) -> Column:
     """The bounds that alike sets meet: on sizes, and on the parity bits that a difference can change."""
     size = F.col(f"{x}.size") + F.col(f"{y}.size")
@@ -194,48 +258,54 @@ def _may_be_alike(x: str, y: str, percent: int) -> Column:
             & (changed * (100 + percent) <= size * (100 - percent)))
 
 
-def links(docs: DataFrame, classes: DataFrame, ident: str = "doc_id", text: str = "text",
+def links(docs: DataFrame, classes: DataFrame, text: str = "text",
           percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between set keys that join all that any links join, and the components (id, component)."""
+    """Links (a, b) between set keys that join all that any links join, and the components (id, component).
+
+    ``classes`` has set_key, size and parity bits of each set.
+    """
     bucket = Window.partitionBy("signature")
-    shared = signed(docs, text, percent).select(
+    shared = written(signed(docs, text, percent).select(
         "signature", "set_key", F.min("set_key").over(bucket).alias("least"),
         F.max("set_key").over(bucket).alias("most")).filter(F.col("least") < F.col("most")).select(
-        "signature", "set_key", "least").distinct()
-    shared = written(shared, "buckets")
-    wanted = classes.join(shared.select("set_key").distinct(), "set_key").select(F.col("id").alias("wanted"))
-    texts_of = docs.select(docs[ident].alias("wanted"), docs[text].cast("string").alias("text")).join(
-        wanted, "wanted", "left_semi")
-    sets = written(_sets(texts_of).join(shared.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(
-        ["set_key"]), "sets")
-
-    met = shared.filter(F.col("set_key") != F.col("least")).groupBy("set_key", "least").count()
-    first = met.groupBy("set_key").agg(F.max(F.struct("count", "least"))["least"].alias("b")).select(
-        F.col("set_key").alias("a"), "b")
-    found = written(_verified(first, sets, percent), "links")
+        "signature", "set_key", "least").distinct(), "buckets")
+
+    traits = classes.select("set_key", "size", *BITS)
+    met = written(_plausible(shared.filter(F.col("set_key") != F.col("least")).groupBy(
+        F.col("set_key").alias("a"), F.col("least").alias("b")).count(), traits, percent), "met")
+    known = _keys(met)
+    sets = written(_sets(docs, known, text), "sets")
+    tested = written(met.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b")), "tested")
+    found = written(_verified(tested, sets, percent), "links")
     component = components(found)
+    inside = shared.join(known, "set_key", "left_semi")
+    for turn in range(TURNS):
+        proposed = written(_proposals(_open_buckets(inside, component), traits, tested, turn, percent), "proposed")
+        more = written(_verified(proposed, sets, percent), "links")
+        if more.isEmpty():
+            break
+        tested, found = tested.union(proposed), found.union(more)
+        component = components(found)
 
-    held = shared.join(component.withColumnRenamed("id", "set_key"), "set_key", "left").select(
-        "signature", "set_key", F.coalesce("component", "set_key").alias("component"))
-    held = held.withColumn("low", F.min("component").over(bucket)).withColumn(
-        "high", F.max("component").over(bucket)).filter(F.col("low") < F.col("high")).drop("low", "high")
-    bits = [f"bits{i}" for i in range(SKETCH)]
-    held = written(held.join(sets.select("set_key", "size", *bits), "set_key"), "open")
+    held = _open_buckets(shared, component).join(traits, "set_key")
     x, y = held.alias("x"), held.alias("y")
     crossing = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.set_key") < F.col("y.set_key"))
                       & (F.col("x.component") != F.col("y.component")) & _may_be_alike("x", "y", percent)).select(
         F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct()
-    more = _verified(crossing, sets, percent)
-    found = written(found.union(more), "links")
-    return found, components(found)
+    both = tested.union(tested.select("b", "a"))
+    crossing = written(crossing.join(both, ["a", "b"], "left_anti"), "crossing")
+    more = written(_verified(crossing, _sets(docs, _keys(crossing), text), percent), "links")
+    found = found.union(more)
+    return found, component if more.isEmpty() else components(found)
 
 
 def jaccard_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``ident``, n_shingles and component_id, the least id reachable by links."""
     rows = written(members(docs, ident, text), "members")
     known = rows.filter(F.col("id").isNotNull())
-    classes = written(known.filter(F.col("n_shingles") > 0).groupBy("set_key").agg(F.min("id").alias("id")), "classes")
-    _, component = links(docs.filter(docs[ident].isNotNull()), classes, ident, text, percent)
+    classes = written(known.filter(F.col("n_shingles") > 0).groupBy("set_key").agg(
+        F.min("id").alias("id"), F.first("n_shingles").alias("size"), *(F.first(b).alias(b) for b in BITS)), "classes")
+    _, component = links(docs.filter(docs[ident].isNotNull()), classes, text, percent)
     labelled = classes.join(component.withColumnRenamed("id", "set_key"), "set_key", "left").select(
         "set_key", "id", F.coalesce("component", "set_key").alias("component"))
     least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
