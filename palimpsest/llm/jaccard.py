@@ -42,7 +42,7 @@ PERCENT = 80
 SKETCH = 4  # words of 64 parity bits
 BITS = [f"bits{i}" for i in range(SKETCH)]
 WANTED_BITS = 24
-TURNS = 4  # rounds of proposals at most; what they leave is compared in full
+TURNS = 2  # rounds of proposals at most; what they leave is compared in full
 ROUNDS = 64  # partitions of the domain that a set may be signed under
 
 
@@ -217,7 +217,8 @@ def _keys(pairs: DataFrame) -> DataFrame:
 def _open_buckets(shared: DataFrame, component: DataFrame) -> DataFrame:
     """signature, set_key and component of the buckets that hold several components."""
     bucket = Window.partitionBy("signature")
-    held = shared.join(component.withColumnRenamed("id", "set_key"), "set_key", "left").select(
+    held = shared.select("signature", "set_key").join(
+        component.withColumnRenamed("id", "set_key"), "set_key", "left").select(
         "signature", "set_key", F.coalesce("component", "set_key").alias("component"))
     return held.withColumn("low", F.min("component").over(bucket)).withColumn(
         "high", F.max("component").over(bucket)).filter(F.col("low") < F.col("high")).drop("low", "high")
@@ -280,7 +281,8 @@ def links(docs: DataFrame, classes: DataFrame, text: str = "text",
     component = components(found)
     inside = shared.join(known, "set_key", "left_semi")
     for turn in range(TURNS):
-        proposed = written(_proposals(_open_buckets(inside, component), traits, tested, turn, percent), "proposed")
+        inside = written(_open_buckets(inside, component), "open")  # a bucket that is settled stays so
+        proposed = written(_proposals(inside, traits, tested, turn, percent), "proposed")
         more = written(_verified(proposed, sets, percent), "links")
         if more.isEmpty():
             break
