@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from palimpsest.llm import contamination, jaccard, language, licences, mixing, neighbours, personal, sharding, toxicity, warc
+from palimpsest.llm.jaccard import written
 from palimpsest.session import shared_folder
 
 QUERIES: dict = {}
@@ -50,7 +51,7 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         upper, F.lit("/p"), F.floor(i / 100).cast("string"), F.when(i % 10 == 0, "/LICENSE.").otherwise("/text."),
         i.cast("string")))
     docs = table(spark, sf_dir, "documents").withColumn("path", path)
-    return licences.inherit(licences.declared(docs, keep=("doc_id", "path")))
+    return licences.inherit(written(licences.declared(docs, keep=("doc_id", "path")), "declared"))
 
 
 GRAMS = r"""
