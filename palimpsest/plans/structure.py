@@ -358,7 +358,7 @@ TAKEN_ROWS = ", ".join("('{}', '{}', '{}')".format(tag, other, message.replace("
 
 @query("exclusive_tags", f"""
 WITH {LINES}, tags AS (SELECT doc_id, line_no // 4 AS item, {NAMED_LIST}[1 + length(text) % {len(NAMED_TAGS)}] AS tag FROM lines),
-p(a, b, message) AS (VALUES {", ".join(f"('{a}', '{b}', '\{a} and \{b} are mutually exclusive')" for a, b in V.EXCLUSIVE_TAGS)},
+p(a, b, message) AS (VALUES {", ".join(f"('{a}', '{b}', '\\{a} and \\{b} are mutually exclusive')" for a, b in V.EXCLUSIVE_TAGS)},
   {TAKEN_ROWS}),
 described AS (SELECT DISTINCT doc_id, item FROM tags WHERE tag IN ('effects', 'returns'))
 SELECT DISTINCT x.doc_id, x.item, 'error' AS severity, message
