@@ -1,8 +1,8 @@
 """Licence scans: lines against templates by sparse TF-IDF cosine, then inheritance down the directory tree.
 
-Every line of every text is a sparse vector of its words. A word of some template weighs by the number of texts it
-occurs in, counted over all texts; any other word weighs as one that occurs in no text, since it speaks against the
-template. A line declares the template of largest cosine, from ``THRESHOLD`` on; a text's own licence is its best
+Every line of every text is a sparse vector of its words. A word of some template weighs by the share of texts it
+occurs in, counted over all texts; shares under ``RARE`` weigh alike, and so does any other word, since it speaks
+against the template. No weight depends on the number of texts. A line declares the template of largest cosine, from ``THRESHOLD`` on; a text's own licence is its best
 line's, earlier lines and templates first on ties.
 
 A text without an own licence takes that of the nearest directory above it that has a licence file: a file named
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.jaccard import written
 
 THRESHOLD = 0.8
+RARE = 0.01  # words in a smaller share of the texts weigh as words in this share
 
 # Licence names and the wording of their usual headers, by SPDX identifier.
 TEMPLATES = {
@@ -60,8 +61,8 @@ class Scorer:
     """Cosines with all templates, for word counts over ``n`` texts."""
 
     def __init__(self, n: int, texts_with: dict[str, int]):
-        self.weight = {w: math.log((1 + n) / (1 + texts_with.get(w, 0))) + 1 for w in VOCABULARY}
-        self.rare = math.log(1 + n) + 1
+        self.weight = {w: 1 - math.log(max(texts_with.get(w, 0) / max(n, 1), RARE)) for w in VOCABULARY}
+        self.rare = 1 - math.log(RARE)
         self.templates = []
         for name, lines in TEMPLATES.items():
             for line in lines:

@@ -57,3 +57,12 @@ def test_nearest_ancestor_and_odd_rows(spark):
                    10: ("MIT", "/"), 11: ("MIT", "/"), 12: ("MIT", "/")}
     none = docs.filter("id < 0")
     assert L.inherit(L.declared(none, keep=("id", "path"))).collect() == []
+
+
+def test_scores_do_not_depend_on_the_number_of_texts():
+    share = {"licensed": 0.029, "under": 0.039, "the": 0.615, "mit": 0.107, "license": 0.035, "is": 0.509, "this": 0.423}
+    header = "This file is licensed under the MIT License."
+    found = [L.Scorer(n, {w: round(n * s) for w, s in share.items()}).best(header)
+             for n in (1000, 250_000, 15_000_000)]
+    assert {name for name, _ in found} == {"MIT"}
+    assert max(score for _, score in found) - min(score for _, score in found) < 1e-9
