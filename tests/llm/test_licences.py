@@ -66,3 +66,39 @@ def test_scores_do_not_depend_on_the_number_of_texts():
              for n in (1000, 250_000, 15_000_000)]
     assert {name for name, _ in found} == {"MIT"}
     assert max(score for _, score in found) - min(score for _, score in found) < 1e-9
+
+
+SHARE = {"licensed": 0.029, "under": 0.039, "the": 0.615, "mit": 0.107, "license": 0.035, "is": 0.509, "this": 0.423,
+         "of": 0.577, "gnu": 0.009, "general": 0.009, "public": 0.009, "version": 0.025, "3": 0.009, "2.0": 0.016}
+
+
+def test_headers_across_lines_inside_lines_and_of_other_versions():
+    filler = "words of a long document " * 40
+    want = {
+        "Copyright 2024 Acme. Licensed under the MIT License.": ("MIT", 1),
+        f"{filler} Licensed under the Apache License, Version 2.0. {filler}": ("Apache-2.0", 1),
+        "x\n# Licensed under the Apache\n# License, Version 2.0\ny": ("Apache-2.0", 2),
+        "GNU GENERAL PUBLIC LICENSE": (None, None), "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": ("GPL-2.0", 1),
+        "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": ("GPL-3.0", 1),
+        "GNU Lesser General Public License\nVersion 2.1": ("LGPL-2.1", 1),
+        "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3": ("AGPL-3.0", 1), "Licensed under CC BY 4.0.": ("CC-BY-4.0", 1),
+        "Licensed under CC BY-NC-ND 4.0.": (None, None), "CC0 1.0 Universal": ("CC0-1.0", 1),
+        "// SPDX-License-Identifier: ISC\nint x;": ("ISC", 1), "/* SPDX-License-Identifier: GPL-2.0-only */": ("GPL-2.0", 1),
+        "Licensed under the BSD 2-Clause License.": ("BSD-2-Clause", 1),
+        "Gesendet mit der Public Version und the License": (None, None)}
+    for n in (1000, 15_000_000):
+        scorer = L.Scorer(n, {w: round(n * s) for w, s in SHARE.items()})
+        got = {text: scorer.declares(text) for text in want}
+        assert {text: (f[0], f[2]) for text, f in got.items()} == want
+
+
+def test_licence_files_as_whole_texts(spark):
+    scorer = L.Scorer(1000, {w: round(1000 * s) for w, s in SHARE.items()})
+    for name, counts in L.WHOLE_TEXTS.items():
+        bag = " ".join(f"{w} " * c for w, c in counts.items())  # word order does not count
+        assert scorer.declares(bag, True)[0] == name
+    bag = " ".join(f"{w} " * c for w, c in L.WHOLE_TEXTS["BSD-2-Clause"].items()) + " Copyright 2024 Acme"
+    docs = spark.createDataFrame([(1, "a/LICENSE.txt", bag), (2, "a/b.c", "int x;"), (3, "c/d.txt", bag)],
+                                 "id int, path string, text string")
+    got = {r.id: r.licence for r in L.inherit(L.declared(docs, keep=("id", "path"))).collect()}
+    assert got == {1: "BSD-2-Clause", 2: "BSD-2-Clause", 3: None}
