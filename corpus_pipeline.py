@@ -26,7 +26,7 @@ ORACLE_SQL = None  # language profiles and differencing have no SQL
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Profiles are learned from the stage's own labelled documents."""
-    return language.select_known(docs, language.learn(docs))
+    return language.select_known(docs, language.learn_means(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ from palimpsest.llm import texts
 
 DIMENSIONS = 512
 SEED = 20
-FLOOR = 0.02  # a text whose cosine with every prototype is under this is like no language
+FLOOR = 0.4  # a text under this share of a language's own mean trigram, for every language, is like no language
+NOISE = 2.0  # standard deviations of chance that a text is allowed under the floor
 _TRIGRAMS_AT_ONCE = 4096
 _ITEMS: dict[int, np.ndarray] = {}
 _LETTERS: list[np.ndarray] = []
@@ -49,11 +50,17 @@ def item(code: int) -> np.ndarray:
 
 def bundles(given: list[str | None]) -> np.ndarray:
     """One row per text: the sum of its trigram vectors, zero where it has no letter."""
+    return _counted(given)[0]
+
+
+def _counted(given: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bundles, and how many trigrams are in each."""
     out = np.zeros((len(given), DIMENSIONS))
+    numbers = np.zeros(len(given), np.int64)
     lowered = [(value or "").lower() for value in given]
     codes = np.frombuffer(" ".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
-        return out
+        return out, numbers
     letter = _letters()[codes]
     ends = np.cumsum([len(value) + 1 for value in lowered])
     starts = ends - [len(value) + 1 for value in lowered]
@@ -74,13 +81,14 @@ def bundles(given: list[str | None]) -> np.ndarray:
         a, b = int(place[a]), int(place[min(b, len(place) - 1)])
         if b - a >= 3 and codes3[a:b - 2].size:
             found, times = np.unique(codes3[a:b - 2], return_counts=True)
+            numbers[row] = times.sum()
             distinct.append(found), counts.append(times), owner.append(np.full(len(found), row))
         elif b > a:  # fewer letters than a trigram: the letters themselves
             for code in codes[a:b].tolist():
                 if code != 32:
                     out[row] += item(code)
     if not distinct:
-        return out
+        return out, numbers
     found, column = np.unique(np.concatenate(distinct), return_inverse=True)
     counts, owner = np.concatenate(counts), np.concatenate(owner)
     order = np.argsort(column, kind="stable")
@@ -96,20 +104,31 @@ def bundles(given: list[str | None]) -> np.ndarray:
         dense = np.zeros((len(given), b - a), exact)
         dense[owner[low:high], column[low:high] - a] = counts[low:high]
         out += dense @ bound
-    return out
+    return out, numbers
 
 
-def _bundled(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _bundled(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for piece in texts.slices(batch):
-        yield piece, bundles(piece.column("text").to_pylist())
+        yield piece, *_counted(piece.column("text").to_pylist())
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Prototypes from all rows of ``labelled`` with a language: one whole-number vector for each language."""
+    return {name: v[:DIMENSIONS] for name, v in _summed(labelled, text, lang).items()}
+
+
+def learn_means(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
+    """The mean trigram vector of each language with a trigram, from all rows of ``labelled``."""
+    return {name: v[:DIMENSIONS] / v[DIMENSIONS] for name, v in _summed(labelled, text, lang).items() if v[DIMENSIONS]}
+
+
+def _summed(labelled: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
+    """Per language the sum of its bundles, then the number of its trigrams."""
     def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece, rows in _bundled(batch):
+            for piece, rows, numbers in _bundled(batch):
+                rows = np.column_stack([rows, numbers])
                 langs = np.array(piece.column("lang").to_pylist(), object)
                 for name in set(langs.tolist()):
                     sums[name] = sums.get(name, 0) + rows[langs == name].sum(0)
@@ -123,8 +142,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[s
         F.sum("value").alias("value"))
     found: dict[str, np.ndarray] = {}
     for row in summed.collect():  # languages x dimensions, whatever the corpus
-        found.setdefault(row["lang"], np.zeros(DIMENSIONS))[row["at"]] = row["value"]
-    return {name: vector for name, vector in sorted(found.items()) if vector.any()}
+        found.setdefault(row["lang"], np.zeros(DIMENSIONS + 1))[row["at"]] = row["value"]
+    return {name: vector for name, vector in sorted(found.items()) if vector[:DIMENSIONS].any()}
 
 
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text: str = "text") -> DataFrame:
@@ -138,7 +157,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, rows in _bundled(batch):
+            for piece, rows, _ in _bundled(batch):
                 size = np.linalg.norm(rows, axis=1)
                 langs, scores = ["und"] * len(rows), np.zeros(len(rows))
                 if names:
@@ -157,22 +176,31 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
     return out.select(*(F.col(f"k{i}").alias(name) for i, name in enumerate(keep)), "lang_pred", "score")
 
 
-def select_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text",
+def select_known(docs: DataFrame, means: dict[str, np.ndarray], text: str = "text",
                  floor: float = FLOOR) -> DataFrame:
-    """``docs`` less the rows that are ``und`` or whose cosine with every prototype is under ``floor``; columns stay and
-    no row leaves its task. Without prototypes only rows without a letter go."""
-    unit = [prototypes[name] / np.linalg.norm(prototypes[name]) for name in prototypes]
+    """``docs`` less the rows without a letter and those like no language of ``means`` (of ``learn_means``); columns stay
+    and no row leaves its task. Without means only rows without a letter go.
+
+    A text's mean trigram vector is projected on a language's; for a text of that language the expectation is the square
+    of the latter's length, whatever the length of the text, and for unrelated trigrams 0. Chance adds a standard
+    deviation of the product of both lengths over the root of the dimensions, which falls with the number of trigrams.
+    A text goes if for every language its projection is under ``floor`` of the expectation by more than ``NOISE``
+    standard deviations. So texts of a few trigrams stay, as do those of less than one: they cannot be told from noise.
+    """
+    mean = np.stack(list(means.values())) if means else None
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = names[docs.columns.index(text)]
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in texts.slices(batch, place):
-                rows = bundles(piece.column(place).to_pylist())
-                size = np.linalg.norm(rows, axis=1)
-                keep = size > 0
-                if unit:
-                    keep &= (rows @ np.stack(unit).T).max(1) >= floor * size
+                rows, numbers = _counted(piece.column(place).to_pylist())
+                keep = (np.abs(rows).max(1, initial=0) > 0) | (numbers > 0)
+                if mean is not None:
+                    length = np.linalg.norm(mean, axis=1)
+                    chance = np.outer(np.linalg.norm(rows, axis=1), length) / DIMENSIONS ** 0.5
+                    least = floor * np.outer(numbers, length ** 2) - NOISE * chance
+                    keep &= (numbers == 0) | (rows @ mean.T >= least).any(1)
                 yield piece.filter(pa.array(keep))
     out = docs.toDF(*names)
     return out.mapInArrow(select, out.schema).toDF(*docs.columns)

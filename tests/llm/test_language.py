@@ -44,3 +44,19 @@ def test_odd_rows(spark, tmp_path):
     assert queries.QUERIES["op1_language_id"](spark, f"{tmp_path}/e").collect() == []
     only = spark.createDataFrame([(1, "abc def")], "doc_id bigint, text string")
     assert L.identify(only, {}, ["doc_id"]).first().lang_pred == "und"
+
+
+def test_noise_and_an_unlearned_language_go_and_short_clean_texts_stay(spark):
+    learned = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    means = L.learn_means(learned)
+    clean = [r.text for r in learned.filter("length(text) < 400").collect() if any(c.isalpha() for c in r.text)]
+    letters = np.random.default_rng(5)
+    noise = ["".join(letters.choice(list("abcdefghijklmnopqrstuvwxyz     "), n)) for n in (100, 400, 3000) for _ in range(40)]
+    other = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+             "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており"]
+    rows = [(kind, t) for kind, given in (("clean", clean), ("noise", noise), ("other", other)) for t in given]
+    docs = spark.createDataFrame(rows, "kind string, text string")
+    kept = [r.kind for r in L.select_known(docs, means).collect()]
+    assert len(clean) > 30 and min(map(len, clean)) < 10
+    assert kept.count("clean") == len(clean) and kept.count("noise") <= 0.02 * len(noise) and kept.count("other") == 0
