@@ -6,9 +6,12 @@ anchor inside a candidate that was already taken, or refused, is passed over, so
 and are the leftmost ones, as one left-to-right scan with the kind's pattern would give.
 
 Base kinds: ``email``, ``ip``, ``card``, ``phone``. Added kinds: ``url`` (a scheme, ``://`` and an authority),
-``account`` (an identifier after a cue word such as "account" or "IBAN", a two-letter code with valid mod-97 check
-digits or 6 to 34 letters and digits with at least 4 digits) and ``address`` (a house number before or after a street
-cue). Offsets are code points, ends exclusive. A null text is an empty one: no spans, counts 0. Repeated rows are
+``account`` (an identifier after a cue word of ``ACCOUNT_CUES``: a two-letter code with valid mod-97 check digits, in one
+piece or in groups with single blanks or hyphens between, else one piece of 6 to 34 letters and digits with at least 4
+digits, or groups of 2 to 5 digits, of 6 to 34 digits) and ``address`` (a house number before or after a
+street cue of ``STREET_CUES`` or ``STREET_WORDS``; the latter, short or ambiguous, count as words of their own only, and
+those of ``STREET_DOUBTFUL`` only beside a capitalised name; a name between cue and number ends with a capitalised word).
+Cues are found whatever their case. Offsets are code points, ends exclusive. A null text is an empty one: no spans, counts 0. Repeated rows are
 scanned each for itself; an empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -35,9 +38,29 @@ DIGITS = "0123456789"
 SCHEMES = ("http", "https", "ftp", "ftps", "ssh", "s3", "ws", "wss", "git", "ldap")
 AUTHORITY = re.compile(r"://[A-Za-z0-9._~%!$&'()*+,;=:@\[\]-]+(?:[/?#][^\s<>\"]*)?")
 ACCOUNT_CUES = ("account", "acct", "iban", "konto", "kontonummer", "cuenta", "compte", "passport", "ssn")
-ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id|#))?\s*[:=#]?\s*([A-Za-z0-9][A-Za-z0-9-]{4,40}[A-Za-z0-9])")
+ACCOUNT = re.compile(r"(?i)(?:\s*(?:number|no\.?|nr\.?|id|#))?\s*[:=#]?\s*([A-Z0-9][A-Z0-9-]{4,40}[A-Z0-9])")
+GROUPED = re.compile(r"(?i)(?:\s*(?:number|no\.?|nr\.?|id|#))?\s*[:=#]?\s*"
+                     r"([A-Z]{2}[0-9]{2}(?:[\x20\xa0-]?[A-Z0-9]){10,30}|[0-9]{2,5}(?:[\x20\xa0-][0-9]{2,5}){1,16})(?!-?[A-Z0-9])")
+# Characters of a code by country; elsewhere the longest end with valid check digits is taken.
+CODE_LENGTHS = {pair[:2]: int(pair[2:]) for pair in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18"
+    " FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21"
+    " LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27"
+    " ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 STREET_CUES = ("street", "avenue", "road", "strasse", "straße", "rue", "calle", "boulevard")
-HOUSE_BEFORE = re.compile(r"[0-9]{1,5}[A-Za-z]?,? (?:[^\W\d_]+ ){0,3}$")
+STREET_WORDS = ("st", "ave", "rd", "blvd", "lane", "ln", "drive", "court", "square", "highway", "hwy", "str", "platz", "weg",
+                "allee", "gasse", "avenida", "avda", "plaza", "paseo", "carrera", "via", "viale", "piazza", "corso",
+                "place", "quai", "chemin", "impasse")
+STREET_ENDS = ("str", "platz", "weg", "allee", "gasse")  # also the end of a longer word: Marktplatz
+#: After these the house number follows; before them stands at most a number: via Roma 12, 12 via Roma.
+STREET_FIRST = ("rue", "calle", "avenida", "avda", "plaza", "paseo", "carrera", "via", "viale", "piazza", "corso", "place",
+                "quai", "chemin", "impasse", "avenue", "boulevard")
+#: Also common words: they need a capitalised name beside them.
+STREET_DOUBTFUL = ("st", "ave", "str", "lane", "drive", "court", "square", "weg", "plaza", "via", "corso", "place", "carrera",
+                   "paseo", "quai", "impasse")
+CAPITAL_BEFORE = re.compile(r"([^\W\d_]+)[.]? $")
+HOUSE_BEFORE = re.compile(r"[0-9]{1,5}[A-Za-z]?,? (?:[^\W\d_]+\.? ){0,3}$")
+NAMED_AFTER = re.compile(r"\.?(?: (?:[^\W\d_]|['’-])+){0,3} ((?:[^\W\d_]|['’-])+),? [0-9]{1,5}[A-Za-z]?\b")
 HOUSE_AFTER = re.compile(r",? [0-9]{1,5}[A-Za-z]?\b")
 
 
@@ -47,10 +70,9 @@ def _automaton() -> ahocorasick.Automaton:
     for mark in "@+" + DIGITS:
         found.add_word(mark, (mark if mark in "@+" else "0", 1))
     found.add_word("://", (":", 3))
-    for kind, cues in (("a", ACCOUNT_CUES), ("s", STREET_CUES)):
+    for kind, cues in (("w", STREET_WORDS), ("a", ACCOUNT_CUES), ("s", STREET_CUES)):
         for cue in cues:
-            for spelled in {cue, cue.upper(), cue.capitalize()}:
-                found.add_word(spelled, (kind, len(spelled)))
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -68,6 +90,30 @@ def _mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved.upper())) % 97 == 1
 
 
+def _folded(text: str) -> str:
+    """Lower case, code point for code point: letters whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+
+
+def _grouped(text: str, at: int) -> tuple[int, int] | None:
+    """Bounds of an identifier in groups: the longest end with valid check digits, or groups of digits alone."""
+    match = GROUPED.match(text, at)
+    if not match or match.start(1) == at:
+        return None
+    start, end = match.span(1)
+    if text[start].isdigit():
+        bare = re.sub(r"[\x20\xa0-]", "", text[start:end])
+        return (start, end) if 6 <= len(bare) <= 34 else None
+    length = CODE_LENGTHS.get(text[start:start + 2].upper())
+    while end - start >= 14:
+        bare = re.sub(r"[\x20\xa0-]", "", text[start:end])
+        if length in (None, len(bare)) and 14 <= len(bare) <= 34 and not text[end:end + 1].isalnum() and text[end - 1].isalnum() and _mod97(bare):
+            return start, end
+        end -= 1
+    return None
+
+
 def _identifier(code: str) -> bool:
     bare = code.replace("-", "")
     if re.fullmatch(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{10,30}", bare):
@@ -82,7 +128,7 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int, int]] = []
     over = [0] * len(KINDS)  # where each kind may start again
     digits_seen = 0  # the run of digits before this was tried for ip and card
-    for last, (anchor, length) in _automaton().iter(text):
+    for last, (anchor, length) in _automaton().iter(_folded(text)):
         at = last - length + 1
         if anchor == "0":
             if at >= over[1] and (at == over[1] or at >= digits_seen):
@@ -119,18 +165,34 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
                 over[4] = match.end()
                 found.append((start, 4, match.end()))
         elif anchor == "a":
-            if at >= over[5] and not text[at - 1:at].isalnum() and (match := ACCOUNT.match(text, last + 1)):
-                if match.start(1) > last + 1 and _identifier(match[1]):
-                    over[5] = match.end()
-                    found.append((match.start(1), 5, match.end(1)))
+            if at >= over[5] and not text[at - 1:at].isalnum():
+                if bounds := _grouped(text, last + 1):
+                    over[5] = bounds[1]
+                    found.append((bounds[0], 5, bounds[1]))
+                elif match := ACCOUNT.match(text, last + 1):
+                    if match.start(1) > last + 1 and _identifier(match[1]):
+                        over[5] = match.end()
+                        found.append((match.start(1), 5, match.end(1)))
         elif at >= over[6]:
             start, end = at, last + 1
             while end < len(text) and text[end].isalpha():
                 end += 1
             while start > over[6] and text[start - 1].isalpha():
                 start -= 1
+            cue = _folded(text[at:last + 1])
+            if anchor == "w" and (end > last + 1 or start < at and cue not in STREET_ENDS or text[start - 1:start].isdigit()):
+                continue
             before = HOUSE_BEFORE.search(text, max(over[6], start - 80), start)
+            if text[end:end + 1] == "." and len(cue) < 5:
+                end += 1
             after = HOUSE_AFTER.match(text, end)
+            if anchor == "w" and cue in STREET_DOUBTFUL and start == at:
+                name = CAPITAL_BEFORE.search(text, max(0, start - 80), start)
+                if not name or not name[1][0].isupper():
+                    before = after = None
+            if not after and not before and cue in STREET_FIRST and start == at:
+                if (after := NAMED_AFTER.match(text, end)) and not after[1].lstrip("'’-")[:1].isupper():
+                    after = None
             if before or after:
                 start, end = before.start() if before else start, after.end() if after else end
                 over[6] = end

@@ -58,3 +58,25 @@ def test_query_equals_a_plain_scan_on_the_given_documents(spark):
         want = brute(texts[row.doc_id])
         assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == i for _, k, _ in want) for i in range(4)]
         assert row.base_sha256 == hashlib.sha256(P.joined(want).encode()).hexdigest()
+
+
+def found(text, kind):
+    return [text[a:b] for a, k, b in P.spans(text) if P.KINDS[k] == kind]
+
+
+def test_grouped_accounts_and_further_street_cues():
+    iban = "DE89 3704 0044 0532 0130 00"
+    for text in (f"IBAN {iban}", f"iBaN: {iban} by 12 May", f"IBAN {iban} BIC COBADEFF", f"Iban {iban.replace(' ', '-')}."):
+        assert [re.sub("-", " ", v) for v in found(text, "account")] == [iban], text
+    assert found("account no. 1234 5678 90 is closed", "account") == ["1234 5678 90"]
+    assert found("Account Number: 12345678", "account") == ["12345678"]
+    assert found("IBAN DE88 3704 0044 0532 0130 00", "account") == [] and found("account of 12 people", "account") == []
+    for address in ("12 Main St.", "7 Elm Ave", "99 Old Mill Rd", "4 Penny Lane", "221 Sunset Drive", "Potsdamer Platz 1",
+                    "Marktplatz 3", "Hauptstr. 7", "avenida 12", "Avenida de Mayo 845", "via Roma 12", "8 hIgH sTrEeT",
+                    "10 rue", "İ 3 Park AVENUE"):
+        assert len(found(f"at {address} now", "address")) == 1, address
+    for text in ("the best 3 and first 4 people", "driven 5 miles; drive 5 miles", "we came via 2 ways", "place 3", "the 1st 12",
+                 "3 people drive home", "the avenue that opened in 12"):
+        assert found(text, "address") == [], text
+    assert found("account 12345678 10 May", "account") == ["12345678"]
+    assert found("account 12-34-56-7", "account") == ["12-34-56-7"]
