@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import contamination, jaccard, language, licences, mixing, neighbours, personal, sharding, toxicity, warc
+from palimpsest.llm import collocations, contamination, jaccard, language, licences, mixing, neighbours, personal, sharding, toxicity, warc
 from palimpsest.llm.jaccard import written
 from palimpsest.session import shared_folder
 
@@ -181,6 +181,40 @@ def op8_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_collocations", r"""
+WITH lower_case AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM lower_case),
+cut AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM cut, range(1, 5) AS s(m))),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, m, phrase, f AS a, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS w FROM counts WHERE m > 1),
+parts AS (SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM cuts),
+scored AS (
+  SELECT p.lang, p.m, p.phrase, p.a, p.k, x.f AS l, y.f AS r, (2000000::HUGEINT * p.a // (x.f + y.f))::BIGINT AS score
+  FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = p.head JOIN counts y ON y.lang = p.lang AND y.phrase = p.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, f, array_to_string(w[i:i + z - 1], ' ') AS phrase
+  FROM (SELECT lang, m, f, z, w, unnest(range(1, m - z + 2)) AS i
+        FROM (SELECT lang, m, f, string_split(phrase, ' ') AS w, unnest(range(2, m)) AS z FROM counts WHERE m > 2))),
+covered AS (SELECT lang, phrase, max(f) AS f FROM inner_phrases GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN covered c ON c.lang = b.lang AND c.phrase = b.phrase
+  WHERE c.f IS NULL OR 100 * c.f::HUGEINT < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose parts stand least apart."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over the documents."""

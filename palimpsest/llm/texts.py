@@ -135,3 +135,20 @@ def whole_hash(hashes: np.ndarray) -> np.ndarray:
     for h in hashes:
         total = mix(total * np.uint64(0xA0761D6478BD642F) + h)
     return total
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes of each span, A-Z lower-cased; for spans cut by other separators than those of Words."""
+    powers, inverse = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWER[data] * powers[:len(data)], out=sums[1:])
+    raw = (sums[end] - sums[start]) * inverse[start]
+    return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def take_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of each span."""
+    bounds = np.concatenate([[0], np.cumsum(end - start)])
+    places = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], end - start)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()),
+                                                           pa.py_buffer(np.ascontiguousarray(data[places]).tobytes())])
