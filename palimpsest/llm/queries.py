@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from palimpsest.llm import collocations, contamination, jaccard, language, licences, mixing, neighbours, personal, sharding, toxicity, warc
+from palimpsest.llm import collocations, contamination, conversations, jaccard, language, licences, mixing, neighbours, personal, quality, sharding, toxicity, warc
 from palimpsest.llm.jaccard import written
 from palimpsest.session import shared_folder
 
@@ -215,6 +215,81 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op12_quality")
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document; learned from labelled documents that are not held out."""
+    apart = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    measured = written(quality.measure(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(~apart)
+    found = quality.score(measured, quality.fit(measured, labels))
+    return found.select("doc_id", apart.alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def _repair_sql() -> str:
+    """The contract as SQL: rows walked in order, four (cost, audit, text) triples a row, the least of each kept."""
+    def plus(x, cost, letter, line=None):
+        text = f"{x}.t" if line is None else f"{x}.t || chr(10) || {line}"
+        return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {text}}} END"
+    user, assistant = "'user:' || text", "'assistant:' || text"
+    want = [plus(x, "1 + late", "R", user) for x in ("x0", "x1", "x3")]
+    want += [f"CASE WHEN kind = 'u' THEN {plus(x, 'late', 'K', 'line')} END" for x in ("x0", "x1", "x3")]
+    after = {
+        0: plus("x0", 2, "D"),
+        1: f"least({plus('x1', 2, 'D')}, CASE WHEN NOT forced AND kind = 's' THEN {plus('x0', 'late', 'K', 'line')} END)",
+        2: f"least({plus('x2', 2, 'D')}, CASE WHEN NOT forced THEN least({', '.join(want)}) END)",
+        3: f"least({plus('x3', 2, 'D')}, CASE WHEN NOT forced THEN least({plus('x2', '1 + late', 'R', assistant)}, "
+           f"CASE WHEN kind = 'a' THEN {plus('x2', 'late', 'K', 'line')} END) END)",
+    }
+    to_user = ", ".join(plus(x, 5, "I", "'user:'") for x in ("x0", "x1", "x3"))
+    return f"""
+WITH RECURSIVE
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') AS key, coalesce(turn::VARCHAR, ' ') AS at_turn FROM conversations),
+fated AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key || ':' || at_turn, ''),
+        lambda x: ascii(x)::BIGINT)), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS fate
+        FROM keyed k, tab),
+damaged AS (SELECT key, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM fated WHERE fate <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM damaged),
+faulty AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+        row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 AS again,
+        NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open_end,
+        lag(role[1]) OVER (PARTITION BY key ORDER BY pos) || role[1] AS pair FROM placed),
+given AS (SELECT key, pos, text, role || ':' || text AS line, role[1] AS kind, blank OR again AS forced,
+        CASE WHEN open_end THEN 5 ELSE 0 END AS late FROM faulty),
+counted AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+        count(*) FILTER (open_end AND NOT again AND NOT blank) AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM faulty GROUP BY key),
+walk AS (
+  SELECT key, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS y0, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS y1,
+         NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS y2, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) AS y3 FROM counted
+  UNION ALL
+  SELECT key, pos, {after[0]}, {after[1]}, {after[2]}, {after[3]} FROM (
+    SELECT w.key, g.pos, text, line, kind, forced, late, w.y0 AS x0, w.y1 AS x1, w.z2 AS x2,
+           least(w.y3, {plus('w.z2', 5, 'I', "'assistant:'")}) AS x3
+    FROM (SELECT key, pos, y0, y1, y3, least(y2, {to_user.replace('x', 'y')}) AS z2 FROM walk) w
+    JOIN given g ON g.key = w.key AND g.pos = w.pos + 1)),
+ends AS (SELECT w.key, least(y0, y3, {plus('z2', 5, 'I', "'assistant:'")}) AS best
+  FROM (SELECT key, pos, y0, y3, least(y2, {to_user.replace('x', 'y')}) AS z2 FROM walk) w
+  JOIN counted c ON c.key = w.key AND c.n = w.pos)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM keyed) LEFT JOIN counted USING (key) LEFT JOIN ends USING (key)
+"""
+
+
+@query("op13_conversations", _repair_sql())
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and what the cheapest repair of each comes to."""
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over the documents."""
