@@ -3,7 +3,8 @@
 A text is cut into sentences after ``.``, ``!``, ``?`` and at line ends. A sentence's features are the distinct hash
 buckets of its lower-cased words and of their beginnings of 4 to 6 bytes. Its score is a logistic function of the summed weights;
 the text's score is the noisy-or of its sentences, 1 - prod(1 - p). Weights are learned by gradient steps on the
-likelihood of the document labels alone, so the model itself finds which sentences carry a label.
+likelihood of the document labels alone, so the model itself finds which sentences carry a label. Each step hides a share
+``HIDDEN`` of the features: a sentence is then recognised by a part of its words too.
 
 The model is fitted on at most ``FIT_ROWS`` labelled rows of each label, those with the smallest hash of their id: a
 documented bound, so the learner's input does not grow. Scoring covers every sentence of every whole text.
@@ -30,6 +31,7 @@ SUPPORT = 5  # a feature of fewer of those rows has no weight
 STEPS = 700  # of BATCH rows each
 BATCH = 256
 BIAS = -10.0  # a sentence begins as clean: long texts have thousands of them
+HIDDEN = 0.35  # share of the features that a step does not see
 PREFIXES = (4, 5, 6)  # bytes
 
 _STOPS = np.zeros(256, bool)
@@ -135,6 +137,9 @@ def _descend(rows: list, labels: np.ndarray) -> np.ndarray:
             base = np.concatenate([[0], np.cumsum(sizes)])
             sentence = np.concatenate([data[i][0] + base[k] for k, i in enumerate(chosen)])
             bucket = np.concatenate([data[i][1] for i in chosen])
+            # A part of the features is hidden at each step, so that no sentence needs all of its words to be recognised.
+            shown = random.random(len(bucket)) >= HIDDEN
+            sentence, bucket = sentence[shown], bucket[shown]
             p = _sentence_scores(weights[:-1], weights[-1], sentence, bucket, base[-1])
             log_clean = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), base[:-1])
             clean = np.exp(log_clean)
