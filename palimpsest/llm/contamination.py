@@ -3,10 +3,10 @@
 Test items are short and documents long, so the Jaccard similarity of an item with a whole document is near nothing.
 Items are partitioned by the size of their shingle set, in powers of two. For the items of a partition a document is
 cut into windows of twice the partition's size, half overlapping: a passage that repeats an item lies in one of them,
-where its Jaccard similarity is a quarter or more, less for items under four shingles. An item is a candidate for a document when any of ``HASHES``
+where its Jaccard similarity is a quarter or more. An item is a candidate for a document when any of ``HASHES``
 minimum hashes of a window equals the item's. That misses a whole passage with probability under 0.76 ^ HASHES, about
-2e-8, and one of which only half is left in a window under 3e-4; an item of one shingle is missed with 0.004, or 0.016 in a
-text's first block. Every candidate is then verified: the part of the
+2e-8, and one of which only half is left in a window under 3e-4. An item of fewer than ``SHORT`` shingles must be there
+whole; it is looked up by one of its shingles and never missed. Every candidate is then verified: the part of the
 item's distinct shingles that occur anywhere in the whole document must reach the threshold.
 
 Items are compared in blocks of ``BLOCK``: the signatures of one block, bounded by that parameter, go to every task, and
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.llm import texts
 
@@ -32,6 +33,7 @@ HASHES = 64
 BLOCK = 4096  # items whose signatures a task holds at once
 PERCENT = 80
 LEAST = 8  # shingles of the smallest partition of items
+SHORT = 4  # items of fewer shingles must be there whole: they are looked up by one of their shingles
 _FILTER = 16  # bits of the table that most window minima fail in
 
 _FACTORS = texts.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -47,8 +49,12 @@ class Index:
         self.partitions = {}
         size = np.array([len(s) for s in self.sets], np.int64)
         width = np.maximum(LEAST, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
-        for w in sorted(set(width.tolist())):
-            rows = np.flatnonzero(width == w)
+        short = np.flatnonzero(size < SHORT)
+        first = np.array([self.sets[i][0] for i in short], np.uint64)
+        order = np.argsort(first, kind="stable")
+        self.short = first[order], short[order]
+        for w in sorted(set(width[size >= SHORT].tolist())):
+            rows = np.flatnonzero((width == w) & (size >= SHORT))
             minima = np.stack([(self.sets[i][:, None] * _FACTORS).min(0) for i in rows])
             order = np.argsort(minima, axis=0, kind="stable")
             values = np.take_along_axis(minima, order, 0)
@@ -64,10 +70,19 @@ class Index:
     def candidates(self, runs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) whose signatures meet in some window; ``runs`` are shingle hashes in order of position."""
         lengths = np.array([len(r) for r in runs], np.int64)
-        if not lengths.sum() or not self.partitions:
+        if not lengths.sum():
             return set()
         hashes = np.concatenate(runs)
         of_run = np.concatenate([[0], np.cumsum(lengths)])
+        found: set[tuple[int, int]] = set()
+        values, items = self.short
+        if len(values):
+            for at in np.flatnonzero(values[np.minimum(np.searchsorted(values, hashes), len(values) - 1)] == hashes).tolist():
+                low, high = np.searchsorted(values, hashes[at]), np.searchsorted(values, hashes[at], "right")
+                doc = int(np.searchsorted(of_run, at, "right")) - 1
+                found.update((doc, int(item)) for item in items[low:high])
+        if not self.partitions:
+            return found
         blocks = -(-lengths // LEAST)
         first = np.concatenate([[0], np.cumsum(blocks)])
         owner = np.repeat(np.arange(len(runs)), blocks)
@@ -78,7 +93,6 @@ class Index:
             inside = np.arange(first[-1]) - first[owner]
             heads = np.flatnonzero(inside % step == 0)
             layouts[w] = (heads, owner[heads], owner[heads][1:] == owner[heads][:-1])
-        found: set[tuple[int, int]] = set()
         for k in range(HASHES):
             least = np.minimum.reduceat(hashes * _FACTORS[k], starts)
             for w, (values, items, tables) in self.partitions.items():
@@ -120,6 +134,7 @@ def contained_items(docs: DataFrame, items: DataFrame, ident: str = "doc_id", te
     """One row per document and item found in it: both ids, the item's shingles and how many of them are there."""
     given = docs.select(docs[ident].alias("id"), docs[text].cast("string").alias("text"))
     kinds = [given.schema["id"].dataType.simpleString(), items.schema[item_ident].dataType.simpleString()]
+    item_type = to_arrow_type(items.schema[item_ident].dataType)
 
     def searched(index: Index) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +144,7 @@ def contained_items(docs: DataFrame, items: DataFrame, ident: str = "doc_id", te
                     if hits:
                         yield pa.RecordBatch.from_arrays(
                             [piece.column("id").take(pa.array([h[0] for h in hits], pa.int64())),
-                             pa.array([index.ids[h[1]] for h in hits]),
+                             pa.array([index.ids[h[1]] for h in hits], item_type),
                              pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.int64())],
                             ["id", "item", "n_item_shingles", "n_found"])
         return run

@@ -40,6 +40,24 @@ def test_found_items_equal_brute_force(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(docs, items)
 
 
+def test_short_items_are_never_missed(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(5 + i % 3))) for i in range(300)]
+    docs = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(60)) + f" {text} " + "x y " * 20) for i, text in items]
+    got = C.contained_items(spark.createDataFrame(docs, "doc_id bigint, text string"),
+                            spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(300)]
+
+
+def test_ids_of_any_type(spark):
+    item = "one two three four five six"
+    docs = spark.createDataFrame([(1, f"a {item} b")], "doc_id int, text string")
+    for kind in ("tinyint", "smallint", "int", "bigint", "float", "string", "decimal(9, 2)", "date", "binary"):
+        given = spark.sql(f"SELECT cast({'DATE' if kind == 'date' else ''}'{'2020-01-01' if kind == 'date' else 7}' AS {kind}) AS item_id, '{item}' AS text")
+        (row,) = C.contained_items(docs, given).collect()
+        assert row.item_id == given.first().item_id and row.doc_id == 1
+
+
 def test_odd_rows_and_clean_copy(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta"
     rows = [(1, None, 1), (2, "", 1), (3, f"x y {item.upper()} z", 1), (3, f"x y {item} z", 1), (None, item, 1),
