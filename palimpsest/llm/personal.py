@@ -38,8 +38,9 @@ DIGITS = "0123456789"
 SCHEMES = ("http", "https", "ftp", "ftps", "ssh", "s3", "ws", "wss", "git", "ldap")
 AUTHORITY = re.compile(r"://[A-Za-z0-9._~%!$&'()*+,;=:@\[\]-]+(?:[/?#][^\s<>\"]*)?")
 ACCOUNT_CUES = ("account", "acct", "iban", "konto", "kontonummer", "cuenta", "compte", "passport", "ssn")
-ACCOUNT = re.compile(r"(?i)(?:\s*(?:number|no\.?|nr\.?|id|#))?\s*[:=#]?\s*([A-Z0-9][A-Z0-9-]{4,40}[A-Z0-9])")
-GROUPED = re.compile(r"(?i)(?:\s*(?:number|no\.?|nr\.?|id|#))?\s*[:=#]?\s*"
+# ASCII letters only: letters such as the dotted capital I fold into A-Z elsewhere, but are none in an account.
+ACCOUNT = re.compile(r"(?ai)(?:[\s\xa0]*(?:number|no\.?|nr\.?|id|#))?[\s\xa0]*[:=#]?[\s\xa0]*([A-Z0-9][A-Z0-9-]{4,40}[A-Z0-9])")
+GROUPED = re.compile(r"(?ai)(?:[\s\xa0]*(?:number|no\.?|nr\.?|id|#))?[\s\xa0]*[:=#]?[\s\xa0]*"
                      r"([A-Z]{2}[0-9]{2}(?:[\x20\xa0-]?[A-Z0-9]){10,30}|[0-9]{2,5}(?:[\x20\xa0-][0-9]{2,5}){1,16})(?!-?[A-Z0-9])")
 # Characters of a code by country; elsewhere the longest end with valid check digits is taken.
 CODE_LENGTHS = {pair[:2]: int(pair[2:]) for pair in (

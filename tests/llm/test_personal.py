@@ -30,6 +30,22 @@ def test_base_spans_equal_a_plain_scan(text):
     assert [s for s in P.spans(text) if s[1] < 4] == brute(text)
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.text("İıſK AZaz19-\xa0.#:+@", max_size=50), st.sampled_from(["IBAN ", "konto", "account no. ", "12 ", "rue ", "st ", "http"]),
+       st.text("İıſK AZaz19-\xa0., /:", max_size=50))
+def test_added_kinds_on_letters_that_fold(before, cue, after):
+    text = before + cue + after
+    for start, kind, end in P.spans(text):
+        assert 0 <= start < end <= len(text)
+        if P.KINDS[kind] == "account":
+            assert re.fullmatch("[A-Za-z0-9\x20\xa0-]+", text[start:end])
+
+
+def test_accounts_beside_letters_that_fold():
+    assert found("IBAN TR33 0006 1005 1978 6457 8413 2İ", "email") == []
+    assert found("IBAN\xa0DE89370400440532013000İ", "account") == ["DE89370400440532013000"]
+
+
 def test_planted_cases():
     text = "x a.b@c.example.org, +1 (807) 555-5623; 4539 1488 0343 6467 at 10.0.0.255 and 1.2.3.256."
     kinds = [P.KINDS[k] for _, k, _ in P.spans(text)]
