@@ -91,8 +91,10 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     rows = decide(pages, page_id, url, html, min_bytes)
     revisit = F.col("record_type") == "revisit"
     own = _urn(F.col("digest"), F.col("page_id"), F.col("url"), F.lit("capture"))
-    target = F.coalesce(F.col("url"), F.lit("about:blank"))
-    host = F.coalesce(F.parse_url(target, F.lit("HOST")), F.lit("-"))
+    # Blanks and control characters would break header lines: there each stands as %20, and the metadata hold the url itself.
+    unfit = "[\\x00-\\x20\\x7F]"
+    target = F.coalesce(F.regexp_replace("url", unfit, "%20"), F.lit("about:blank"))
+    host = F.coalesce(F.try_parse_url(target, F.lit("HOST")), F.lit("-"))
     common = [("WARC-Target-URI", target), ("WARC-Date", F.lit(DATE))]
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("payload_bytes").cast("string"), F.lit(END))
@@ -111,7 +113,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
         F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload"))))
     fields = F.concat(F.lit("payload-bytes: "), F.col("payload_bytes").cast("string"),
                       F.coalesce(F.concat(F.lit("\r\npage-id: "), F.col("page_id").cast("string")), F.lit("")),
-                      F.when(F.col("url").isNull(), F.lit("\r\nno-url: 1")).otherwise(F.lit("")))
+                      F.when(F.col("url").isNull(), F.lit("\r\nno-url: 1")).when(F.col("url").rlike(unfit) | (F.col("url") == ""), F.concat(
+                          F.lit("\r\nurl-base64: "), F.base64(F.col("url").cast("binary")))).otherwise(F.lit("")))
     metadata = _record("metadata", [
         ("WARC-Record-ID", _urn(own, F.lit("metadata"))), ("WARC-Concurrent-To", own), *common,
         ("Content-Type", F.lit("application/warc-fields"))], fields)
@@ -172,6 +175,8 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                         row["page_id"] = text(said.get(b"page-id"))
                         if b"no-url" in said:
                             row["target_uri"] = None
+                        if b"url-base64" in said:
+                            row["target_uri"] = text(base64.b64decode(said[b"url-base64"]))
                     elif kind == "request" and with_payload:
                         row["payload"] = block
                     rows.append(row)

@@ -30,6 +30,16 @@ def test_round_trip(spark, tmp_path):
     assert all(r.request and r.metadata for r in nested)
 
 
+def test_urls_that_are_no_urls(spark, tmp_path):
+    urls = ["http://a b/c", "http://a.b/{id}", "http://a.b/%zz|x", "http://a/\r\nWARC-Type: foo", "http://a/\r\n\r\nb", " http://a.b ",
+            "", "\t", "é\x00\x7f", "http://[::1", "http://a.b/%20", None]
+    pages = spark.createDataFrame([(i, u, f"page {i // 2}") for i, u in enumerate(urls)], "page_id int, url string, html string")
+    warc.write_archive(pages, f"{tmp_path}/a")
+    got = warc.captures(spark, f"{tmp_path}/a", "int").collect()
+    assert {r.page_id: r.url for r in got} == dict(enumerate(urls)) and len(got) == len(urls)
+    assert {r.page_id: r.refers_to for r in got} == {i: None if i % 2 else i + 1 for i in range(len(urls))}
+
+
 def test_small_payloads_stay_responses_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long"), (4, "d", "long")],
                                   "page_id bigint, url string, html string")
