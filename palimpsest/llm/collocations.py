@@ -394,8 +394,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     phrase = place.join(spelled, "w1").groupBy("ids", "a", "cut").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("phrase"))
     totals = words.filter(F.col("w1").isNull()).select("lang", F.col("f").alias("n"))
-    known = phrase.withColumn("w1", F.col("ids")[0]).join(single.select("w1", "lang"), "w1").join(totals, "lang")
+    known = phrase.withColumn("w1", F.col("ids")[0]).join(single.select("w1", "lang"), "w1")
+    # Each task keeps its own first rows of a language before any meet, and only those are joined by language.
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
-    return known.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select(
+    first = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return first.withColumn("rank", F.col("rank").cast("bigint")).join(totals, "lang").select(
         "lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n",
         F.col("cut.score").cast("bigint").alias("score"))
