@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), cut at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\x20\\x09]+``. Everything
 is counted per language. Each task counts in a burst trie: its shallow levels branch on the leading digits of the ids of
 a phrase's first words, its leaves are hash containers of phrases with counts. A container that grows past ``BURST``
-phrases bursts into children; a trie past ``LIMIT`` spills its largest subtrees whole, as runs sorted by prefix. Runs
+phrases bursts into children; a task's tries past ``LIMIT`` spill their largest subtrees whole, as runs sorted by prefix. Runs
 meet by prefix partition, where equal phrases are summed.
 
 Three passes over the texts count words, pairs, then triples and quadruples. A phrase cannot be more frequent than its
@@ -35,10 +35,10 @@ LEAST = 30  # occurrences of a phrase that is a candidate
 TOP = 2000  # phrases of a language in the report
 COVER = 80  # percent of a phrase's occurrences that lie in one longer phrase, from which on it is dropped
 BURST = 1 << 16  # phrases of a container
-LIMIT = 1 << 21  # phrases of a trie
+LIMIT = 1 << 20  # phrases of the tries of a task
 DIGITS = 4  # levels of the trie, of 16 children each
 GATE_BITS = 26  # the bit table has 2^26 bits: 8 MB
-WINDOW = 2 << 20  # bytes that are cut into words at once
+WINDOW = 1 << 20  # bytes that are cut into words at once
 
 _CUT = np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -119,12 +119,13 @@ def phrase_key(words: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Counts of phrases of ``width`` words. A node is a Container or a list of 16 nodes.
+    """Counts of phrases of ``width`` words, one of ``share`` tries of a task. A node is a Container or a list of 16 nodes.
 
     ``beside`` more ids may be kept with each phrase; the trie does not branch on them.
     """
 
-    def __init__(self, width: int, beside: int = 0):
+    def __init__(self, width: int, beside: int = 0, share: int = 1):
+        self.limit = LIMIT // share
         self.branching = width
         self.width = width + beside
         self.root: Container | list = Container(self.width)
@@ -167,17 +168,17 @@ class Trie:
             yield words[order], counts[order]
 
     def spill(self, everything: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Sorted runs of word ids and counts: all that is held, or the largest subtrees until half of LIMIT is left."""
+        """Sorted runs of word ids and counts: all that is held, or the largest subtrees until half of the limit is left."""
         if everything or isinstance(self.root, Container):
-            if everything or self.root.n > LIMIT:
+            if everything or self.root.n > self.limit:
                 root, self.root = self.root, Container(self.width)
                 yield from self._runs(root)
             return
         sizes = [self.size(child) for child in self.root]
-        if sum(sizes) <= LIMIT:
+        if sum(sizes) <= self.limit:
             return
         for d in sorted(range(16), key=lambda d: -sizes[d]):
-            if sum(sizes) <= LIMIT // 2:
+            if sum(sizes) <= self.limit // 2:
                 break
             subtree, self.root[d], sizes[d] = self.root[d], Container(self.width), 0
             yield from self._runs(subtree)
@@ -263,7 +264,7 @@ def _count(docs: DataFrame, widths: tuple[int, ...], gates: tuple[Broadcast, ...
         return pa.RecordBatch.from_arrays(arrays, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries = {width: Trie(width, beside=int(width == 1)) for width in widths}  # a word's language beside it
+        tries = {width: Trie(width, int(width == 1), len(widths)) for width in widths}  # a word's language beside it
         langs: dict[str, int] = {}
         totals: list[int] = []
         owner: dict[int, int] = {}  # language of a language's hash
@@ -316,7 +317,7 @@ def _count(docs: DataFrame, widths: tuple[int, ...], gates: tuple[Broadcast, ...
                         named.add(phrase_key(ids[fresh, None]), ids[fresh, None], np.ones(len(fresh), np.int64))
                         yield rows(ids[fresh, None], np.zeros(len(fresh), np.int64),
                                    texts.take_spans(_LOWER[data], start[fresh], end[fresh]))
-                        if named.n > LIMIT:
+                        if named.n > LIMIT // 4:
                             named = Container(1)
                 for width in widths:
                     n = len(ids) - width + 1
