@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
 from palimpsest.functions import text as X
 
+BLOCK = 64  # headings folded at once
+
+
 def _in_order(heads: DataFrame, keys: Sequence[str], order: str = "line_no") -> DataFrame:
     """One row per document: its headings, a cell's worth, as one array in order."""
     rest = [c for c in heads.columns if c not in keys]
@@ -17,6 +20,31 @@ def _in_order(heads: DataFrame, keys: Sequence[str], order: str = "line_no") ->
     return heads.groupBy(*keys).agg(F.sort_array(F.collect_list(ordered)).alias("_heads"))
 
 
+def _folded(items: Column, stack: str, out: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step`` gives for each item, as one array; ``step`` takes the stack and an item and gives a new stack too.
+
+    An accumulator is copied at every step, so none holds the results of a whole document. One fold finds the stack
+    that each block of items starts with; the blocks are then folded apart, each with only its own results in hand.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(items) - 1) / BLOCK).cast("int")),
+                         lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+    empty = F.array().cast(f"array<{stack}>")
+
+    def past(acc, xs):
+        behind = F.aggregate(xs, acc["stack"], lambda now, x: step(now, x["h"])[0])
+        return F.struct(behind.alias("stack"), F.concat(acc["starts"], F.array(acc["stack"])).alias("starts"))
+    begin = F.struct(empty.alias("stack"), F.array().cast(f"array<array<{stack}>>").alias("starts"))
+    starts = F.aggregate(blocks, begin, past)["starts"]
+
+    def one(acc, x):
+        now, made = step(acc["stack"], x["h"])
+        return F.struct(now.alias("stack"), F.concat(acc["out"], F.array(made)).alias("out"))
+
+    def block(xs, first):
+        return F.aggregate(xs, F.struct(first.alias("stack"), F.array().cast(f"array<{out}>").alias("out")), one)["out"]
+    return F.flatten(F.zip_with(blocks, starts, block))
+
+
 def _unfolded(folded: DataFrame, heads: DataFrame, keys: Sequence[str], added: Sequence[str]) -> DataFrame:
     rest = [c for c in heads.columns if c not in keys]
     return folded.select(*keys, F.explode("_out").alias("_o")).select(
@@ -32,19 +60,16 @@ def fold_headings(heads: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFr
     heads = heads.withColumn("depth", F.col("depth").cast("bigint"))
     heads = heads if "stable" in heads.columns else heads.withColumn("stable", F.lit(""))
     kinds = heads.schema
-    opened = f"array<struct<depth:bigint,line_no:{kinds['line_no'].dataType.simpleString()},stable:string>>"
+    opened = f"struct<depth:bigint,line_no:{kinds['line_no'].dataType.simpleString()},stable:string>"
     grouped = _in_order(heads, keys)
     row = grouped.schema["_heads"].dataType.elementType["h"].dataType.simpleString()
-    out = f"array<struct<h:{row},open:{opened}>>"
 
-    def step(acc, x):
-        h = x["h"]
-        still = F.filter(acc["stack"], lambda s: s["depth"] < h["depth"])
+    def step(stack, h):
+        still = F.filter(stack, lambda s: s["depth"] < h["depth"])
         own = F.struct(h["depth"].alias("depth"), h["line_no"].alias("line_no"), h["stable"].alias("stable"))
-        return F.struct(F.concat(still, F.array(own)).cast(opened).alias("stack"),
-                        F.concat(acc["out"], F.array(F.struct(h.alias("h"), still.alias("open"))).cast(out)).alias("out"))
-    start = F.struct(F.array().cast(opened).alias("stack"), F.array().cast(out).alias("out"))
-    folded = grouped.select(*keys, F.aggregate("_heads", start, step)["out"].alias("_out"))
+        return F.concat(still, F.array(own)), F.struct(h.alias("h"), still.alias("open"))
+    folded = grouped.select(*keys, _folded(
+        F.col("_heads"), opened, f"struct<h:{row},open:array<{opened}>>", step).alias("_out"))
     tree = _unfolded(folded, heads, keys, ["open"])
     return tree.withColumns({
         "parent": F.get(F.col("open")["line_no"], F.size("open") - 1), "ancestors": F.col("open")["line_no"],
@@ -55,21 +80,17 @@ def next_at_or_above(heads: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Dat
     """For each heading, the line of the next one of the same or a smaller depth, by one fold from the end."""
     heads = heads.withColumn("depth", F.col("depth").cast("bigint"))
     line = heads.schema["line_no"].dataType.simpleString()
-    later = f"array<struct<depth:bigint,line_no:{line}>>"
     grouped = _in_order(heads, keys)
     row = grouped.schema["_heads"].dataType.elementType["h"].dataType.simpleString()
-    out = f"array<struct<h:{row},next_line:{line}>>"
 
-    def step(acc, x):
-        h = x["h"]
-        met = F.filter(acc["stack"], lambda s: s["depth"] <= h["depth"])
-        left = F.filter(met, lambda s: s["depth"] < h["depth"])
+    def step(stack, h):
+        met = F.filter(stack, lambda s: s["depth"] <= h["depth"])
+        left = F.filter(stack, lambda s: s["depth"] < h["depth"])
         own = F.struct(h["depth"].alias("depth"), h["line_no"].alias("line_no"))
-        made = F.struct(h.alias("h"), F.get(met["line_no"], F.size(met) - 1).alias("next_line"))
-        return F.struct(F.concat(left, F.array(own)).cast(later).alias("stack"),
-                        F.concat(acc["out"], F.array(made).cast(out)).alias("out"))
-    start = F.struct(F.array().cast(later).alias("stack"), F.array().cast(out).alias("out"))
-    folded = grouped.select(*keys, F.aggregate(F.reverse("_heads"), start, step)["out"].alias("_out"))
+        return F.concat(left, F.array(own)), F.struct(h.alias("h"), F.element_at(
+            F.concat(F.array(F.lit(None).cast(line)), met["line_no"]), -1).alias("next_line"))
+    folded = grouped.select(*keys, _folded(
+        F.reverse("_heads"), f"struct<depth:bigint,line_no:{line}>", f"struct<h:{row},next_line:{line}>", step).alias("_out"))
     return _unfolded(folded, heads, keys, ["next_line"])
 
 
@@ -99,29 +120,26 @@ def fold_fenced(events: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFra
     """
     events = events.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), "event",
                            F.col("depth").cast("bigint").alias("depth"), "stable")
-    opened = "array<struct<depth:bigint,line_no:bigint,stable:string>>"
     grouped = _in_order(events, keys)
     row = grouped.schema["_heads"].dataType.elementType["h"].dataType.simpleString()
-    out = f"array<struct<h:{row},parent:bigint,closes:bigint,warning:string>>"
     mismatch = V.FENCE_MISMATCH.replace("%s", "%1$s", 1).replace("%s", "%2$s", 1)
 
-    def step(acc, x):
-        h = x["h"]
+    def step(stack, h):
         opens = h["event"] == "open"
-        still = F.when(opens, F.filter(acc["stack"], lambda s: s["depth"] < h["depth"])).otherwise(acc["stack"])
+        still = F.when(opens, F.filter(stack, lambda s: s["depth"] < h["depth"])).otherwise(stack)
         top = F.get(still, F.size(still) - 1)
         match = ~opens & top.isNotNull() & top["stable"].eqNullSafe(h["stable"])
         own = F.struct(h["depth"].alias("depth"), h["line_no"].alias("line_no"), h["stable"].alias("stable"))
-        stack = F.when(opens, F.concat(still, F.array(own))).when(
+        now = F.when(opens, F.concat(still, F.array(own))).when(
             match, F.slice(still, F.lit(1), F.greatest(F.size(still) - 1, F.lit(0)))).otherwise(still)
         warning = F.when(opens | match, None).when(top.isNull(), F.format_string(V.FENCE_NONE, h["stable"])).otherwise(
             F.format_string(mismatch, h["stable"], top["stable"]))
         made = F.struct(h.alias("h"), F.when(opens, top["line_no"]).alias("parent"),
                         F.when(match, top["line_no"]).alias("closes"), warning.alias("warning"))
-        return F.struct(stack.cast(opened).alias("stack"),
-                        F.concat(acc["out"], F.array(made).cast(out)).alias("out"))
-    start = F.struct(F.array().cast(opened).alias("stack"), F.array().cast(out).alias("out"))
-    folded = grouped.select(*keys, F.aggregate("_heads", start, step)["out"].alias("_out"))
+        return now, made
+    folded = grouped.select(*keys, _folded(
+        F.col("_heads"), "struct<depth:bigint,line_no:bigint,stable:string>",
+        f"struct<h:{row},parent:bigint,closes:bigint,warning:string>", step).alias("_out"))
     return _unfolded(folded, events, keys, ["parent", "closes", "warning"]).drop("depth")
 
 
