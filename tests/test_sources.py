@@ -38,6 +38,16 @@ def test_documents_of_any_depth_are_read_whole(spark):
     assert rejects.collect() == []
 
 
+def test_keys_written_with_escapes_are_children_too(spark):
+    text = '{"nodes":[{"type":"section","\\u0063h\\u0069ldren":[{"type":"section","childre\\u006E":[{"type":"item","stable":"\\"children\\""}]}]}]}'
+    nodes, rejects = SD.parse_saved(spark.createDataFrame([(1, text)], "id long, json string"), "id", "json")
+    assert [tuple(r.node_path) for r in nodes.orderBy("node_path").collect()] == [(0,), (0, 0), (0, 0, 0)] and not rejects.collect()
+    for _ in range(9):
+        text = '{"nodes":[' + json.dumps({"type": "s"})[:-1] + ',"ch\\u0069ldren":' + text[len('{"nodes":'):-1] + '}]}'
+    nodes, _ = SD.parse_saved(spark.createDataFrame([(1, text)], "id long, json string"), "id", "json")
+    assert nodes.count() == 12
+
+
 def test_writing_leaves_defaults_out_and_reads_back(spark):
     df = spark.createDataFrame([(1, json.dumps(DOC))], "id long, json string")
     nodes, _ = SD.parse_saved(df, "id", "json")
