@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
 from palimpsest.functions import text as X
+from palimpsest.session import checkpointed
 
 FLAGS = [name for name, _ in V.ATTRIBUTES]
 
@@ -71,17 +72,25 @@ def against_parents(unpaired: DataFrame, parents: DataFrame, flags: dict[str, st
 
 
 def nearest_scope(asked: DataFrame, offered: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each asking row, the innermost enclosing scope that offers its name.
+    """Each asking row with an offer of its name in the innermost enclosing scope that still has one.
 
-    ``asked``: keys, ask_id, name, scopes (innermost first). ``offered``: keys, scope, name, offer_id. Within the
-    scope the first offer is taken.
+    ``asked``: keys, ask_id, name, scopes (innermost first). ``offered``: keys, scope, name, offer_id. An offer is used
+    once. Rounds go outwards: at each distance the k-th row that still asks meets the k-th offer still free in its scope,
+    and what is left over looks one scope further out. There are as many rounds as the deepest row has scopes.
     """
+    block = [*keys, "scope", "name"]
+    offers = checkpointed(offered.select(*block, "offer_id").distinct())
     up = asked.select(*keys, "ask_id", "name", F.posexplode("scopes").alias("distance", "scope"))
-    first = offered.groupBy(*keys, "scope", "name").agg(F.min("offer_id").alias("offer_id"))
-    met = up.join(first, [*keys, "scope", "name"])
-    nearest = met.groupBy(*keys, "ask_id", "name").agg(
-        F.min(F.struct("distance", "scope", "offer_id")).alias("_n"))
-    return nearest.select(*keys, "ask_id", "name", "_n.distance", "_n.scope", "_n.offer_id")
+    up = checkpointed(up.join(offers.select(*block).distinct(), block, "left_semi"))
+    farthest = up.agg(F.max("distance")).first()[0]
+    taken = checkpointed(up.join(offers, block).limit(0).select(*keys, "ask_id", "name", "distance", "scope", "offer_id"))
+    for distance in range(0 if farthest is None else farthest + 1):
+        asks = up.filter(F.col("distance") == distance).join(taken.select(*keys, "ask_id"), [*keys, "ask_id"], "left_anti")
+        free = offers.join(taken.select(*block, "offer_id"), [*block, "offer_id"], "left_anti")
+        nth = lambda order: F.row_number().over(Window.partitionBy(*block).orderBy(order))
+        met = asks.withColumn("_k", nth("ask_id")).join(free.withColumn("_k", nth("offer_id")), [*block, "_k"])
+        taken = checkpointed(taken.unionByName(met.select(*taken.columns)))
+    return taken
 
 
 def nth_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], key: str) -> DataFrame:

@@ -19,17 +19,36 @@ def greedy_pairs(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The pairs a best-first walk takes: order (score descending, i, j), each side used once.
 
     A pair that is the best left for both of its sides is taken whatever the others are, so every round takes all
-    such pairs at once and drops what they used. Rounds go on until no candidate is left; each is cut off in the
-    checkpoint folder.
+    such pairs at once and drops what they used. Where all of some i score best, and the same, with all of some j and
+    these with them, the k-th i takes the k-th j: a block of ties is one round. Rounds go on until no candidate is left;
+    each is cut off in the checkpoint folder.
     """
     keys = list(keys)
+
+    def tied(of: str, other: str) -> DataFrame:
+        """Each ``of`` with the score it has at best, and the fingerprint of all ``other`` that give it."""
+        top = left.groupBy(*keys, of).agg(F.max("score").alias("_s"))
+        ones = left.join(top, [*keys, of]).filter(F.col("score") == F.col("_s"))
+        return ones.groupBy(*keys, of, "_s").agg(*_fingerprint(other, "_theirs"))
+
+    def blocks() -> DataFrame:
+        """Pairs of the blocks of ties: sets of i and of j of which each is all that the other likes best."""
+        sides = {}
+        for of, other in (("i", "j"), ("j", "i")):
+            own = tied(of, other)
+            group = own.groupBy(*keys, "_s", "_theirs").agg(*_fingerprint(of, "_ours"))
+            nth = F.row_number().over(Window.partitionBy(*keys, "_s", "_theirs").orderBy(of))
+            sides[of] = own.join(group, [*keys, "_s", "_theirs"]).withColumn("_k", nth)
+        a = sides["i"].select(*keys, "_s", F.col("_ours").alias("_is"), F.col("_theirs").alias("_js"), "_k", "i")
+        b = sides["j"].select(*keys, "_s", F.col("_theirs").alias("_is"), F.col("_ours").alias("_js"), "_k", "j")
+        return a.join(b, [*keys, "_s", "_is", "_js", "_k"]).select(*keys, "i", "j")
     rank = F.struct((-F.col("score")).alias("s"), "i", "j")
     left = checkpointed(candidates.select(*keys, "i", "j", "score"))
     taken = [left.filter("false")]
     while not left.isEmpty():
         best_i = left.groupBy(*keys, "i").agg(F.min(rank).alias("_b")).select(*keys, "i", F.col("_b.j").alias("j"))
         best_j = left.groupBy(*keys, "j").agg(F.min(rank).alias("_b")).select(*keys, F.col("_b.i").alias("i"), "j")
-        hit = best_i.join(best_j, [*keys, "i", "j"])
+        hit = best_i.join(best_j, [*keys, "i", "j"]).unionByName(blocks()).distinct()
         marked = checkpointed(
             left.join(hit.withColumnRenamed("j", "_hj"), [*keys, "i"], "left")
             .join(hit.withColumnRenamed("i", "_hi"), [*keys, "j"], "left"))
@@ -38,6 +57,12 @@ def greedy_pairs(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return reduce(DataFrame.unionByName, taken)
 
 
+def _fingerprint(column: str, name: str) -> list:
+    """A set of values as its size and two 64-bit sums of hashes."""
+    return [F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64(column)).alias("x"),
+                     F.bit_xor(F.xxhash64(column, F.lit(1))).alias("y")).alias(name)]
+
+
 def fit_in_group(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same walk inside documents, without rounds: every i and j of a document is used once, best first.
 

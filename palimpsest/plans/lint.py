@@ -440,18 +440,35 @@ def parent_fallback(t):
     return A.against_parents(unpaired, parents, FLAGS)
 
 
+FARTHEST = 14  # more scopes than a derived heading has levels above it
+
+SCOPE_ROUNDS = ",\n".join(f"""
+asks{d} AS (SELECT *, row_number() OVER (PARTITION BY doc_id, scope, name ORDER BY ask_id) AS k FROM up WHERE distance = {d}
+  AND NOT EXISTS (SELECT 1 FROM taken{d} x WHERE x.doc_id = up.doc_id AND x.ask_id = up.ask_id)),
+free{d} AS (SELECT *, row_number() OVER (PARTITION BY doc_id, scope, name ORDER BY offer_id) AS k FROM offers o
+  WHERE NOT EXISTS (SELECT 1 FROM taken{d} x WHERE x.doc_id = o.doc_id AND x.offer_id = o.offer_id)),
+taken{d + 1} AS MATERIALIZED (SELECT * FROM taken{d} UNION ALL
+  SELECT doc_id, ask_id, name, distance, scope, offer_id FROM asks{d} JOIN free{d} USING (doc_id, scope, name, k))""" for d in range(FARTHEST))
+
+
 @query("nearest_scope", f"""
 WITH RECURSIVE {TREE},
 ids AS (SELECT doc_id, line_no, regexp_extract_all(lower(text), '[A-Za-z0-9_]+', 0) AS w FROM lines),
-placed AS (SELECT i.doc_id, i.line_no, i.w[1] AS offer, i.w[-1] AS ask,
+placed AS (SELECT i.doc_id, i.line_no, i.w,
    (SELECT max(h.line_no) FROM heads h WHERE h.doc_id = i.doc_id AND h.line_no <= i.line_no) AS sec FROM ids i WHERE len(i.w) > 0),
-offers AS (SELECT doc_id, sec AS scope, offer AS name, min(line_no) AS offer_id FROM placed WHERE sec IS NOT NULL GROUP BY ALL),
-up AS (SELECT doc_id, line_no AS ask_id, ask AS name, sec AS scope, CAST(0 AS BIGINT) AS distance FROM placed WHERE sec IS NOT NULL
-  UNION ALL SELECT u.doc_id, u.ask_id, u.name, t.parent, u.distance + 1 FROM up u JOIN tree t ON t.doc_id = u.doc_id AND t.line_no = u.scope
+offers AS (SELECT doc_id, sec AS scope, w[1] AS name, line_no AS offer_id FROM placed WHERE sec IS NOT NULL),
+spread AS (SELECT doc_id, line_no, sec, unnest(list_distinct(w[2:])) AS name, w FROM placed WHERE sec IS NOT NULL),
+above AS (SELECT doc_id, line_no AS sec, line_no AS scope, CAST(0 AS BIGINT) AS distance FROM tree
+  UNION ALL SELECT u.doc_id, u.sec, t.parent, u.distance + 1 FROM above u JOIN tree t ON t.doc_id = u.doc_id AND t.line_no = u.scope
   WHERE t.parent IS NOT NULL),
-met AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ask_id ORDER BY distance) AS rn FROM up JOIN offers USING (doc_id, scope, name))
-SELECT doc_id, ask_id, name, distance, scope, offer_id FROM met WHERE rn = 1""")
+up AS MATERIALIZED (SELECT s.doc_id, s.line_no * 1048576 + list_position(s.w[2:], s.name) + 1 AS ask_id, s.name, u.scope, u.distance
+  FROM spread s JOIN above u ON u.doc_id = s.doc_id AND u.sec = s.sec
+  WHERE EXISTS (SELECT 1 FROM offers o WHERE o.doc_id = s.doc_id AND o.scope = u.scope AND o.name = s.name)),
+taken0 AS (SELECT doc_id, ask_id, name, distance, scope, 0::BIGINT AS offer_id FROM up WHERE false),
+{SCOPE_ROUNDS}
+SELECT * FROM taken{FARTHEST}""")
 def nearest_scope(t):
+    """Every word of a line after its first asks for the line of its section, or of one around it, that begins with it."""
     lines = D.doc_lines(t)
     tree = S.fold_headings(heads_of(t))
     ids = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9_]+"), F.lit(0))
@@ -461,6 +478,8 @@ def nearest_scope(t):
                            F.col("line_no").alias("offer_id"))
     scopes = tree.select("doc_id", F.col("line_no").alias("section_line"),
                          F.concat(F.array("line_no"), F.reverse("ancestors")).alias("scopes"))
-    asks = placed.join(scopes, ["doc_id", "section_line"]).select(
-        "doc_id", F.col("line_no").alias("ask_id"), F.try_element_at("w", F.lit(-1)).alias("name"), "scopes")
+    later = F.slice("w", F.lit(2), F.size("w"))
+    asks = placed.join(scopes, ["doc_id", "section_line"]).select("doc_id", "line_no", "scopes", later.alias("_w")).select(
+        "doc_id", "line_no", "scopes", "_w", F.explode(F.array_distinct("_w")).alias("name")).select(
+        "doc_id", (F.col("line_no") * 1048576 + F.array_position("_w", F.col("name")) + 1).alias("ask_id"), "name", "scopes")
     return A.nearest_scope(asks, offers, ["doc_id"])

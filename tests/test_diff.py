@@ -275,3 +275,17 @@ def test_the_change_column_never_nests(spark):
     nodes = spark.createDataFrame([(1, 1, []), (1, 2, [1])], "doc_id long, node_id long, ancestors array<long>")
     marks = R.all_marked(nodes, "added").groupBy("node_id").agg(F.first("change").alias("c"))
     assert {r.node_id: r.c for r in marks.collect()} == {1: "added", 2: "same"}
+
+
+def test_blocks_of_ties_take_one_round(spark, monkeypatch):
+    rounds, real = [], PR.checkpointed
+    monkeypatch.setattr(PR, "checkpointed", lambda df: rounds.append(1) or real(df))
+    tied = [(1, i, j, 0.5) for i in range(150) for j in range(120)] + [(1, 500 + i, 500 + j, 0.25) for i in range(3) for j in range(9)]
+    got = PR.greedy_pairs(spark.createDataFrame(tied, "g bigint, i bigint, j bigint, score double"), ["g"]).collect()
+    assert sorted((r.i, r.j) for r in got) == [(k, k) for k in range(120)] + [(500 + k, 500 + k) for k in range(3)]
+    assert len(rounds) < 6
+    dice = random.Random(8)
+    mixed = [(g, i, j, dice.choice([0.5, 0.5, 0.75])) for g in range(30) for i in range(5) for j in range(6) if dice.random() < 0.8]
+    out = PR.greedy_pairs(spark.createDataFrame(mixed, "g bigint, i bigint, j bigint, score double"), ["g"]).collect()
+    want = [(g, i, j) for g in range(30) for i, j, _ in greedy([(s, i, j) for h, i, j, s in mixed if h == g])]
+    assert sorted((r.g, r.i, r.j) for r in out) == sorted(want)

@@ -80,3 +80,25 @@ def test_elements_and_paragraphs(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines, 1)], "doc_id long, line_no long, text string")
     got = [(r.kind, r.para_ord, r.text) for r in E.group_elements(df).orderBy("elem_ord", "para_ord").collect()]
     assert got == [("leading", 1, "lead"), ("effects", 1, "one two"), ("effects", 2, "three \\unknown four"), ("returns", 1, "five")]
+
+
+def test_an_offer_goes_to_one_row_and_the_rest_look_further_out(spark):
+    import random
+    from palimpsest.operators import agreement as A
+    dice = random.Random(3)
+    asks = [(d, i, dice.choice("ab"), [f"s{dice.randrange(3)}", "t", "u"][dice.randrange(3):]) for d in range(12) for i in range(9)]
+    offers = [(d, dice.choice(["s0", "s1", "s2", "t", "u"]), dice.choice("abc"), i) for d in range(12) for i in range(8)]
+    want, used, done = [], set(), set()
+    for distance in range(3):
+        for d, i, name, scopes in asks:
+            if (d, i) not in done and distance < len(scopes):
+                free = [o for o in offers if o[0] == d and o[1] == scopes[distance] and o[2] == name and (d, o[3]) not in used]
+                if free:
+                    used.add((d, free[0][3]))
+                    done.add((d, i))
+                    want.append((d, i, name, distance, scopes[distance], free[0][3]))
+    got = A.nearest_scope(spark.createDataFrame(asks, "doc_id bigint, ask_id bigint, name string, scopes array<string>"),
+                          spark.createDataFrame(offers, "doc_id bigint, scope string, name string, offer_id bigint"), ["doc_id"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 30
+    empty = spark.createDataFrame([], "doc_id bigint, ask_id bigint, name string, scopes array<string>")
+    assert A.nearest_scope(empty, spark.createDataFrame(offers, "doc_id bigint, scope string, name string, offer_id bigint"), ["doc_id"]).collect() == []
