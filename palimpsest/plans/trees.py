@@ -19,7 +19,6 @@ line_nodes AS (
   SELECT rev, doc_id, line_no, text, CASE w % 5 WHEN 0 THEN 'section' WHEN 1 THEN 'item' WHEN 2 THEN 'item' WHEN 3 THEN 'element'
          ELSE 'paragraph' END AS type, last, CASE WHEN w % 5 = 0 THEN 1 + (w // 5) % 2 END AS depth FROM typed)
 """
-KINDS = F.array(*[F.lit(k) for k in V.ELEMENT_KINDS])
 
 
 def tree_of(lines: DataFrame) -> DataFrame:
@@ -42,12 +41,13 @@ def tree_of(lines: DataFrame) -> DataFrame:
     ancestors = F.when(F.col("type") == "section", F.col("_above")).when(
         in_item, F.concat(inside, F.array("_item"))).otherwise(inside)
     empty = F.array().cast("array<string>")
+    kinds = F.array(*[F.lit(k) for k in V.ELEMENT_KINDS])
     item = F.col("type") == "item"
     return placed.withColumn("ancestors", ancestors).select(
         "doc_id", F.col("line_no").alias("node_id"), F.get("ancestors", F.size("ancestors") - 1).alias("parent_id"), "ancestors",
         F.col("line_no").alias("ord"), "type",
         F.when(F.col("type") == "section", F.col("last")).when(F.col("type") == "element", F.get(
-            KINDS, F.floor(F.col("w") / 5).cast("int") % len(V.ELEMENT_KINDS))).otherwise("").alias("name"),
+            kinds, F.floor(F.col("w") / 5).cast("int") % len(V.ELEMENT_KINDS))).otherwise("").alias("name"),
         F.when(item & (F.col("w") % 5 == 1), F.array("last")).otherwise(empty).alias("entities"),
         F.when(item, F.array("text")).otherwise(empty).alias("signatures"), "text")
 
