@@ -2,5 +2,5 @@
 
 
 def load():
-    from palimpsest.plans import lint, output, registry, revisions, saved, structure, text, trees  # noqa: F401
+    from palimpsest.plans import blocks, lint, output, registry, revisions, saved, structure, text, trees  # noqa: F401
     return registry

@@ -122,6 +122,17 @@ OUT_OF_ORDER = "\\%s appears after \\%s; output is canonicalized"
 OUTSIDE_BLOCK = "\\%s appears outside its block"
 BLOCKS_NEST = "notes and examples cannot nest"
 MISSING_END = "missing \\end%s"
+COLUMN_LATE = "\\column must precede every \\row"
+COLUMNS_EXTRA = "\\%s accepts exactly two \\column entries"
+ROW_EARLY = "\\row requires two preceding \\column entries"
+ROW_ARITY = "the preceding \\row requires exactly %s; found %s"
+LAST_ROW_ARITY = "the final \\row requires exactly %s; found %s"
+CELL_EARLY = "\\cell requires a preceding \\row"
+CELL_EXTRA = "each \\row accepts exactly %s"
+TABLE_NESTED = "nested \\%s is not allowed"
+TAG_IN_TABLE = "unexpected \\%s inside \\%s"
+TABLE_COLUMNS = "%s requires exactly two \\column entries; found %s"
+TABLE_ROWS = "%s requires at least one \\row"
 PROSE_OUTSIDE = "detached prose requires an open section"
 FENCE_NONE = "END [%s] has no open section to close"
 FENCE_MISMATCH = "END [%s] does not match open section [%s]"
