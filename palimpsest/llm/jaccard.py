@@ -2,11 +2,13 @@
 
 A text's set is its distinct word shingles (``texts.Words``). Sets are banded by size so that alike sets are in the
 same or neighbouring bands. For two bands a bound k on the size of the symmetric difference of alike sets is known.
-The feature domain is partitioned into n > k parts; alike sets differ in at most k parts, so they agree on at least
-n - k, and a part's content with its number is a signature. Empty parts give no signature: a set with n - k empty parts
-or more could agree with another on empty parts alone, so it is signed again under the next partition of the domain,
+The feature domain is partitioned on two levels: into n first parts, and each of these into ``SECOND`` second parts. At most
+k // 2 first parts hold two differences or more; in any other at most one second part differs, so alike sets agree on some
+subset of all but one of its second parts. Each such subset, its content with its number, is a signature. (Sets too small
+for that have one level: k parts may differ, and a part is a signature.) Empty subsets give no signature: a set whose
+first parts with an empty subset could be all those that agree is signed again under the next partition of the domain,
 until it has fewer. Of two alike sets the one that stops first is signed in full where the other is signed as well,
-hence they share a signature of a part that is not empty. The join is exact up to 64-bit hash collisions.
+hence they share a signature that is not empty. The join is exact up to 64-bit hash collisions.
 
 Equal sets are one class from the start. A bucket of a signature is not expanded into pairs: each class is first
 compared with the least class of each of its buckets, and of those that pass a bound on sizes and a bound from 256
@@ -43,6 +45,7 @@ SKETCH = 4  # words of 64 parity bits
 BITS = [f"bits{i}" for i in range(SKETCH)]
 WANTED_BITS = 24
 TURNS = 2  # rounds of proposals at most; what they leave is compared in full
+SECOND = 3  # second parts of a first part; a signature is all but one of them
 ROUNDS = 64  # partitions of the domain that a set may be signed under
 
 
@@ -63,23 +66,26 @@ def _cells(percent: int) -> np.ndarray:
 
 
 @cache
-def _parts(band: int, percent: int) -> tuple[int, int]:
-    """(n, k) for the bands ``band`` and ``band`` + 1: k bounds the difference of alike sets; n is the number of parts
-    for which the expected number of signatures is least."""
+def _parts(band: int, percent: int) -> tuple[int, int, int]:
+    """(n, s, k) for the bands ``band`` and ``band`` + 1: n first parts of ``s`` second parts each. Of two alike sets at
+    least n - k first parts differ in no second part (s = 1) or in one at most; n is the number for which the expected
+    number of signatures is least. Sets too small for second parts have one level."""
     bounds = _cells(percent)
     low, high = int(bounds[band]), int(bounds[band + 1]) - 1
-    k = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
-    best = None
-    for n in range(k + 1, 2 * k + 3):
-        mean = n * math.exp((low + high) / 2 * math.log1p(-1 / n)) if n > 1 else 0.0
-        spread = math.sqrt(max(mean * (1 - math.exp(-low / n) * (1 + low / n)), 1e-9))
-        fine = 0.5 * math.erfc((mean - (n - k - 0.5)) / spread / math.sqrt(2))
-        cost = n / max(fine, 1e-6)
-        if best is None or cost < best[0]:
-            best = (cost, n)
-        elif cost > 1.5 * best[0]:
-            break
-    return best[1], k
+    differ = (100 - percent) * (high + 100 * high // percent) // (100 + percent)
+    for s in (SECOND, 1):
+        k = differ // 2 if s > 1 else differ
+        size = low if s > 1 else (low + high) / 2
+        best = None
+        for n in range(k + 1, 2 * k + 4):
+            share = size / n
+            weak = math.exp(-share) if s == 1 else min(1.0, s * math.exp(-share * (s - 1) / s) - (s - 1) * math.exp(-share))
+            fine = 0.5 * math.erfc((n * weak - (n - k - 0.5)) / math.sqrt(max(n * weak * (1 - weak), 1e-9)) / math.sqrt(2))
+            cost = n / max(fine, 1e-6)
+            if best is None or cost < best[0]:
+                best = (cost, n, fine)
+        if s == 1 or best[2] >= 0.5:
+            return best[1], s, k
 
 
 def set_key(shingles: np.ndarray) -> np.uint64:
@@ -100,24 +106,32 @@ def signatures(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarr
         if not len(owner):
             break
         shape = {int(b): _parts(int(b), percent) for b in np.unique(band)}
-        n = np.array([shape[b][0] for b in band.tolist()], np.int64)
-        k = np.array([shape[b][1] for b in band.tolist()], np.int64)
-        base = np.concatenate([[0], np.cumsum(n)])
+        n, second, k = np.array([shape[b] for b in band.tolist()], np.int64).T
+        cells = n * second
+        base = np.concatenate([[0], np.cumsum(cells)])
         lengths = sizes[owner]
         elements = np.concatenate([sets[i] for i in owner.tolist()])
         spun = texts.mix(elements ^ np.uint64(0x9E37 + 0x1F123BB5 * (seed + 1)))
         part = ((spun >> np.uint64(32)) * np.repeat(n, lengths).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        place = np.repeat(base[:-1], lengths) + part
+        within = ((spun & np.uint64(0xFFFFFFFF)) * np.repeat(second, lengths).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        place = np.repeat(base[:-1], lengths) + part * np.repeat(second, lengths) + within
         total = np.zeros(base[-1], np.uint64)
         np.add.at(total, place, texts.mix(elements + np.uint64(seed)))
         filled = np.zeros(base[-1], bool)
         filled[place] = True
-        label = (np.repeat(band * ROUNDS + seed, n) << 36) + (np.arange(base[-1]) - np.repeat(base[:-1], n))
+        # A subset leaves out one second part; it takes that one's place. A first part is weak if some subset is empty.
+        two = np.repeat(second > 1, cells)
+        sums, there = total[two].reshape(-1, SECOND), filled[two].reshape(-1, SECOND)
+        subset = np.stack([np.delete(there, j, 1).any(1) for j in range(SECOND)], 1)
+        total[two] = (sums.sum(1, dtype=np.uint64)[:, None] - sums).ravel()
+        filled[two] = subset.ravel()
+        weak = (~filled).astype(np.int64)
+        weak[two] = np.pad((~subset).any(1).astype(np.int64)[:, None], ((0, 0), (0, SECOND - 1))).ravel()
+        label = (np.repeat(band * ROUNDS + seed, cells) << 36) + (np.arange(base[-1]) - np.repeat(base[:-1], cells))
         signature = texts.mix(total ^ texts.mix(label.astype(np.uint64)))
-        rows.append(np.repeat(owner, n)[filled])
+        rows.append(np.repeat(owner, cells)[filled])
         found.append(signature[filled])
-        empty = np.add.reduceat((~filled).astype(np.int64), base[:-1])
-        again = empty >= n - k
+        again = np.add.reduceat(weak, base[:-1]) >= n - k
         owner, band = owner[again], band[again]
     else:
         if len(owner):
