@@ -13,7 +13,8 @@ at most once more. A hot source is many blocks: no task orders a whole source.
 
 Tokens are words, runs of anything but white space. Null and blank texts have no tokens and are taken once, so that
 mixing never loses them. A null source is a source of its own. Where no row has tokens every row is taken once.
-Repeated rows are rows of their own. Ids may be null or repeat: decisions are taken per row, never joined by id.
+Repeated rows are rows of their own; where the last pass ends among rows that are equal in every column, it takes all
+of them. Ids may be null or repeat: decisions are taken per row, never joined by id.
 An empty table gives an empty result. ``mixed`` leaves out input columns called like those it adds; ``mix`` keeps all.
 """
 
@@ -96,7 +97,12 @@ def weights(totals: DataFrame, even: float = 0.5, repeats: float | None = None,
 def _decided(docs: DataFrame, source: str, text: str, even: float, repeats: float | None, budget: int | None,
              seed: int) -> DataFrame:
     """``docs`` with the columns ``__mix_`` + n_tokens, weight, quota and copies."""
-    totals = checkpointed(weights(source_totals(docs, source, text), even, repeats, budget))
+    salt = F.xxhash64(F.lit(seed), *(F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c)
+                                     for c, t in docs.dtypes))
+    thin = checkpointed(docs.select(_key(source).alias("__mix_source"), tokens(text).alias("__mix_n_tokens"), salt.alias("__mix_salt")))
+    sizes = checkpointed(thin.groupBy(F.col("__mix_source").alias("_source")).agg(
+        F.count("*").alias("_rows"), F.sum("__mix_n_tokens").alias("_tokens")))
+    totals = checkpointed(weights(sizes, even, repeats, budget))
     has = F.col("_tokens") > 0
     plan = totals.select(
         F.col("_source").alias("__mix_source"), F.col("weight").alias("__mix_weight"),
@@ -104,22 +110,33 @@ def _decided(docs: DataFrame, source: str, text: str, even: float, repeats: floa
         F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(BLOCK))).cast("bigint").alias("__mix_blocks"),
         F.when(has, F.floor(F.col("quota") / F.col("_tokens"))).otherwise(1).cast("bigint").alias("__mix_passes"),
         F.when(has, F.col("quota") % F.col("_tokens")).otherwise(0).cast("bigint").alias("__mix_rest"))
-    if totals.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    salt = F.xxhash64(F.lit(seed), *(F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c)
-                                     for c, t in docs.dtypes))
-    keyed = docs.select("*", _key(source).alias("__mix_source"), tokens(text).alias("__mix_n_tokens"),
-                        salt.alias("__mix_salt")).join(plan, "__mix_source").withColumn(
-        "__mix_block", F.pmod("__mix_salt", F.col("__mix_blocks")))
-    place = ["__mix_source", "__mix_block"]
-    sums = keyed.groupBy(*place, "__mix_passes").agg(F.sum("__mix_n_tokens").alias("n"))
-    order = Window.partitionBy("__mix_source").orderBy(F.xxhash64("__mix_block", "__mix_passes"), "__mix_block")
-    before = sums.select(*place, (F.sum("n").over(order) - F.col("n")).alias("__mix_before"))
-    inside = Window.partitionBy(*place).orderBy(F.xxhash64("__mix_salt", "__mix_passes"), "__mix_salt").rowsBetween(
-        Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("__mix_within", F.coalesce(F.sum("__mix_n_tokens").over(inside), F.lit(0))).join(
-        before, place)
-    partial = F.col("__mix_before") + F.col("__mix_within") < F.col("__mix_rest")
+    few = totals.count() <= BROADCAST_SOURCES
+
+    def planned(rows: DataFrame, by: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(by) if few else by, "__mix_source").withColumns({
+            "__mix_turn": F.struct(F.xxhash64(F.pmod("__mix_salt", F.col("__mix_blocks")), "__mix_passes").alias("h"),
+                                   F.pmod("__mix_salt", F.col("__mix_blocks")).alias("block")),
+            "__mix_place": F.struct(F.xxhash64("__mix_salt", "__mix_passes").alias("h"), F.col("__mix_salt").alias("salt"))})
+    # The last pass takes whole blocks in turn and a part of one: where it ends is a block and a place in it, per source.
+    # Rows then decide for themselves, and no text is shuffled.
+    dealt = planned(thin.filter("__mix_n_tokens > 0"), plan)
+    order = Window.partitionBy("__mix_source").orderBy("__mix_turn")
+    sums = dealt.groupBy("__mix_source", "__mix_turn", "__mix_rest").agg(F.sum("__mix_n_tokens").alias("n"))
+    last = checkpointed(sums.withColumn("before", F.sum("n").over(order) - F.col("n")).filter(
+        F.col("before") < F.col("__mix_rest")).groupBy("__mix_source").agg(
+        F.max(F.struct("__mix_turn", "before")).alias("_last")).select(
+        "__mix_source", F.col("_last.__mix_turn").alias("__mix_end"), F.col("_last.before").alias("__mix_before")))
+    cut = dealt.join(F.broadcast(last) if few else last, "__mix_source").filter(F.col("__mix_turn") == F.col("__mix_end")).groupBy(
+        "__mix_source", "__mix_place", "__mix_rest", "__mix_before").agg(F.sum("__mix_n_tokens").alias("n"))
+    inside = Window.partitionBy("__mix_source").orderBy("__mix_place")
+    ends = cut.withColumn("_within", F.sum("n").over(inside) - F.col("n")).filter(
+        F.col("__mix_before") + F.col("_within") < F.col("__mix_rest")).groupBy("__mix_source").agg(
+        F.max("__mix_place").alias("__mix_cut"))
+    known = checkpointed(plan.join(last.drop("__mix_before"), "__mix_source", "left").join(ends, "__mix_source", "left"))
+    placed = planned(docs.select("*", _key(source).alias("__mix_source"), tokens(text).alias("__mix_n_tokens"),
+                                 salt.alias("__mix_salt")), known)
+    partial = F.coalesce((F.col("__mix_turn") < F.col("__mix_end")) | (
+        (F.col("__mix_turn") == F.col("__mix_end")) & (F.col("__mix_place") <= F.col("__mix_cut"))), F.lit(False))
     taken = F.when(F.col("__mix_n_tokens") == 0, 1).otherwise(F.col("__mix_passes") + F.when(partial, 1).otherwise(0))
     return placed.select(*docs.columns, "__mix_n_tokens", "__mix_weight", "__mix_quota",
                          taken.cast("bigint").alias("__mix_copies"))
