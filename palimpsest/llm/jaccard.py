@@ -148,7 +148,7 @@ def _shingled(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.n
 
 
 def members(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, set_key, n_shingles and the parity bits of each row's set."""
+    """id, text_hash, set_key, n_shingles and the parity bits of each row's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece, sets, keys in _shingled(batch):
@@ -156,12 +156,13 @@ def members(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataF
                                                           minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
                                  for s in sets]).reshape(-1, SKETCH)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()),
+                    [piece.column("id"), piece.column("text_hash"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()),
                      *(pa.array(bits[:, i].copy()) for i in range(SKETCH))],
-                    ["id", "set_key", "n_shingles", *BITS])
-    given = docs.select(docs[ident].alias("id"), docs[text].cast("string").alias("text"))
+                    ["id", "text_hash", "set_key", "n_shingles", *BITS])
+    given = docs.select(docs[ident].alias("id"), F.xxhash64(docs[text].cast("string")).alias("text_hash"),
+                        docs[text].cast("string").alias("text"))
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(run, f"id {kind}, set_key bigint, n_shingles bigint, {', '.join(f'{b} bigint' for b in BITS)}")
+    return given.mapInArrow(run, f"id {kind}, text_hash bigint, set_key bigint, n_shingles bigint, {', '.join(f'{b} bigint' for b in BITS)}")
 
 
 def signed(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -317,6 +318,10 @@ def links(docs: DataFrame, classes: DataFrame, text: str = "text",
 
 def jaccard_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``ident``, n_shingles and component_id, the least id reachable by links."""
+    return _grouped(docs, ident, text, percent).select(F.col("id").alias(ident), "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, ident: str, text: str, percent: int) -> DataFrame:
     rows = written(members(docs, ident, text), "members")
     known = rows.filter(F.col("id").isNotNull())
     classes = written(known.filter(F.col("n_shingles") > 0).groupBy("set_key").agg(
@@ -327,7 +332,7 @@ def jaccard_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", p
     least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
     named = written(labelled.join(least, "component").select("set_key", "component_id"), "named")
     return rows.join(named, "set_key", "left").select(
-        F.col("id").alias(ident), "n_shingles",
+        "id", "text_hash", "n_shingles",
         F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")),
                                                    F.col("id"))).alias("component_id"))
 
@@ -335,8 +340,13 @@ def jaccard_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", p
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` less every text that is not the first of its component; columns stay. Rows without id stay; of rows
     that repeat both id and text one stays."""
-    groups = jaccard_groups(docs, ident, text, percent)
-    kept = groups.filter(F.col(ident) == F.col("component_id")).select(F.col(ident).alias("_kept")).distinct()
+    groups = _grouped(docs, ident, text, percent)
+    kept = written(groups.filter(F.col("id") == F.col("component_id")).groupBy(
+        F.col("id").alias("_kept"), F.col("text_hash").alias("_hash")).agg((F.count("*") > 1).alias("_again")), "kept")
     named = docs.filter(docs[ident].isNotNull())
-    return named.join(kept, named[ident] == kept["_kept"], "left_semi").dropDuplicates([ident, text]).unionByName(
-        docs.filter(docs[ident].isNull()))
+
+    def among(some: DataFrame) -> DataFrame:
+        return named.join(some, (named[ident] == some["_kept"]) & (F.xxhash64(named[text].cast("string")) == some["_hash"]), "left_semi")
+    # Only texts of rows that repeat are shuffled to be told apart.
+    once, again = among(kept.filter("NOT _again")), among(kept.filter("_again"))
+    return once.unionByName(again.dropDuplicates([ident, text])).unionByName(docs.filter(docs[ident].isNull()))

@@ -93,3 +93,13 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (None, 3), (7, 6)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 130)}}
+
+
+def test_a_repeated_id_keeps_its_own_text(spark):
+    """The first copy stays, and a text stays under its own id only: (7, T) goes as a copy of (3, T), (7, U) stays."""
+    t, u = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(3, t, 1), (7, t, 2), (7, u, 3), (3, t, 4), (None, t, 5), (9, None, 6), (9, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, set_key int")
+    got = J.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, t), (7, u), (None, t), (9, None), (9, "")], key=str)
