@@ -212,10 +212,6 @@ def usable_as_file_name(name: Column | str) -> Column:
             & ~name.contains(".."))
 
 
-def ascii_lower(text: Column | str) -> Column:
-    return F.translate(_col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 # --- lists --------------------------------------------------------------------------------------------------------
 
 def sentence(parts: Column) -> Column:

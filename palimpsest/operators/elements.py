@@ -15,11 +15,6 @@ def _running(keys):
     return Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def kind_ranks(spark) -> DataFrame:
-    """(kind, rank): a fixed table of fourteen rows."""
-    return spark.createDataFrame([(k, i) for i, k in enumerate(V.ELEMENT_KINDS)], "kind string, rank int")
-
-
 def rank_of(kind):
     """The canonical rank of an element kind column."""
     return F.array_position(F.array(*[F.lit(k) for k in V.ELEMENT_KINDS]), kind) - 1

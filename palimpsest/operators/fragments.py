@@ -77,6 +77,12 @@ def positions(pieces: DataFrame, keys: Sequence[str], order: Sequence[str], chun
                      offset=O.Running("sum", size, before=True))
 
 
+def named(fragments: DataFrame, document: str = "doc_id") -> DataFrame:
+    """Fragments that have no name to be written under take their document's; ``fragment_findings`` reports them."""
+    return fragments.withColumn("fragment", F.coalesce(F.when(F.col("fragment") != "", F.col("fragment")), F.concat(
+        F.lit("document-"), F.col(document).cast("string"))))
+
+
 def manifest(fragments: DataFrame, order: Sequence[str], chunk: Column, form: str, paper: str = "paper_id") -> DataFrame:
     """(paper, pos, path): what a paper's fragments are written as, in document order."""
     path = F.concat_ws("/", F.col(paper), F.concat("fragment", F.lit(V.EXTENSIONS[form])))

@@ -214,18 +214,18 @@ def synopsis_leaks(t):
 
 
 @query("unextracted_uses", f"""
-WITH {HIDDEN}, {USES}, body AS (SELECT doc_id, line_no, arg_max(name, pos) AS name FROM uses GROUP BY ALL),
-wording AS (SELECT DISTINCT doc_id, name FROM uses WHERE pos = 2)
+WITH {HIDDEN}, {USES}, body AS (SELECT DISTINCT doc_id, line_no, name FROM uses WHERE line_no % 3 <> 0),
+wording AS (SELECT DISTINCT doc_id, name FROM uses WHERE line_no % 3 = 0)
 SELECT b.doc_id, 'line ' || b.line_no || '/body' AS context, 'note' AS severity, '`' || b.name || '` is used by this body but is not a documented entity ('
   || {REASON} || '); no wording names it, so nothing leaks yet: mark it `\\expos` before giving this body an `\\effects-equiv`, or leave it as machinery the description does not name' AS message
 FROM body b JOIN hidden h USING (doc_id, name) WHERE h.kind = 'function'
   AND NOT EXISTS (SELECT 1 FROM wording w WHERE w.doc_id = b.doc_id AND w.name = b.name)""")
 def unextracted_uses(t):
-    names = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    lines = D.doc_lines(t).select("doc_id", "line_no", names.alias("w")).filter(F.size("w") > 0)
-    body = lines.select("doc_id", F.concat(F.lit("line "), "line_no").alias("user"), F.try_element_at("w", F.lit(-1)).alias("name"))
-    wording = lines.select("doc_id", F.get("w", 1).alias("name")).filter("name IS NOT NULL")
-    return N.unextracted_uses(body, hidden(t), wording)
+    """Every third line is wording, the others are bodies; all words of a line are names that it uses."""
+    names = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    lines = D.doc_lines(t).select("doc_id", "line_no", F.explode(names).alias("name"))
+    body = lines.filter("line_no % 3 <> 0").select("doc_id", F.concat(F.lit("line "), "line_no").alias("user"), "name")
+    return N.unextracted_uses(body, hidden(t), lines.filter("line_no % 3 = 0"))
 
 
 @query("page_link_dangling", r"""

@@ -412,17 +412,18 @@ def paper_chunk():
 
 
 @query("manifest", f"""
-WITH {PLACED}, p AS (SELECT f.*, d.source AS paper_id FROM frags f JOIN documents d USING (doc_id) WHERE fragment IS NOT NULL)
-SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY doc_id, pos) AS BIGINT) AS pos, paper_id || '/' || fragment || '.tex' AS path FROM p""")
+WITH {PLACED}, p AS (SELECT f.*, d.source AS paper_id FROM frags f JOIN documents d USING (doc_id))
+SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY doc_id, pos) AS BIGINT) AS pos,
+  paper_id || '/' || coalesce(nullif(fragment, ''), 'document-' || doc_id) || '.tex' AS path FROM p""")
 def manifest(t):
-    return FR.manifest(paper_fragments(t).filter("fragment IS NOT NULL").drop("text"), ["doc_id", "pos"], paper_chunk(), "latex")
+    return FR.manifest(FR.named(paper_fragments(t).drop("text")), ["doc_id", "pos"], paper_chunk(), "latex")
 
 
 @query("lineage", f"""
-WITH {PLACED} SELECT DISTINCT d.source || '/' || f.fragment AS output, 'docs/' || d.lang || '.json' AS input
-FROM frags f JOIN documents d USING (doc_id) WHERE f.fragment IS NOT NULL""")
+WITH {PLACED} SELECT DISTINCT d.source || '/' || coalesce(nullif(f.fragment, ''), 'document-' || doc_id) AS output, 'docs/' || d.lang || '.json' AS input
+FROM frags f JOIN documents d USING (doc_id)""")
 def lineage(t):
-    outputs = paper_fragments(t).filter("fragment IS NOT NULL").select("doc_id", F.concat_ws("/", "paper_id", "fragment").alias("output"))
+    outputs = FR.named(paper_fragments(t)).select("doc_id", F.concat_ws("/", "paper_id", "fragment").alias("output"))
     inputs = t.documents.select("doc_id", F.concat(F.lit("docs/"), "lang", F.lit(".json")).alias("input"))
     return FR.lineage(outputs, inputs)
 
