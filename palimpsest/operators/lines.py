@@ -69,6 +69,20 @@ def wrapped_headings(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: s
         .alias(raw))
 
 
+def all_headings(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: str = "raw", bare: bool = False) -> DataFrame:
+    """Well-formed headings, those with a title over several lines too: keys, line_no, depth, stable, title.
+
+    Only documents with a heading line that leaves a group open are read for wrapped titles.
+    """
+    columns = [*keys, "line_no", "depth", "stable", "title"]
+    own = headings(lines, raw, bare).filter("NOT malformed").select(*columns)
+    open_group = F.regexp_count(raw, F.lit("\\{")) > F.regexp_count(raw, F.lit("\\}"))
+    broken = lines.filter(X.heading_tagged(raw, bare) & open_group & X.heading_of(raw, bare).isNull())
+    among = lines.join(broken.select(*keys).distinct(), list(keys), "left_semi")
+    wrapped = headings(wrapped_headings(among, keys, raw, bare), raw, bare).filter("NOT malformed").select(*columns)
+    return own.unionByName(wrapped.join(broken.select(*keys, "line_no"), [*keys, "line_no"], "left_semi"))
+
+
 def fences(lines: DataFrame, raw: str = "raw") -> DataFrame:
     return lines.withColumn("stable", X.fence_of(raw)).filter("stable IS NOT NULL").drop(raw)
 
@@ -150,9 +164,10 @@ def first_uses(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFr
 
 def slice_sections(lines: DataFrame, keys: Sequence[str] = ("doc_id",), raw: str = "raw",
                    bare: bool = False) -> DataFrame:
-    """Each heading with its last line: the line before the next heading of the same or a higher level."""
+    """Each heading with its last line: the line before the next heading of the same or a higher level. Titles may be
+    wrapped over lines."""
     from palimpsest.operators import sections as S
-    heads = headings(lines, raw, bare).filter("NOT malformed").select(*keys, "line_no", "depth", "stable")
+    heads = all_headings(lines, keys, raw, bare).select(*keys, "line_no", "depth", "stable")
     last = lines.groupBy(*keys).agg(F.max("line_no").alias("_end"))
     nested = S.next_at_or_above(heads, keys)
     return nested.join(last, list(keys)).select(

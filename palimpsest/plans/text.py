@@ -130,6 +130,23 @@ def bare_sections(t):
     return L.slice_sections(D.doc_lines(t).select("doc_id", "line_no", raw.alias("raw")), bare=True)
 
 
+@query("wrapped_slices", f"""
+WITH {LINES}, h AS (SELECT doc_id, 2 * line_no AS line_no, line_no AS n, length(text) % 11 AS depth FROM lines WHERE length(text) % 3 = 0),
+ends AS (SELECT doc_id, max(2 * line_no + CASE WHEN length(text) % 3 = 0 THEN 1 ELSE 0 END) AS last FROM lines GROUP BY doc_id)
+SELECT h.doc_id, 'w' || h.n AS stable, h.depth, h.line_no AS first_line,
+  coalesce((SELECT min(n.line_no) FROM h n WHERE n.doc_id = h.doc_id AND n.line_no > h.line_no AND n.depth <= h.depth) - 1,
+           e.last) AS last_line
+FROM h JOIN ends e ON e.doc_id = h.doc_id""")
+def wrapped_slices(t):
+    """Sections of drafts whose titles are broken over two lines: every third line length makes one."""
+    n = F.length("text")
+    parts = F.when(n % 3 == 0, F.array(F.concat(F.lit("\\rSec"), n % 11, F.lit("[w"), F.col("line_no"), F.lit("]{Title of \\tcode{")),
+                                       F.lit("the rest}}"))).otherwise(F.array(F.col("text")))
+    lines = D.doc_lines(t).select("doc_id", F.posexplode(parts).alias("_p", "raw"), "line_no").select(
+        "doc_id", (2 * F.col("line_no") + F.col("_p")).alias("line_no"), "raw")
+    return L.slice_sections(lines, bare=True)
+
+
 @query("page_headings", r"""
 WITH h AS (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS titles,
                   regexp_extract_all(html, '<h([1-6])[^>]*>[^<]*</h[1-6]>', 1) AS depths FROM pages)

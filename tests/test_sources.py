@@ -70,6 +70,17 @@ def test_the_first_file_that_declares_a_section_wins(spark, tmp_path):
     assert [r.name for r in missing.collect()] == ["none"]
 
 
+def test_sections_with_wrapped_titles_are_imported(spark, tmp_path):
+    (tmp_path / "a.tex").write_text("\\rSec1[x]{X over\n\\tcode{two}\nlines}\none\n\\rSec2[x.y]{Y \\tcode{\nz}}\ntwo\n\\rSec1[q]{never closed\n\\rSec1[z]{Z}\nfour\n")
+    asked = spark.createDataFrame([("x",), ("x.y",), ("z",), ("q",)], "name string")
+    lines, missing = SD.import_sections(spark, str(tmp_path), asked)
+    got = {}
+    for r in lines.orderBy("line_no").collect():
+        got.setdefault(r.stable, []).append(r.line_no)
+    assert got == {"x": [1, 2, 3, 4, 5, 6, 7, 8], "x.y": [5, 6, 7, 8], "z": [9, 10]}
+    assert [r.name for r in missing.collect()] == ["q"]
+
+
 def test_a_document_absent_at_a_revision_is_an_empty_baseline(spark):
     revisions = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (2, 5, "c")], "doc_id long, revision long, text string")
     got = SD.as_of(revisions, revisions, "doc_id", ["revision"], F.lit(4))
