@@ -34,8 +34,8 @@ LONGEST = 4  # words of a phrase
 LEAST = 30  # occurrences of a phrase that is a candidate
 TOP = 2000  # phrases of a language in the report
 COVER = 80  # percent of a phrase's occurrences that lie in one longer phrase, from which on it is dropped
-BURST = 1 << 16  # phrases of a container
-LIMIT = 1 << 20  # phrases of the tries of a task
+BURST = 1 << 15  # phrases of a container
+LIMIT = 1 << 19  # phrases of the tries of a task
 DIGITS = 4  # levels of the trie, of 16 children each
 GATE_BITS = 26  # the bit table has 2^26 bits: 8 MB
 WINDOW = 1 << 20  # bytes that are cut into words at once
