@@ -170,23 +170,31 @@ def pair_by_name(a: DataFrame, b: DataFrame, keys: Sequence[str], name: str = "n
 
 def pair_asking(asking: DataFrame, base: DataFrame, threshold: float = V.PAIRING_THRESHOLD
                 ) -> tuple[DataFrame, DataFrame]:
-    """Pair items that ask for a description with unclaimed baseline items of the same section.
+    """Items that ask for a description, each with the baseline item of its section it takes it from.
 
-    ``asking``: doc_id, section, i, entities, text; ``base``: doc_id, section, j, entities, text. Items of the same
-    entities pair first, best reading first; then an item with no entities on either side pairs by how alike the
-    declarations read, from the threshold on; an item without a declaration does not pair there. Unpaired asking items are returned as the second table.
+    ``asking``: doc_id, section, i, entities, text; ``base``: doc_id, section, j, entities, text. Items are served in
+    order, and what one has claimed is gone for the next. An item with names, or without a declaration, takes the best
+    reading of the unclaimed items of the same names, however little it reads alike. Failing that, one with a declaration
+    takes the best reading, from the threshold on, of the unclaimed items with a declaration where one side gives no
+    names. Unpaired asking items are returned as the second table.
     """
     keys, block = ["doc_id"], ["doc_id", "section"]
-    named = pair_by_name(*(d.filter("entities <> ''") for d in (asking, base)), block, "entities")
-    used = named.select(*keys, F.explode(F.array(
-        F.struct(F.lit("old").alias("side"), F.col("i").alias("ord")),
-        F.struct(F.lit("new").alias("side"), F.col("j").alias("ord")))).alias("_u")).select(*keys, "_u.*")
-    rows = two_sides(asking, base, keys, ("i", "j"), ["section", "entities"]).join(used, [*keys, "side", "ord"], "left_anti")
-    unnamed = rows.filter(F.trim("text") != "").withColumn("_u", F.col("entities") == "")
-    alike = alike_in_document(unnamed.withColumn("ord", F.struct("ord", "_u")), keys, threshold, ["section"])
-    eligible = alike.filter(F.col("i._u") | F.col("j._u")).select(
-        *block, F.col("i.ord").alias("i"), F.col("j.ord").alias("j"), "score")
-    pairs = named.select(*block, "i", "j", "score").unionByName(fit_in_group(eligible, keys))
+    blank = F.trim("text") == ""
+    words = X.token_set("text").alias("_w")
+    own = asking.filter((F.col("entities") != "") | blank).select(*block, "entities", "i", words)
+    theirs = base.select(*block, "entities", "j", words.alias("_v"))
+    # Items of one set of names in a section: an overload set, a part of one document.
+    named = own.join(theirs, [*block, "entities"]).select(
+        *block, "i", F.lit(1).alias("tier"), X.jaccard(F.col("_w"), F.col("_v")).alias("score"), "j")
+    rows = two_sides(asking, base, keys, ("i", "j"), ["section", "entities"]).filter(F.trim("text") != "").withColumn(
+        "ord", F.struct("ord", (F.col("entities") == "").alias("_u")))
+    alike = alike_in_document(rows, keys, threshold, ["section"]).filter(F.col("i._u") | F.col("j._u")).select(
+        *block, F.col("i.ord").alias("i"), F.lit(2).alias("tier"), "score", F.col("j.ord").alias("j"))
+    listed = named.unionByName(alike).groupBy(*block).agg(F.array_sort(F.collect_list(F.struct(
+        "i", "tier", (-F.col("score")).alias("s"), "j"))).alias("_p"))
+    walked = listed.withColumn("_k", SQ.free_positions(F.transform("_p", lambda p: p["i"]), F.transform("_p", lambda p: p["j"])))
+    pairs = walked.select(*block, F.explode(F.transform("_k", lambda k: F.get("_p", k))).alias("_t")).select(
+        *block, "_t.i", "_t.j", (-F.col("_t.s")).alias("score"))
     return pairs, asking.join(pairs.select("doc_id", "i"), ["doc_id", "i"], "left_anti")
 
 

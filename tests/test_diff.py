@@ -1,10 +1,12 @@
 """Laws of the revision diff: shortest scripts, restoration, identity, empty baselines."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import vocabulary as V
 from palimpsest.functions import sequence as SQ
 from palimpsest.operators import diff as R
 from palimpsest.operators import edits as ED
@@ -289,3 +291,28 @@ def test_blocks_of_ties_take_one_round(spark, monkeypatch):
     out = PR.greedy_pairs(spark.createDataFrame(mixed, "g bigint, i bigint, j bigint, score double"), ["g"]).collect()
     want = [(g, i, j) for g in range(30) for i, j, _ in greedy([(s, i, j) for h, i, j, s in mixed if h == g])]
     assert sorted((r.g, r.i, r.j) for r in out) == sorted(want)
+
+
+def test_asking_items_are_served_in_order(spark):
+    dice = random.Random(21)
+    words = "alpha beta gamma delta epsilon".split()
+    text = lambda: " ".join(dice.choice(words) for _ in range(dice.randrange(5)))
+    asking = [(d, dice.choice("ST"), i, dice.choice(["", "f", "g"]), text()) for d in range(40) for i in range(6)]
+    base = [(d, dice.choice("ST"), j, dice.choice(["", "f", "g"]), text()) for d in range(40) for j in range(6)]
+    cut = lambda t: set(re.findall("[^ ]+", t))
+    score = lambda a, b: 1.0 if cut(a) == cut(b) else len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+    want, claimed = [], set()
+    for d, section, i, names, said in asking:
+        free = [b for b in base if b[:2] == (d, section) and (d, b[2]) not in claimed]
+        found = [(-score(said, b[4]), b[2]) for b in free if b[3] == names] if names or not said else []
+        if not found and said:
+            found = [(-score(said, b[4]), b[2]) for b in free if b[4] and (not names or not b[3]) and score(said, b[4]) >= V.PAIRING_THRESHOLD]
+        if found:
+            s, j = min(found)
+            claimed.add((d, j))
+            want.append((d, section, i, j, -s))
+    frames = [spark.createDataFrame(rows, f"doc_id bigint, section string, {side} bigint, entities string, text string")
+              for rows, side in ((asking, "i"), (base, "j"))]
+    pairs, left = PR.pair_asking(*frames)
+    assert sorted((r.doc_id, r.section, r.i, r.j, r.score) for r in pairs.collect()) == sorted(want)
+    assert sorted((r.doc_id, r.i) for r in left.collect()) == sorted({a[0:3:2] for a in asking} - {(w[0], w[2]) for w in want})
