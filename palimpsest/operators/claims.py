@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
@@ -86,6 +86,76 @@ def resolve_aliases(aliases: DataFrame, keys: Sequence[str] = ("doc_id",)) -> Da
     return current.join(names, [*keys, "value"], "left_anti").select(*keys, "alias", "value")
 
 
+_TOKEN = r'"(?:[^"\\\\]|\\\\.)*"|[A-Za-z0-9_]+|::|[^A-Za-z0-9_ \t\r\n]'
+
+
+def expression_tokens(text: Column | str) -> Column:
+    """Tokens of an expression as (t, name), without white space and without the ``std::`` a name may open with.
+
+    ``name`` marks what an alias may stand for: an identifier that no ``::`` is beside.
+    """
+    raw = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(_TOKEN), F.lit(0))
+
+    def at(tokens, i):
+        return F.when(i >= 0, F.get(tokens, i))
+
+    def opens(tokens, i):
+        """A standard qualifier stands at i: at the head of a chain, or behind a leading ``::``."""
+        return F.coalesce((at(tokens, i) == "std") & (at(tokens, i + 1) == "::"), F.lit(False)) & (
+            F.coalesce(at(tokens, i - 1) != "::", F.lit(True)) | (i == 1))
+    kept = F.filter(raw, lambda t, i: ~opens(raw, i) & ~opens(raw, i - 1) & ~((i == 0) & (t == "::") & opens(raw, i + 1)))
+    return F.transform(kept, lambda t, i: F.struct(t.alias("t"), (
+        t.rlike("^[A-Za-z0-9_]+$") & F.coalesce(at(kept, i - 1) != "::", F.lit(True))
+        & F.coalesce(at(kept, i + 1) != "::", F.lit(True))).alias("name")))
+
+
+def _spelled(tokens: Column, known: Column) -> Column:
+    """Tokens as text, names that ``known`` has replaced; a blank parts what would run together."""
+    def step(out, x):
+        said = F.when(x["name"], F.coalesce(F.try_element_at(known, x["t"]), x["t"])).otherwise(x["t"])
+        apart = out.rlike("[A-Za-z0-9_]$") & x["t"].rlike("^[A-Za-z0-9_]")
+        return F.concat(out, F.when(apart, " ").otherwise(""), said)
+    return F.aggregate(tokens, F.lit(""), step)
+
+
+def expand_expressions(expressions: DataFrame, aliases: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``expressions`` (keys, expr_id, text) with ``expanded``: all aliases in it replaced, to the end, all at once.
+
+    ``aliases``: keys, alias, value. An alias introduced twice is none. One that hangs on a cycle has no expansion, and an
+    expression that names it stays as written. Each round settles the aliases whose own names are all settled, so there are
+    as many rounds as aliases stand on one another.
+    """
+    keys = list(keys)
+    once = aliases.groupBy(*keys, "alias").agg(F.count("*").alias("_n"), F.first("value").alias("value")).filter("_n = 1")
+    given = checkpointed(once.select(*keys, "alias", expression_tokens("value").alias("_t")))
+    names = given.select(*keys, F.col("alias").alias("ref"))
+
+    def refs(df: DataFrame, own: str) -> DataFrame:
+        """The aliases that each row names."""
+        used = F.array_distinct(F.transform(F.filter("_t", lambda x: x["name"]), lambda x: x["t"]))
+        return df.select(*keys, own, F.explode(used).alias("ref")).join(names, [*keys, "ref"], "left_semi")
+
+    def replaced(df: DataFrame, own: str, wanted: DataFrame, settled: DataFrame) -> DataFrame:
+        """Rows all of whose names are settled, with their text."""
+        met = wanted.join(settled.select(*keys, F.col("alias").alias("ref"), "text"), [*keys, "ref"], "left").groupBy(*keys, own).agg(
+            F.map_from_entries(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ref", "text")))).alias("_m"),
+            F.bool_and(F.col("text").isNotNull()).alias("_all"))
+        none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+        joined = df.join(met, [*keys, own], "left").filter(F.coalesce("_all", F.lit(True)))
+        return joined.select(*keys, own, _spelled(F.col("_t"), F.coalesce("_m", none)).alias("text"))
+    wanted = checkpointed(refs(given, "alias"))
+    settled = checkpointed(given.limit(0).select(*keys, "alias", F.lit("").alias("text")))
+    while True:
+        pending = given.join(settled, [*keys, "alias"], "left_anti")
+        more = checkpointed(replaced(pending, "alias", wanted.join(settled.select(*keys, "alias"), [*keys, "alias"], "left_anti"), settled))
+        if more.isEmpty():
+            break
+        settled = checkpointed(settled.unionByName(more))
+    cut = expressions.select(*keys, "expr_id", expression_tokens("text").alias("_t"))
+    out = replaced(cut, "expr_id", refs(cut, "expr_id"), settled).withColumnRenamed("text", "expanded")
+    return expressions.join(out, [*keys, "expr_id"], "left").withColumn("expanded", F.coalesce("expanded", "text"))
+
+
 def drop_complementary(conjuncts: DataFrame, twins: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Conjuncts whose merged twin does not hold their negation. Both: keys, subject, polarity."""
     negated = twins.select(*keys, "subject", (~F.col("polarity")).alias("polarity")).distinct()

@@ -361,6 +361,38 @@ def alias_closure(t):
     return C.resolve_aliases(aliases)
 
 
+ALIAS_ROUNDS = 16  # more than aliases of a document stand on one another
+
+EXPANDED = ",\n".join(f"""
+ready{k} AS (SELECT w.doc_id, w.alias, string_agg(coalesce(r.text, w.t), '' ORDER BY w.pos) AS text
+  FROM alias_tokens w LEFT JOIN known{k} r ON r.doc_id = w.doc_id AND r.alias = w.t
+  WHERE NOT EXISTS (SELECT 1 FROM known{k} x WHERE x.doc_id = w.doc_id AND x.alias = w.alias)
+  GROUP BY w.doc_id, w.alias HAVING bool_and(r.text IS NOT NULL OR NOT EXISTS (SELECT 1 FROM once o WHERE o.doc_id = w.doc_id AND o.alias = w.t))),
+known{k + 1} AS MATERIALIZED (SELECT * FROM known{k} UNION ALL SELECT * FROM ready{k})""" for k in range(ALIAS_ROUNDS))
+
+
+@query("expanded_expressions", f"""
+WITH {LINES},
+named AS (SELECT doc_id, line_no, 'w' || length(text) % 40 AS alias, 'w' || (length(text) + 7 * line_no) % 60 AS x, 'w' || (length(text) + 11 * line_no) % 90 AS y FROM lines),
+once AS (SELECT doc_id, alias, min(x) AS x, min(y) AS y FROM named GROUP BY doc_id, alias HAVING count(*) = 1),
+alias_tokens AS (SELECT doc_id, alias, unnest([x, '+', y]) AS t, unnest([1, 2, 3]) AS pos FROM once),
+known0 AS (SELECT doc_id, alias, '' AS text FROM once WHERE false),
+{EXPANDED},
+uses AS (SELECT doc_id, line_no, alias || ' * (' || x || ')' AS text, alias, x FROM named)
+SELECT u.doc_id, u.line_no AS expr_id, u.text, CASE WHEN (a.alias IS NOT NULL AND p.text IS NULL) OR (b.alias IS NOT NULL AND q.text IS NULL) THEN u.text
+  ELSE coalesce(p.text, u.alias) || '*(' || coalesce(q.text, u.x) || ')' END AS expanded
+FROM uses u LEFT JOIN once a ON a.doc_id = u.doc_id AND a.alias = u.alias LEFT JOIN known{ALIAS_ROUNDS} p ON p.doc_id = u.doc_id AND p.alias = u.alias
+LEFT JOIN once b ON b.doc_id = u.doc_id AND b.alias = u.x LEFT JOIN known{ALIAS_ROUNDS} q ON q.doc_id = u.doc_id AND q.alias = u.x""")
+def expanded_expressions(t):
+    """Expressions with every alias in them replaced by what it stands for in the end."""
+    n, line = F.length("text"), F.col("line_no")
+    word = lambda k: F.concat(F.lit("w"), k)
+    lines = D.doc_lines(t).select("doc_id", F.col("line_no").alias("expr_id"), word(n % 40).alias("alias"),
+                                  word((n + 7 * line) % 60).alias("x"), word((n + 11 * line) % 90).alias("y"))
+    aliases = lines.select("doc_id", "alias", F.concat("x", F.lit(" + "), "y").alias("value"))
+    return C.expand_expressions(lines.select("doc_id", "expr_id", F.concat("alias", F.lit(" * ("), "x", F.lit(")")).alias("text")), aliases)
+
+
 @query("complementary_conjuncts", f"""
 WITH {CLAIMS} SELECT doc_id, ord, subject, polarity FROM evidence e WHERE NOT EXISTS (
   SELECT 1 FROM claims c WHERE c.doc_id = e.doc_id AND c.kind = e.kind AND c.subject = e.subject AND c.polarity = NOT e.polarity)""")

@@ -102,3 +102,17 @@ def test_an_offer_goes_to_one_row_and_the_rest_look_further_out(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 30
     empty = spark.createDataFrame([], "doc_id bigint, ask_id bigint, name string, scopes array<string>")
     assert A.nearest_scope(empty, spark.createDataFrame(offers, "doc_id bigint, scope string, name string, offer_id bigint"), ["doc_id"]).collect() == []
+
+
+def test_aliases_are_replaced_inside_expressions(spark):
+    from palimpsest.operators import claims as C
+    aliases = [(1, "T", "remove_cvref_t<U>"), (1, "V", "T const"), (1, "A", "B"), (1, "B", "f(A)"), (1, "D", "A x"), (1, "twice", "1"), (1, "twice", "2"),
+               (1, "W", "std :: W2"), (1, "W2", "X"), (2, "T", "other")]
+    cases = {
+        "is_same_v<T , V>": "is_same_v<remove_cvref_t<U>,remove_cvref_t<U>const>", "T::T a T": "T::T a remove_cvref_t<U>", "std::T": "remove_cvref_t<U>",
+        "::std :: move(T)": "move(remove_cvref_t<U>)", "x::std::T": "x::std::T", "A + T": "A + T", "D": "D", "twice T": "twice remove_cvref_t<U>",
+        'f("T  x", T)': 'f("T  x",remove_cvref_t<U>)', "W": "X", "T2 T_": "T2 T_", "": "", "V V": "remove_cvref_t<U>const remove_cvref_t<U>const"}
+    got = C.expand_expressions(spark.createDataFrame([(1, i, e) for i, e in enumerate(cases)] + [(2, 0, "T"), (3, 0, "T")], "doc_id bigint, expr_id bigint, text string"),
+                               spark.createDataFrame(aliases, "doc_id bigint, alias string, value string")).collect()
+    assert {r.text: r.expanded for r in got if r.doc_id == 1} == cases
+    assert {r.doc_id: r.expanded for r in got if r.doc_id > 1} == {2: "other", 3: "T"}
