@@ -165,16 +165,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op8_embedding_near_dups", """
-WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+sound AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.label = y.label AND x.vec_id <> y.vec_id
           WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
-pass1 AS (SELECT vec_id, least(vec_id, coalesce(min(b), vec_id)) AS c, count(b) AS n FROM v LEFT JOIN links ON a = vec_id
-          GROUP BY vec_id),
-pass2 AS (SELECT p.vec_id, p.n, least(p.c, coalesce(min(q.c), p.c)) AS c
-          FROM pass1 p LEFT JOIN links ON a = p.vec_id LEFT JOIN pass1 q ON q.vec_id = b GROUP BY p.vec_id, p.n, p.c),
-pass3 AS (SELECT p.vec_id, p.n, least(p.c, coalesce(min(q.c), p.c)) AS c
-          FROM pass2 p LEFT JOIN links ON a = p.vec_id LEFT JOIN pass2 q ON q.vec_id = b GROUP BY p.vec_id, p.n, p.c)
-SELECT vec_id, n AS n_links, c AS component_id, vec_id = c AS kept FROM pass3
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+root AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT root.a AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, root.a = c AS kept FROM root LEFT JOIN counted USING (a)
 """)
 def op8_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings of one label with cosine 0.93 or more."""
