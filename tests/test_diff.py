@@ -316,3 +316,32 @@ def test_asking_items_are_served_in_order(spark):
     pairs, left = PR.pair_asking(*frames)
     assert sorted((r.doc_id, r.section, r.i, r.j, r.score) for r in pairs.collect()) == sorted(want)
     assert sorted((r.doc_id, r.i) for r in left.collect()) == sorted({a[0:3:2] for a in asking} - {(w[0], w[2]) for w in want})
+
+
+def test_last_candidates_are_walked_and_rounds_agree(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(PR, "checkpointed", lambda df: cuts.append(1) or df.localCheckpoint())
+    # Only the best pair of what is left of a chain is best for both of its sides, so rounds alone take one at a time.
+    chain = [(k, k + d, 1.0 / (2 * k + d + 2)) for k in range(40) for d in (0, 1)]
+    df = spark.createDataFrame(chain, "i long, j long, score double")
+    want = sorted((i, j) for i, j, _ in greedy([(s, i, j) for i, j, s in chain]))
+    assert sorted((r.i, r.j) for r in PR.greedy_pairs(df).collect()) == want and len(cuts) == 1
+    assert sorted((r.i, r.j) for r in PR.greedy_pairs(df.filter("i < 6"), walked=0).collect()) == want[:6]
+    assert len(cuts) > 4
+    assert PR.greedy_pairs(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_meetings_too_late_to_count_are_dropped_and_no_pair_with_them(spark, threshold):
+    rng = random.Random(31)
+    docs = []
+    for base in range(8):  # texts of one stock of words, long enough for several meetings to be asked of a pair
+        stock = [f"w{rng.randrange(900)}" for _ in range(260)]
+        docs += [(10 * base + k, " ".join(rng.sample(stock, rng.randint(60, 240)))) for k in range(9)]
+    classes = SM.token_classes(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id")
+    pairs = SM.similar_pairs(classes, threshold)
+    sets = [(d, set(text.split())) for d, text in docs]
+    want = sorted((a, b) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) >= threshold)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == want and want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "least(" in line for line in plan.splitlines())
