@@ -345,3 +345,14 @@ def test_meetings_too_late_to_count_are_dropped_and_no_pair_with_them(spark, thr
     assert sorted((r.a, r.b) for r in pairs.collect()) == want and want
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert any("Join Inner" in line and "least(" in line for line in plan.splitlines())
+
+
+def test_short_scripts_do_without_numpy_and_are_the_same(monkeypatch):
+    rng = random.Random(37)
+    cases = [([rng.randrange(6) for _ in range(rng.randrange(30))], [rng.randrange(6) for _ in range(rng.randrange(30))]) for _ in range(80)]
+    short = [SQ.diff_values(a, b) for a, b in cases]
+    monkeypatch.setattr(SQ, "SHORT", 0)
+    assert [SQ.diff_values(a, b) for a, b in cases] == short
+    monkeypatch.setattr(SQ, "SHORT", 64)
+    monkeypatch.setattr(SQ, "_step", None)
+    assert [SQ.diff_values(a, b) for a, b in cases] == short
