@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
+from palimpsest.functions import pairs as PP
+from palimpsest.functions import sequence as SQ
 from palimpsest.operators import diff as R
 from palimpsest.operators import pairing as PR
 from palimpsest.session import checkpointed
 
 KEYED = ("section", "synopsis", "item", "element")
 SIDES = ("old", "new")
+CHILD = ("node_id", "type", "exact", "names", "said", "content", "inner")
 
 
 def exact_key() -> Column:
@@ -37,67 +40,22 @@ def exact_key() -> Column:
 def content_hashes(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``content``, equal for subtrees that are equal node for node, ``place`` in reading order and subtree ``size``.
 
-    Every node hands its own digest to each node above it, with its place and level below that node, so one exchange
-    gives every level at once.
+    Every node hands its own digest to each node above it, with its place and level below that node, so every level is
+    grouped at once, inside the clustering by document that ``place`` needs.
     """
     own = F.md5(F.to_json(F.struct("type", "name", "entities", "signatures", "text")))
     order = Window.partitionBy(*keys).orderBy("ord")
-    placed = nodes.withColumns({"place": F.row_number().over(order).cast("bigint"), "_own": own})
-    level = F.size("ancestors")
-    above = placed.select(*keys, "place", "_own", level.alias("_level"), F.explode(
+    placed = nodes.withColumns({"place": F.row_number().over(order).cast("bigint"), "_own": own, "_level": F.size("ancestors")})
+    rest = [c for c in placed.columns if c not in (*keys, "node_id", "_own", "_level")]
+    above = placed.select(*keys, "place", "_own", "_level", F.col("node_id").alias("_from"), F.struct(*rest).alias("_rest"), F.explode(
         F.concat("ancestors", F.array("node_id"))).alias("node_id"))
     whole = above.groupBy(*keys, "node_id").agg(
+        F.first(F.when(F.col("_from") == F.col("node_id"), F.col("_rest")), ignorenulls=True).alias("_rest"),
         F.array_sort(F.collect_list(F.struct("place", "_level", "_own"))).alias("_s"))
     digest = F.md5(F.array_join(F.transform("_s", lambda s: F.concat(
         (s["_level"] - F.col("_s")[0]["_level"]).cast("string"), s["_own"])), ","))
-    hashed = whole.select(*keys, "node_id", digest.alias("content"), F.size("_s").alias("size"))
-    return placed.drop("_own").join(hashed, [*keys, "node_id"])
-
-
-def _paired_children(rows: DataFrame, block: list[str], threshold: float) -> DataFrame:
-    """Pairs (block, i, j, by) of the children of paired parents; every pass takes what those before left.
-
-    Exact keys k-th with k-th; items of one set of names, best reading first; items one side of which gives no names, by
-    how alike the declarations read; paragraphs and blocks that read alike, first come first served; a lone block with a
-    lone block.
-    """
-    met = PR.mated(rows.filter("exact IS NOT NULL"), [*block, "exact"])
-    by_key = met.filter("side = 'old' AND mate IS NOT NULL").select(*block, F.col("ord").alias("i"), F.col("mate").alias("j"))
-    found = [checkpointed(by_key.withColumn("by", F.lit("key")))]  # each pass is read by all that follow it
-    held = {r.type for r in rows.select("type").distinct().collect()}  # of the six types
-
-    def left(of: DataFrame) -> DataFrame:
-        for done in found:
-            used = done.select(*block, F.explode(F.array(
-                F.struct(F.lit("old").alias("side"), F.col("i").alias("ord")),
-                F.struct(F.lit("new").alias("side"), F.col("j").alias("ord")))).alias("_u")).select(*block, "_u.*")
-            of = of.join(used, [*block, "side", "ord"], "left_anti")
-        return of
-    items = rows.filter("type = 'item'").withColumn("names", F.array_join(F.array_sort(F.array_distinct("entities")), ",")).withColumn(
-        "text", F.array_join("signatures", " "))
-    if "item" in held:
-        rest = checkpointed(left(items))
-        named = PR.pair_by_name(*(rest.filter(F.col("side") == side).filter("names <> ''").select(
-            *block, "names", F.col("ord").alias(at), "text") for side, at in zip(SIDES, "ij")), block, "names")
-        found.append(checkpointed(named.select(
-            *block, F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.lit("names").alias("by"))))
-        nameless = left(rest).filter(F.trim("text") != "").withColumn("ord", F.struct("ord", (F.col("names") == "").alias("_u")))
-        alike = PR.alike_in_document(nameless, block, threshold).filter(F.col("i._u") | F.col("j._u")).select(
-            *block, F.col("i.ord").alias("i"), F.col("j.ord").alias("j"), "score")
-        found.append(PR.fit_in_group(alike, block).select(*block, "i", "j", F.lit("reading").alias("by")))
-
-    prose = rows.filter("exact IS NULL")
-    if held & {"paragraph", "block"}:
-        wording = PR.alike_in_document(prose, block, threshold, ["type"]).drop("score")
-        found.append(checkpointed(PR.fit_in_group(wording, block).select(*block, "i", "j", F.lit("wording").alias("by"))))
-    if "block" not in held:
-        return reduce(DataFrame.unionByName, found)
-    at = {side: F.collect_list(F.when((F.col("side") == side) & (F.col("type") == "block"), F.col("ord"))) for side in SIDES}
-    lone = left(prose).groupBy(*block).agg(*(at[side].alias(side) for side in SIDES)).join(
-        prose.groupBy(*block).agg(F.count(F.when(F.col("type") == "block", 1)).alias("_n")), block)
-    found.append(lone.filter("_n = 2 AND size(old) = 1 AND size(new) = 1").select(
-        *block, F.col("old")[0].alias("i"), F.col("new")[0].alias("j"), F.lit("lone").alias("by")))
-    return reduce(DataFrame.unionByName, found)
+    return whole.filter("_rest IS NOT NULL").select(
+        *keys, "node_id", "_rest.*", digest.alias("content"), F.size("_s").alias("size"))
 
 
 def diff_trees(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = V.PAIRING_THRESHOLD) -> DataFrame:
@@ -111,62 +69,59 @@ def diff_trees(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: f
     keys = list(keys)
     block = [*keys, "a_parent", "b_parent"]
     top = F.lit(-1).cast("bigint")
+    said = F.when(F.col("type") == "item", F.array_join("signatures", " ")).otherwise(F.col("text"))
+    names = F.when(F.col("type") == "item", F.array_join(F.array_sort(F.array_distinct("entities")), ",")).otherwise("")
+    exact = exact_key()
     sides = {}
     for side, df in zip(SIDES, (old, new)):
-        hashed = content_hashes(df, keys).select(
-            *keys, F.col("node_id").cast("bigint").alias("node_id"), F.coalesce(F.col("parent_id").cast("bigint"), top).alias("parent_id"),
-            "place", "type", "name", "entities", "signatures", "text", "content", "size", exact_key().alias("exact"))
-        sides[side] = checkpointed(hashed)
-    begun = sides["old"].select(*keys).unionByName(sides["new"].select(*keys)).distinct()
-    opened = begun.select(*keys, top.alias("a_parent"), top.alias("b_parent"))
-    results, level = [], 1
-    while not opened.isEmpty():
+        # Keys are only compared, and only what has none, or is an item, is read.
+        read = exact.isNull() | (F.col("type") == "item")
+        sides[side] = checkpointed(content_hashes(df, keys).select(
+            *keys, F.coalesce(F.col("parent_id").cast("bigint"), top).alias("parent_id"), (F.size("ancestors") + 1).alias("depth"),
+            F.col("place").alias("ord"), F.col("node_id").cast("bigint").alias("node_id"), "type", F.md5(exact.cast("binary")).alias("exact"),
+            F.coalesce(names, F.lit("")).alias("names"), F.when(read, said).alias("said"), "content", (F.col("size") > 1).alias("inner")))
+    results, opened, level = [], None, 1
+    while True:
         children = []
         for side, parent in zip(SIDES, ("a_parent", "b_parent")):
-            children.append(sides[side].withColumnRenamed("parent_id", parent).join(opened, [*keys, parent]).select(
-                *block, F.lit(side).alias("side"), F.row_number().over(
-                    Window.partitionBy(*block).orderBy("place")).cast("bigint").alias("ord"),
-                "node_id", "type", "name", "entities", "signatures", "text", "content", "size", "exact"))
-        rows = checkpointed(children[0].unionByName(children[1]).repartition(*block))
-        pairs = checkpointed(_paired_children(rows, block, threshold))
-        done = checkpointed(_settled(rows, pairs, block))
+            # A parent of this level was paired on the one before, so a node is read on the level of its own depth only.
+            own = sides[side].filter(F.col("depth") == level).withColumnRenamed("parent_id", parent)
+            other = "b_parent" if parent == "a_parent" else "a_parent"
+            met = own.withColumn(other, top) if opened is None else own.join(opened, [*keys, parent])
+            children.append(met.select(*block, F.lit(side).alias("side"), "ord", *CHILD))
+        done = checkpointed(_settled(children[0].unionByName(children[1]), block, threshold))
         results.append(done.withColumn("level", F.lit(level).cast("bigint")))
         opened = done.filter("change = 'edited' AND inner").select(
             *keys, F.col("a_id").alias("a_parent"), F.col("b_id").alias("b_parent"))
+        if opened.isEmpty():
+            break
         level += 1
-    if not results:
-        results = [begun.limit(0).select(*keys, *(F.lit(None).cast(kind).alias(name) for name, kind in (
-            ("a_id", "bigint"), ("b_id", "bigint"), ("change", "string"), ("by", "string"), ("moved", "bigint"), ("level", "bigint"))))]
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), results).select(
-        *keys, "level", "a_id", "b_id", "change", "by", "moved")
-
-
-def _settled(rows: DataFrame, pairs: DataFrame, block: list[str]) -> DataFrame:
-    """The children of paired parents in order: pairs that a shortest script keeps, the rest removed and added."""
-    scripted = R._matched_scripts(R._documents(rows.withColumn("mate", F.lit(None).cast("bigint")), block, pairs, exact=False))
-    steps = scripted.select(*block, F.explode("script").alias("_s")).select(
-        *block, F.when(F.col("_s.op") != R.INSERT, F.col("_s.a") + 1).cast("bigint").alias("i"),
-        F.when(F.col("_s.op") != R.DELETE, F.col("_s.b") + 1).cast("bigint").alias("j"))
-    mates = {side: pairs.select(*block, F.col(own).alias("ord"), F.col(other).alias("mate"), "by", F.lit(side).alias("side"))
-             for side, own, other in (("old", "i", "j"), ("new", "j", "i"))}
-    known = rows.join(mates["old"].unionByName(mates["new"]), [*block, "side", "ord"], "left")
-
-    def side(name, at, ident):
-        return known.filter(F.col("side") == name).select(
-            *block, F.col("ord").alias(at), F.col("node_id").alias(ident), F.col("content").alias(f"_{ident}"),
-            F.col("mate").alias(f"_m{ident}"), F.col("by").alias(f"_b{ident}"), (F.col("size") > 1).alias(f"_i{ident}"))
-    a, b = side("old", "i", "a_id"), side("new", "j", "b_id")
-    whole = steps.join(a, [*block, "i"], "left").join(b, [*block, "j"], "left")
-    other_a = b.select(*block, F.col("j").alias("_ma_id"), F.col("b_id").alias("_to"))
-    other_b = a.select(*block, F.col("i").alias("_mb_id"), F.col("a_id").alias("_from"))
-    whole = whole.join(other_a, [*block, "_ma_id"], "left").join(other_b, [*block, "_mb_id"], "left")
-    change = (F.when(F.col("j").isNull(), "removed").when(F.col("i").isNull(), "added")
-              .when(F.col("_a_id") == F.col("_b_id"), "same").otherwise("edited"))
-    paired = F.col("i").isNotNull() & F.col("j").isNotNull()
-    return whole.select(
-        *block[:-2], "a_id", "b_id", change.alias("change"), F.when(paired, F.col("_ba_id")).alias("by"),
-        F.when(F.col("j").isNull(), F.col("_to")).when(F.col("i").isNull(), F.col("_from")).alias("moved"),
-        (F.col("_ia_id") | F.col("_ib_id")).alias("inner"))
+    return reduce(DataFrame.unionByName, results).select(*keys, "level", "a_id", "b_id", "change", "by", "moved")
+
+
+def _settled(rows: DataFrame, block: list[str], threshold: float) -> DataFrame:
+    """The children of paired parents in order: pairs that a shortest script keeps, the rest removed and added.
+
+    The children of a pair of parents are one row, paired and scripted there.
+    """
+    whole = PR.listed(rows, block, CHILD)
+    lists = [[F.col(side)[c] for c in ("type", "exact", "names", "said")] for side in ("_old", "_new")]
+    scripted = whole.withColumn("_f", PP.settled_siblings(*lists, threshold)).withColumn("script", SQ.steps_of(F.col("_f.script")))
+    # Places of -1 are nowhere: no element, hence NULL.
+    at = lambda values, k: F.get(values, F.when(k >= 0, k))
+    reasons = F.array(*[F.lit(name) for name in PP.BY])
+
+    def step(s):
+        a, b = F.when(s["op"] != R.INSERT, F.get("_old", s["a"])), F.when(s["op"] != R.DELETE, F.get("_new", s["b"]))
+        moved = (F.when(s["op"] == R.DELETE, at(F.col("_new"), F.get("_f.to", s["a"]))["node_id"])
+                 .when(s["op"] == R.INSERT, at(F.col("_old"), F.get("_f.back", s["b"]))["node_id"]))
+        change = (F.when(s["op"] == R.DELETE, "removed").when(s["op"] == R.INSERT, "added")
+                  .when(a["content"] == b["content"], "same").otherwise("edited"))
+        return F.struct(
+            a["node_id"].alias("a_id"), b["node_id"].alias("b_id"), change.alias("change"),
+            F.when(s["op"] == R.KEEP, at(reasons, F.get("_f.by", s["a"]))).alias("by"), moved.alias("moved"),
+            (a["inner"] | b["inner"]).alias("inner"))
+    return scripted.select(*block[:-2], F.explode(F.transform("script", step)).alias("_s")).select(*block[:-2], "_s.*")
 
 
 def beneath(nodes: DataFrame, decided: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:

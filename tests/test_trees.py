@@ -148,3 +148,13 @@ def test_a_document_with_very_many_headings_folds_soon(spark):
         want[line] = (stack[-1] if stack else None, len(stack))
         stack.append(line)
     assert got == want and all(after[line] is None for line in stack)
+
+
+def test_hashes_meet_no_table_and_siblings_are_one_row(spark):
+    nodes = spark.createDataFrame(rows_of(1, grow(random.Random(5))), SCHEMA)
+    plan = TR.content_hashes(nodes, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    child = spark.createDataFrame([], "doc_id bigint, a_parent bigint, b_parent bigint, side string, ord bigint, node_id bigint, type string, "
+                                  "exact string, names string, said string, content string, inner boolean")
+    plan = TR._settled(child, ["doc_id", "a_parent", "b_parent"], 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
