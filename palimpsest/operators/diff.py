@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
+from palimpsest.functions import pairs as PP
 from palimpsest.functions import sequence as SQ
 from palimpsest.functions import text as X
 from palimpsest.operators import pairing as PR
@@ -135,52 +136,34 @@ def line_status(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFram
     return both.select(*keys, "i", "j", "text", status.alias("status"))
 
 
-def _matched_scripts(df: DataFrame) -> DataFrame:
-    """Add the script of rows n, m, pairs (i, j from 1): what a script cannot keep in order is removed and added."""
-    n, m = F.col("n").cast("int"), F.col("m").cast("int")
-    identity = (F.size("pairs") == n) & (n == m) & F.forall("pairs", lambda p: p["i"] == p["j"])
-    plain = (F.when((n > 0) & identity, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct(
-        F.lit(KEEP).alias("op"), (k - 1).alias("a"), (k - 1).alias("b"))))
-        .when((n == 0) & (m > 0), F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda k: F.struct(
-            F.lit(INSERT).alias("op"), F.lit(0).alias("a"), (k - 1).alias("b"))))
-        .when((m == 0) & (n > 0), F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.struct(
-            F.lit(DELETE).alias("op"), (k - 1).alias("a"), F.lit(0).alias("b")))))
-    settled = df.withColumn("_plain", plain)
-    unsettled = F.col("_plain").isNull()
-    i = F.when(unsettled, F.transform("pairs", lambda p: p["i"].cast("int") - 1))
-    j = F.when(unsettled, F.transform("pairs", lambda p: p["j"].cast("int") - 1))
-    return settled.withColumn("script", F.coalesce("_plain", SQ.script_of_matches(n, m, i, j))).drop("_plain")
+def _scripts(whole: DataFrame, same: Column, core) -> DataFrame:
+    """Add the script of ``_old`` and ``_new``: plain where a side is empty or where ``same`` holds, else by the core.
 
-
-def _documents(rows: DataFrame, keys: Sequence[str], pairs: DataFrame, exact: bool) -> DataFrame:
-    """One row per document: its texts on both sides in order, and the pairs found so far."""
-    def side(name):
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("ord", "text")))), lambda s: s["text"])
-    held = F.when((F.col("side") == "old") & F.col("mate").isNotNull(), F.struct(
-        F.col("ord").alias("i"), F.col("mate").alias("j"))) if exact else F.lit(None).cast("struct<i:bigint,j:bigint>")
-    whole = rows.groupBy(*keys).agg(side("old").alias("olds"), side("new").alias("news"), F.collect_list(held).alias("_exact"))
-    found = pairs.groupBy(*keys).agg(F.collect_list(F.struct(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))).alias("_alike"))
-    return whole.join(found, list(keys), "left").select(
-        *keys, "olds", "news", F.size("olds").alias("n"), F.size("news").alias("m"),
-        F.concat("_exact", F.coalesce("_alike", F.array().cast("array<struct<i:bigint,j:bigint>>"))).alias("pairs"))
+    ``core`` takes two functions: what it wraps of a side, so that a settled row hands the core NULLs.
+    """
+    plain = (F.when(F.size("_old") == 0, _one_sided(F.col("_new"), INSERT)).when(F.size("_new") == 0, _one_sided(F.col("_old"), DELETE))
+             .when(same, _kept_all(F.col("_old"))))
+    settled = whole.withColumn("_plain", plain)
+    open_only = lambda column: F.when(F.col("_plain").isNull(), column)
+    return settled.withColumn("script", F.coalesce("_plain", core(open_only))).drop("_plain")
 
 
 def diff_nodes(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = V.PAIRING_THRESHOLD) -> DataFrame:
     """(keys, pos, change, i, j, old_text, new_text): same, edited, removed and added nodes in reading order.
 
     Nodes pair by exact text, k-th with k-th, then by similar wording, first come first served; pairs out of order
-    are a removal and an addition. Both revisions are clustered by document once; the pairing, the words and the
-    script all follow that clustering. A revision missing on one side is an empty one.
+    are a removal and an addition. Both revisions of a document are one row, and what differs of it is paired and
+    scripted there. A revision missing on one side is an empty one.
     """
-    rows = PR.two_sides(old, new, keys, "line_no")
-    mated = PR.mated(rows, [*keys, "text"])
-    alike = PR.fit_in_group(PR.alike_in_document(mated.filter("mate IS NULL"), keys, threshold).drop("score"), keys)
-    whole = _matched_scripts(_documents(mated, keys, alike, exact=True))
+    whole = PR.listed(PR.two_sides(old, new, keys, "line_no"), keys, ["text"]).select(
+        *keys, PR.texts_of("_old").alias("_old"), PR.texts_of("_new").alias("_new"))
+    whole = _scripts(whole, F.col("_old") == F.col("_new"), lambda some: PP.script_of_nodes(
+        some(F.col("_old")), some(F.col("_new")), threshold))
     spelled = F.transform("script", lambda s: F.struct(
         s["op"].alias("op"), F.when(s["op"] != INSERT, s["a"] + 1).cast("bigint").alias("i"),
         F.when(s["op"] != DELETE, s["b"] + 1).cast("bigint").alias("j"),
-        F.when(s["op"] != INSERT, F.get("olds", s["a"])).alias("old_text"),
-        F.when(s["op"] != DELETE, F.get("news", s["b"])).alias("new_text")))
+        F.when(s["op"] != INSERT, F.get("_old", s["a"])).alias("old_text"),
+        F.when(s["op"] != DELETE, F.get("_new", s["b"])).alias("new_text")))
     change = (F.when(F.col("op") == DELETE, "removed").when(F.col("op") == INSERT, "added")
               .when(F.col("old_text") == F.col("new_text"), "same").otherwise("edited"))
     return whole.select(*keys, F.posexplode(spelled).alias("pos", "_s")).select(*keys, "pos", "_s.*").select(
@@ -251,16 +234,12 @@ def diff_alike(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: f
     Both sides: keys, ord from 1, text and the ``agree`` columns, which must be equal for two elements to match. With
     ``lone_pair``, a single element on each side matches whatever its words.
     """
-    rows = PR.two_sides(old, new, keys, "ord", agree)
-    whole = _documents(rows, keys, PR.alike_in_document(rows, keys, threshold, agree).select(*keys, "i", "j"), exact=False)
-    if lone_pair:
-        only = F.array(F.struct(F.lit(1).cast("bigint").alias("i"), F.lit(1).cast("bigint").alias("j")))
-        kinds = F.struct(*agree) if agree else F.lit(0)
-        one_kind = rows.groupBy(*keys).agg(F.min(kinds).eqNullSafe(F.max(kinds)).alias("_one_kind"))
-        lone = (F.col("n") == 1) & (F.col("m") == 1) & F.col("_one_kind")
-        whole = whole.join(one_kind, list(keys)).withColumn("pairs", F.when(lone, only).otherwise(F.col("pairs"))).drop(
-            "_one_kind")
-    return edits(_matched_scripts(whole), keys)
+    whole = PR.listed(PR.two_sides(old, new, keys, "ord", agree), keys, [*agree, "text"])
+    kinds = [PR.kinds_of(side, agree) for side in ("_old", "_new")]
+    lone = F.lit(lone_pair) & (F.size("_old") == 1) & (F.size("_new") == 1) & (kinds[0] == kinds[1])
+    scripted = _scripts(whole, lone, lambda some: PP.script_of_alike(
+        some(PR.texts_of("_old")), some(PR.texts_of("_new")), *map(some, kinds), threshold))
+    return edits(scripted, keys)
 
 
 def diff_code(df: DataFrame, keys: Sequence[str], a: str = "old_text", b: str = "new_text",

@@ -356,3 +356,22 @@ def test_short_scripts_do_without_numpy_and_are_the_same(monkeypatch):
     monkeypatch.setattr(SQ, "SHORT", 64)
     monkeypatch.setattr(SQ, "_step", None)
     assert [SQ.diff_values(a, b) for a, b in cases] == short
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_document_is_paired_and_scripted_in_one_row(spark):
+    old, new = corpus(spark, {1: ["a b", "c"]}), corpus(spark, {1: ["a b", "d"]})
+    listed = [d.withColumnRenamed("line_no", "ord") for d in (old, new)]
+    for df in (R.diff_nodes(old, new, ["doc_id"]), R.diff_alike(*listed, ["doc_id"], lone_pair=True)):
+        assert plan_of(df).count("Exchange hashpartitioning") == 1 and "Window" not in plan_of(df) and "Join" not in plan_of(df)
+
+
+def test_pairs_by_name_are_found_in_one_row(spark):
+    rows = [spark.createDataFrame([(1, "x", k, "a b") for k in range(3)], f"doc_id long, name string, {i} long, text string") for i in "ij"]
+    pairs = PR.pair_by_name(*rows, ["doc_id"])
+    plan = plan_of(pairs)
+    assert sorted((r.i, r.j, r.score) for r in pairs.collect()) == [(k, k, 1.0) for k in range(3)]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
