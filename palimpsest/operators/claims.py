@@ -103,10 +103,15 @@ def expression_tokens(text: Column | str) -> Column:
         """A standard qualifier stands at i: at the head of a chain, or behind a leading ``::``."""
         return F.coalesce((at(tokens, i) == "std") & (at(tokens, i + 1) == "::"), F.lit(False)) & (
             F.coalesce(at(tokens, i - 1) != "::", F.lit(True)) | (i == 1))
-    kept = F.filter(raw, lambda t, i: ~opens(raw, i) & ~opens(raw, i - 1) & ~((i == 0) & (t == "::") & opens(raw, i + 1)))
-    return F.transform(kept, lambda t, i: F.struct(t.alias("t"), (
-        t.rlike("^[A-Za-z0-9_]+$") & F.coalesce(at(kept, i - 1) != "::", F.lit(True))
-        & F.coalesce(at(kept, i + 1) != "::", F.lit(True))).alias("name")))
+    def kept(tokens):
+        return F.filter(tokens, lambda t, i: ~opens(tokens, i) & ~opens(tokens, i - 1) & ~((i == 0) & (t == "::") & opens(tokens, i + 1)))
+
+    def named(tokens):
+        return F.transform(tokens, lambda t, i: F.struct(t.alias("t"), (
+            t.rlike("^[A-Za-z0-9_]+$") & F.coalesce(at(tokens, i - 1) != "::", F.lit(True))
+            & F.coalesce(at(tokens, i + 1) != "::", F.lit(True))).alias("name")))
+    # A list of one binds the tokens to a variable: they are cut once, not again for every neighbour that is looked at.
+    return F.get(F.transform(F.transform(F.array(raw), kept), named), 0)
 
 
 def _spelled(tokens: Column, known: Column) -> Column:

@@ -1,5 +1,7 @@
 """Lint rules on hand-written rosters and claims."""
 
+from pyspark.sql import functions as F
+
 from palimpsest.operators import claims as C
 from palimpsest.operators import elements as E
 from palimpsest.operators import names as N
@@ -116,3 +118,11 @@ def test_aliases_are_replaced_inside_expressions(spark):
                                spark.createDataFrame(aliases, "doc_id bigint, alias string, value string")).collect()
     assert {r.text: r.expanded for r in got if r.doc_id == 1} == cases
     assert {r.doc_id: r.expanded for r in got if r.doc_id > 1} == {2: "other", 3: "T"}
+
+
+def test_an_expression_is_cut_into_tokens_once(spark):
+    import time
+    from palimpsest.operators import claims as C
+    begun = time.time()
+    long = spark.range(1).select(C.expression_tokens(F.lit("a + " * 3000 + "std::b")).alias("t")).select(F.size("t").alias("n"), F.col("t")[6000].alias("l")).first()
+    assert (long.n, tuple(long.l)) == (6001, ("b", True)) and time.time() - begun < 30
