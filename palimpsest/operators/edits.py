@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
 from palimpsest.operators import lines as L
-from palimpsest.operators.agreement import flag_rows
 
 
 def plan_edits(nodes: DataFrame, old_lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -45,11 +44,15 @@ def reconcile(listed: DataFrame, declared: DataFrame, keys: Sequence[str], flags
     ``listed``: keys, i, begin, text; ``declared``: keys, i and a boolean per attribute. ``constexpr`` and ``explicit``
     stand at the head of a line, in that order, and ``noexcept`` at its end; other attributes are reported, not written.
     """
-    held = flag_rows(declared, [*keys, "i"], flags).withColumnRenamed("held", "_want")
-    asked = listed.join(held, [*keys, "i"])
+    wanted = declared.select(*keys, "i", *[F.col(c).alias(f"_w{n}") for n, c in enumerate(flags.values())])
+    # A line meets its declaration once, the pattern only reads lines that hold the word's letters, and only what differs is a row.
+    asked = F.array(*[F.struct(
+        F.lit(word).alias("attribute"), (F.contains("text", F.lit(word)) & F.rlike(
+            "text", F.lit(f"{word}(?<![A-Za-z0-9_]{word})(?![A-Za-z0-9_])"))).alias("_has"),
+        F.col(f"_w{n}").alias("_want")) for n, word in enumerate(flags)])
+    found = listed.join(wanted, [*keys, "i"]).select(*listed.columns, F.explode(asked).alias("_f"))
+    differ = found.select(*listed.columns, "_f.*").filter("_has <> _want")
     word = F.col("attribute")
-    has = F.rlike("text", F.concat(F.lit("(^|[^A-Za-z0-9_])"), word, F.lit("($|[^A-Za-z0-9_])")))
-    differ = asked.withColumn("_has", has).filter("_has <> _want")
     tail = word == "noexcept"
     spelled = F.when(tail, F.concat(F.lit(" "), word)).otherwise(F.concat(word, F.lit(" ")))
     at = F.instr("text", spelled).cast("bigint") - 1

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest import vocabulary as V
 from palimpsest.functions import text as X
@@ -78,6 +80,20 @@ def splice(text: Column, spans: Column, replace: Callable[[Column, Column], Colu
     return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(text, tail, F.length(text)))
 
 
+@F.pandas_udf(T.StringType())
+def spliced(text: pd.Series, begin: pd.Series, end: pd.Series, replacement: pd.Series) -> pd.Series:
+    """Texts with the parts at ordered, disjoint places replaced, each in one pass: a column finds a place from the start."""
+    def one(whole, begins, ends, by):
+        if whole is None or any(value is None for value in by):
+            return None
+        parts, at = [], 0
+        for b, e, new in zip(begins.tolist(), ends.tolist(), by):
+            parts += [whole[at:b], new]
+            at = e
+        return "".join([*parts, whole[at:]])
+    return pd.Series([None if b is None else one(t, b, e, r) for t, b, e, r in zip(text, begin, end, replacement)], dtype=object)
+
+
 def substitute(texts: DataFrame, spans: DataFrame, keys: Sequence[str], replace: Callable[[Column, Column], Column],
                text: str = "text", length: str = "length") -> DataFrame:
     """Each text with its valid spans replaced; what is between them is kept as it is.
@@ -102,19 +118,20 @@ def apply_edits(texts: DataFrame, edits: DataFrame, keys: Sequence[str], text: s
     listed = edits.select(*keys, "begin", "end", "replacement").distinct().groupBy(*keys).agg(F.array_sort(
         F.collect_list(F.struct("begin", "end", "replacement"))).alias("_e"))
     joined = texts.join(listed, list(keys), "left")
-    whole = F.length(text)
     start = F.struct(F.lit(0).cast("bigint").alias("reach"), F.filter("_e", lambda e: F.lit(False)).alias("bad"))
-    weighed = F.aggregate("_e", start, lambda acc, e: F.struct(
+    # A list of one binds the length to a variable: it is counted once, not again for every edit.
+    weighed = F.get(F.transform(F.array(F.length(text)), lambda whole: F.aggregate("_e", start, lambda acc, e: F.struct(
         F.greatest(acc["reach"], e["end"].cast("bigint")).alias("reach"),
         F.when((e["begin"] < acc["reach"]) | (e["end"] < e["begin"]) | (e["end"] > whole),
-               F.array_append(acc["bad"], e)).otherwise(acc["bad"]).alias("bad")), lambda acc: acc["bad"])
+               F.array_append(acc["bad"], e)).otherwise(acc["bad"]).alias("bad")), lambda acc: acc["bad"])), 0)
     flagged = joined.withColumn("_bad", weighed)
     rejects = flagged.select(*keys, F.explode("_bad").alias("_z")).select(
         *keys, F.col("_z.begin").alias("begin"), F.col("_z.end").alias("end")).withColumn(
         "message", X.template(V.EDIT_OVERLAP, F.col("begin"), F.col("end")))
     good = flagged.filter(F.col("_e").isNull() | (F.size("_bad") == 0)).withColumn(
         text, F.when(F.col("_e").isNull(), F.col(text)).otherwise(
-            splice(F.col(text), F.col("_e"), lambda e, covered: e["replacement"])))
+            spliced(F.col(text), F.transform("_e", lambda e: e["begin"].cast("int")), F.transform("_e", lambda e: e["end"].cast("int")),
+                    F.col("_e")["replacement"])))
     return good.drop("_e", "_bad"), rejects
 
 
