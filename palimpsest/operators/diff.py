@@ -81,36 +81,22 @@ def mark_words(pairs: DataFrame, keys: Sequence[str], a: str = "old_text", b: st
     Kept words take the new spelling of the whitespace after them. The removal of a replacement loses its trailing
     whitespace, so its mark abuts the addition's.
     """
-    cut = pairs.select(*keys, tokens(a).alias("_wa"), tokens(b).alias("_wb")).withColumns({
-        "_a": F.transform("_wa", lambda w: X.rstripped(w)), "_b": F.transform("_wb", lambda w: X.rstripped(w))})
-    scripted = with_scripts(cut, "_a", "_b")
-    # The words ride along in the step itself, so no step is joined back to its text.
-    spelled = F.transform("script", lambda s: F.struct(
-        s["op"].alias("op"), s["a"].alias("a"), s["b"].alias("b"),
-        F.when(s["op"] == INSERT, F.lit("")).otherwise(F.get("_wa", s["a"])).alias("wa"),
-        F.when(s["op"] == DELETE, F.lit("")).otherwise(F.get("_wb", s["b"])).alias("wb")))
-    steps = scripted.select(*keys, F.posexplode(spelled).alias("pos", "_s")).select(*keys, "pos", "_s.*")
-    joined = join_islands(steps, keys, island, carry=["wa", "wb"])
-    spoken = joined.select(*keys, "pos", "op", F.when(F.col("op") == DELETE, F.col("wa")).otherwise(F.col("wb")).alias("w"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    run = F.sum(F.when(F.lag("op").over(w).eqNullSafe(F.col("op")), 0).otherwise(1)).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    runs = spoken.withColumn("run", run).groupBy(*keys, "run", "op").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda s: s["w"]), "").alias("text"))
-    change = F.when(F.col("op") == KEEP, "same").when(F.col("op") == DELETE, "removed").otherwise("added")
-    return settle_whitespace(runs.withColumn("change", change).drop("op"), keys)
+    found = pairs.select(*keys, SQ.runs_of_words(tokens(a), tokens(b), island).alias("_f"))
+    names = F.array(F.lit("same"), F.lit("removed"), F.lit("added"))
+    runs = F.transform("_f.change", lambda c, k: F.struct(
+        (k + 1).cast("bigint").alias("run"), F.get(names, c).alias("change"), F.get("_f.text", k).alias("text"),
+        ((c == 1) & F.coalesce(F.get("_f.change", k + 1) == 2, F.lit(False))).alias("replaced")))
+    return settle_whitespace(found.select(*keys, F.explode(runs).alias("_r")).select(*keys, "_r.*"), keys)
 
 
 def settle_whitespace(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, run, change, lead, text, trail): marks hold no whitespace at their ends."""
-    w = Window.partitionBy(*keys).orderBy("run")
+    """(keys, run, change, lead, text, trail): marks hold no whitespace at their ends. ``replaced``: an addition follows."""
     blank = "[ \\t\\r\\n]"
     changed = F.col("change") != "same"
-    replaced = (F.col("change") == "removed") & (F.lead("change").over(w) == "added")
     lead = F.when(changed, F.regexp_extract("text", f"^({blank}*)", 1)).otherwise("")
     rest = F.when(changed, F.regexp_replace("text", f"^{blank}+", "")).otherwise(F.col("text"))
-    return (runs.withColumn("_r", F.coalesce(replaced, F.lit(False))).withColumn("lead", lead).withColumn("_rest", rest)
-            .withColumn("trail", F.when(changed & ~F.col("_r"), F.regexp_extract("_rest", f"({blank}*)$", 1)).otherwise(""))
+    return (runs.withColumn("lead", lead).withColumn("_rest", rest)
+            .withColumn("trail", F.when(changed & ~F.col("replaced"), F.regexp_extract("_rest", f"({blank}*)$", 1)).otherwise(""))
             .withColumn("text", F.when(changed, F.regexp_replace("_rest", f"{blank}+$", "")).otherwise(F.col("text")))
             .select(*keys, "run", "change", "lead", "text", "trail"))
 

@@ -375,3 +375,27 @@ def test_pairs_by_name_are_found_in_one_row(spark):
     plan = plan_of(pairs)
     assert sorted((r.i, r.j, r.score) for r in pairs.collect()) == [(k, k, 1.0) for k in range(3)]
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan
+
+
+def test_words_are_marked_in_their_own_row(spark):
+    df = spark.createDataFrame([(1, "a b c d", "a x c y"), (2, None, "a")], "k long, old_text string, new_text string")
+    plan = plan_of(R.mark_words(df, ["k"]))
+    assert "Exchange" not in plan and "Window" not in plan
+    rng = random.Random(41)
+    for _ in range(60):  # the runs are those that the joined steps of the same words make
+        a, b = ([rng.choice("abc") + " " for _ in range(rng.randint(0, 12))] for _ in range(2))
+        runs = SQ.word_runs(a, b, 2)
+        assert "".join(t for c, t in runs if c != 1) == "".join(b)
+        assert "".join(t for c, t in runs if c != 2) == "".join(a)
+        assert all(x != y for (x, _), (y, _) in zip(runs, runs[1:])) and all((x, y) != (2, 1) for (x, _), (y, _) in zip(runs, runs[1:]))
+
+
+def test_attribute_words_are_found_whole(spark):
+    texts = ["constexpr f()", "xconstexpr f()", "f() constexpr", "constexpr_ f()", "(constexpr)", "constexprconstexpr", "_constexpr constexpr", ""]
+    listed = spark.createDataFrame([(1, i, 0, t) for i, t in enumerate(texts)], "doc_id long, i long, begin long, text string")
+    declared = spark.createDataFrame([(1, i, False) for i in range(len(texts))], "doc_id long, i long, c boolean")
+    edits, rest = ED.reconcile(listed, declared, ["doc_id"], {"constexpr": "c"})
+    plan = plan_of(edits)
+    found = {i for i, t in enumerate(texts) if re.search("(^|[^A-Za-z0-9_])constexpr($|[^A-Za-z0-9_])", t)}
+    assert {r.i for r in rest.collect()} == {2, 4} and found == {0, 2, 4, 6} and edits.count() == 2
+    assert "Contains(text" in plan or "contains(text" in plan.lower()
