@@ -45,19 +45,23 @@ def alike_pairs(a, b, minimum, kinds_a=None, kinds_b=None):
     often = Counter()
     for s in (*a, *b):
         often.update(s or ())
-
-    def opening(s, kind):
-        if not s:
-            return [] if s is None else [(kind, None)]
-        rare = sorted(sorted(s), key=often.__getitem__)
-        return [(kind, w) for w in rare[:len(s) - math.ceil(len(s) * minimum - 1e-9) + 1]]
-    index = defaultdict(list)
-    for y, s in enumerate(b):
-        for w in opening(s, kinds_b and kinds_b[y]):
+    # A word is its place from the rarest on, so sets are short lists of numbers.
+    place = {w: k for k, w in enumerate(sorted(often, key=often.__getitem__))}
+    ranked = [[None if s is None else sorted(map(place.__getitem__, s)) for s in side] for side in (a, b)]
+    a, b = ([None if r is None else set(r) for r in side] for side in ranked)
+
+    def opening(r):
+        """The words a set must share one of; one without words has a word of its own."""
+        return [] if r is None else r[:len(r) - math.ceil(len(r) * minimum - 1e-9) + 1] or [-1]
+    kinds = defaultdict(lambda: defaultdict(list))
+    for y, r in enumerate(ranked[1]):
+        index = kinds[kinds_b and kinds_b[y]]
+        for w in opening(r):
             index[w].append(y)
     found = []
     for x, s in enumerate(a):
-        met = [index[w] for w in opening(s, kinds_a and kinds_a[x]) if w in index]
+        index = kinds.get(kinds_a and kinds_a[x], {})
+        met = [index[w] for w in opening(ranked[0][x]) if w in index]
         for y in sorted(set().union(*met)):
             t = b[y]
             if len(s) < len(t) * minimum - 1e-9 or len(t) < len(s) * minimum - 1e-9:
