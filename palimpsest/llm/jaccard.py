@@ -10,14 +10,15 @@ first parts with an empty subset could be all those that agree is signed again u
 until it has fewer. Of two alike sets the one that stops first is signed in full where the other is signed as well,
 hence they share a signature that is not empty. The join is exact up to 64-bit hash collisions.
 
-Equal sets are one class from the start. A bucket of a signature is not expanded into pairs: each class is first
-compared with the least class of each of its buckets, and of those that pass a bound on sizes and a bound from 256
-parity bits of each set it is verified with the one it shares most signatures with. In further rounds each component
-proposes its best untested pair with another component of some bucket, until a round finds no link. That settles groups
-of near copies with about one comparison for each class. Only buckets that still hold several components are then
-compared between components, all pairs that the bounds let pass. Every link is verified by exact intersection. Sets are
-made again for the classes to verify, picked out by a bit table of fixed size, and so neither texts nor the sets of all
-documents are shuffled.
+Equal sets are one class from the start. All signatures with the same least class are one bucket: two classes that share
+a signature share its least class, so no pair is lost, and near copies that share hundreds of signatures meet in a few
+buckets. A bucket is not expanded into pairs: each class is first compared with the least class of each of its buckets,
+and of those that pass a bound on sizes and a bound from 1,024 parity bits of each set it is verified with the one it
+shares most signatures with. In further rounds each component proposes its best untested pair with another component of
+some bucket, until a round finds no link. That settles groups of near copies with about one comparison for each class.
+Only buckets that still hold several components are then compared between components, all pairs that the bounds let
+pass. Every link is verified by exact intersection. Sets are made again for the classes to verify, picked out by a bit
+table of fixed size, and so neither texts nor the sets of all documents are shuffled.
 
 Null and blank texts have the empty set, size 0, and link with nothing: their component is their own id. Rows with a
 null id keep their size; their component is null and they link nothing. Repeated rows are members of one class. An
@@ -41,7 +42,7 @@ from palimpsest.llm.components import components
 from palimpsest.session import shared_folder
 
 PERCENT = 80
-SKETCH = 4  # words of 64 parity bits
+SKETCH = 16  # words of 64 parity bits
 BITS = [f"bits{i}" for i in range(SKETCH)]
 WANTED_BITS = 24
 TURNS = 2  # rounds of proposals at most; what they leave is compared in full
@@ -218,7 +219,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike enough, by exact intersection."""
     one = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("one"))
-    two = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("two"))
+    two = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("two")).join(
+        pairs.select("b").distinct(), "b", "left_semi")  # sets of no pair are not shuffled
     both = pairs.join(one, "a").join(two, "b")
     met = F.size(F.array_intersect("one", "two")).cast("bigint")
     whole = (F.size("one") + F.size("two")).cast("bigint")
@@ -230,11 +232,11 @@ def _keys(pairs: DataFrame) -> DataFrame:
 
 
 def _open_buckets(shared: DataFrame, component: DataFrame) -> DataFrame:
-    """signature, set_key and component of the buckets that hold several components."""
-    bucket = Window.partitionBy("signature")
-    held = shared.select("signature", "set_key").join(
+    """least, set_key, times and component of the buckets that hold several components."""
+    bucket = Window.partitionBy("least")
+    held = shared.select("least", "set_key", "times").join(
         component.withColumnRenamed("id", "set_key"), "set_key", "left").select(
-        "signature", "set_key", F.coalesce("component", "set_key").alias("component"))
+        "least", "set_key", "times", F.coalesce("component", "set_key").alias("component"))
     return held.withColumn("low", F.min("component").over(bucket)).withColumn(
         "high", F.max("component").over(bucket)).filter(F.col("low") < F.col("high")).drop("low", "high")
 
@@ -251,17 +253,17 @@ def _proposals(open_buckets: DataFrame, traits: DataFrame, tested: DataFrame, tu
 
     A bucket has two delegates of different components, drawn by a hash that changes with ``turn``.
     """
-    bucket = Window.partitionBy("signature")
+    bucket = Window.partitionBy("least")
     drawn = F.struct(F.xxhash64(F.lit(turn), "set_key").alias("h"), "set_key", "component")
     first = open_buckets.withColumn("one", F.min(drawn).over(bucket))
     second = first.withColumn("two", F.min(F.when(F.col("component") != F.col("one.component"), drawn)).over(bucket))
     met = second.select(
-        "component", F.col("set_key").alias("a"),
+        "component", "times", F.col("set_key").alias("a"),
         F.when(F.col("component") != F.col("one.component"), F.col("one.set_key")).otherwise(
-            F.col("two.set_key")).alias("b")).groupBy("component", "a", "b").count()
+            F.col("two.set_key")).alias("b")).groupBy("component", "a", "b").agg(F.sum("times").alias("times"))
     fresh = met.join(tested, ["a", "b"], "left_anti")
     return _plausible(fresh, traits, percent).groupBy("component").agg(
-        F.max(F.struct("count", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+        F.max(F.struct("times", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
 
 
 def _may_be_alike(x: str, y: str, percent: int) -> Column:
@@ -282,22 +284,23 @@ def links(docs: DataFrame, classes: DataFrame, text: str = "text",
     """
     bucket = Window.partitionBy("signature")
     shared = written(signed(docs, text, percent).select(
-        "signature", "set_key", F.min("set_key").over(bucket).alias("least"),
-        F.max("set_key").over(bucket).alias("most")).filter(F.col("least") < F.col("most")).select(
-        "signature", "set_key", "least").distinct(), "buckets")
+        "set_key", F.min("set_key").over(bucket).alias("least"),
+        F.max("set_key").over(bucket).alias("most")).filter(F.col("least") < F.col("most")).groupBy(
+        "least", "set_key").agg(F.count("*").alias("times")), "buckets")
 
     traits = classes.select("set_key", "size", *BITS)
-    met = written(_plausible(shared.filter(F.col("set_key") != F.col("least")).groupBy(
-        F.col("set_key").alias("a"), F.col("least").alias("b")).count(), traits, percent), "met")
+    met = written(_plausible(shared.filter(F.col("set_key") != F.col("least")).select(
+        F.col("set_key").alias("a"), F.col("least").alias("b"), "times"), traits, percent), "met")
     known = _keys(met)
     sets = written(_sets(docs, known, text), "sets")
-    tested = written(met.groupBy("a").agg(F.max(F.struct("count", "b"))["b"].alias("b")), "tested")
+    tested = written(met.groupBy("a").agg(F.max(F.struct("times", "b"))["b"].alias("b")), "tested")
     found = written(_verified(tested, sets, percent), "links")
     component = components(found)
     inside = shared.join(known, "set_key", "left_semi")
+    near = written(traits.join(known, "set_key", "left_semi"), "near")
     for turn in range(TURNS):
         inside = written(_open_buckets(inside, component), "open")  # a bucket that is settled stays so
-        proposed = written(_proposals(inside, traits, tested, turn, percent), "proposed")
+        proposed = written(_proposals(inside, near, tested, turn, percent), "proposed")
         more = written(_verified(proposed, sets, percent), "links")
         if more.isEmpty():
             break
@@ -306,12 +309,13 @@ def links(docs: DataFrame, classes: DataFrame, text: str = "text",
 
     held = _open_buckets(shared, component).join(traits, "set_key")
     x, y = held.alias("x"), held.alias("y")
-    crossing = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.set_key") < F.col("y.set_key"))
+    crossing = x.join(y, (F.col("x.least") == F.col("y.least")) & (F.col("x.set_key") < F.col("y.set_key"))
                       & (F.col("x.component") != F.col("y.component")) & _may_be_alike("x", "y", percent)).select(
         F.col("x.set_key").alias("a"), F.col("y.set_key").alias("b")).distinct()
     both = tested.union(tested.select("b", "a"))
     crossing = written(crossing.join(both, ["a", "b"], "left_anti"), "crossing")
-    more = written(_verified(crossing, _sets(docs, _keys(crossing), text), percent), "links")
+    sets = written(_sets(docs, _keys(crossing), text), "sets")
+    more = written(_verified(crossing, sets, percent), "links")
     found = found.union(more)
     return found, component if more.isEmpty() else components(found)
 

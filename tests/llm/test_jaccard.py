@@ -75,6 +75,28 @@ def test_groups_equal_brute_force(spark):
     assert len(set(got.values())) < len(rows)
 
 
+def test_near_misses_meet_once_and_few_are_verified(spark, monkeypatch):
+    """Texts too far apart to link, which share hundreds of signatures: few bucket rows, nearly no pair left to verify."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(36):
+        words = list(base)
+        for k in rng.sample(range(400), 7):
+            words[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    held, write = {}, J.written
+
+    def counted(df, name):
+        out = write(df, name)
+        held[name] = max(held.get(name, 0), out.count())
+        return out
+    monkeypatch.setattr(J, "written", counted)
+    got = {r.doc_id: r.component_id for r in J.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows) and len(set(got.values())) > 18
+    assert held["buckets"] < 36 * 36 and held["crossing"] < 36
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one\ntwo"), (6, "two one"), (7, "a b c d e f"),
             (7, "a b c d e f"), (None, "a b c d e f"), (8, "A B C D E F"), (9, "é " * 30000), (10, "é " * 29990)]
