@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest import vocabulary as V
 from palimpsest.functions import text as X
-from palimpsest.session import checkpointed
 
 FLAGS = [name for name, _ in V.ATTRIBUTES]
 
@@ -71,26 +71,54 @@ def against_parents(unpaired: DataFrame, parents: DataFrame, flags: dict[str, st
     return found.unionByName(alone)
 
 
+def _matched(asks: list, offers: list) -> list[tuple]:
+    """(ask_id, distance, scope, offer_id) of one name: the rounds of ``nearest_scope``."""
+    order = lambda v: (v is not None, v)
+    free: dict = {}
+    for scope, offer in sorted(((o["scope"], o["offer_id"]) for o in offers if o["scope"] is not None),
+                               key=lambda o: order(o[1]), reverse=True):
+        free.setdefault(scope, []).append(offer)
+    left = sorted(((a["ask_id"], a["scopes"]) for a in asks), key=lambda a: order(a[0]))
+    found, distance = [], 0
+    while left:
+        done = set()
+        for ask, scopes in left:
+            if distance < len(scopes) and free.get(scopes[distance]):
+                found.append((ask, distance, scopes[distance], free[scopes[distance]].pop()))
+                done.add(ask)
+        distance += 1
+        left = [a for a in left if a[0] not in done and distance < len(a[1])]
+    return found
+
+
 def nearest_scope(asked: DataFrame, offered: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each asking row with an offer of its name in the innermost enclosing scope that still has one.
 
     ``asked``: keys, ask_id, name, scopes (innermost first). ``offered``: keys, scope, name, offer_id. An offer is used
     once. Rounds go outwards: at each distance the k-th row that still asks meets the k-th offer still free in its scope,
-    and what is left over looks one scope further out. There are as many rounds as the deepest row has scopes.
+    and what is left over looks one scope further out. Names do not meet, so the rows of one name, a document's worth,
+    are one row and its rounds are walked there: each side is shuffled once, whatever the depth.
     """
-    block = [*keys, "scope", "name"]
-    offers = checkpointed(offered.select(*block, "offer_id").distinct())
-    up = asked.select(*keys, "ask_id", "name", F.posexplode("scopes").alias("distance", "scope"))
-    up = checkpointed(up.join(offers.select(*block).distinct(), block, "left_semi"))
-    farthest = up.agg(F.max("distance")).first()[0]
-    taken = checkpointed(up.join(offers, block).limit(0).select(*keys, "ask_id", "name", "distance", "scope", "offer_id"))
-    for distance in range(0 if farthest is None else farthest + 1):
-        asks = up.filter(F.col("distance") == distance).join(taken.select(*keys, "ask_id"), [*keys, "ask_id"], "left_anti")
-        free = offers.join(taken.select(*block, "offer_id"), [*block, "offer_id"], "left_anti")
-        nth = lambda order: F.row_number().over(Window.partitionBy(*block).orderBy(order))
-        met = asks.withColumn("_k", nth("ask_id")).join(free.withColumn("_k", nth("offer_id")), [*block, "_k"])
-        taken = checkpointed(taken.unionByName(met.select(*taken.columns)))
-    return taken
+    types = {f.name: f.dataType.simpleString() for f in [*asked.schema, *offered.schema]}
+    block = [*keys, "name"]
+    asks = asked.filter(F.size("scopes") > 0).groupBy(*block).agg(F.collect_list(F.struct("ask_id", "scopes")).alias("_a"))
+    offers = offered.groupBy(*block).agg(F.collect_set(F.struct("scope", "offer_id")).alias("_o"))
+
+    def run(batches):
+        for batch in batches:
+            own = [batch.column(c) for c in block]
+            met = [_matched(a, o) for a, o in zip(batch.column("_a").to_pylist(), batch.column("_o").to_pylist(), strict=True)]
+            row = pa.array([i for i, rows in enumerate(met) for _ in rows], pa.int32())
+            flat = [r for rows in met for r in rows]
+            side = batch.schema.field("_a").type.value_type, batch.schema.field("_o").type.value_type
+            kinds = [side[0].field("ask_id").type, pa.int32(), side[1].field("scope").type, side[1].field("offer_id").type]
+            yield pa.RecordBatch.from_arrays(
+                [c.take(row) for c in own] + [pa.array([r[i] for r in flat], kind) for i, kind in enumerate(kinds)],
+                [*block, "ask_id", "distance", "scope", "offer_id"])
+    shape = [*[(c, types[c]) for c in block], ("ask_id", types["ask_id"]), ("distance", "int"), ("scope", types["scope"]),
+             ("offer_id", types["offer_id"])]
+    return asks.join(offers, block).mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in shape)).select(
+        *keys, "ask_id", "name", "distance", "scope", "offer_id")
 
 
 def nth_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], key: str) -> DataFrame:

@@ -106,6 +106,18 @@ def test_an_offer_goes_to_one_row_and_the_rest_look_further_out(spark):
     assert A.nearest_scope(empty, spark.createDataFrame(offers, "doc_id bigint, scope string, name string, offer_id bigint"), ["doc_id"]).collect() == []
 
 
+def test_scopes_of_any_depth_are_one_job(spark):
+    from palimpsest.operators import agreement as A
+    deep = [(1, i, "a", [f"s{k}" for k in range(8)]) for i in range(3)]
+    asks = spark.createDataFrame(deep, "doc_id bigint, ask_id bigint, name string, scopes array<string>")
+    offers = spark.createDataFrame([(1, "s7", "a", 5), (1, "s7", "a", 5), (1, "s6", "a", 9), (1, None, "a", 1)], "doc_id bigint, scope string, name string, offer_id bigint")
+    spark.sparkContext.setJobGroup("scopes", "nearest scope")
+    got = A.nearest_scope(asks, offers, ["doc_id"])
+    begun = spark.sparkContext.statusTracker().getJobIdsForGroup("scopes")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, "a", 6, "s6", 9), (1, 1, "a", 7, "s7", 5)]
+    assert list(begun) == []  # no round is run while the plan is made
+
+
 def test_aliases_are_replaced_inside_expressions(spark):
     from palimpsest.operators import claims as C
     aliases = [(1, "T", "remove_cvref_t<U>"), (1, "V", "T const"), (1, "A", "B"), (1, "B", "f(A)"), (1, "D", "A x"), (1, "twice", "1"), (1, "twice", "2"),
