@@ -235,7 +235,9 @@ def diff_code(df: DataFrame, keys: Sequence[str], a: str = "old_text", b: str =
     Inside a change the k-th removed line meets the k-th added one and the two are merged when they read alike. A
     change with different line counts that reads nearly the same as a whole is the same code laid out anew.
     """
-    lines = df.select(*keys, X.lines_of(a).alias("_a"), X.lines_of(b).alias("_b"))
+    # A listing with no line left is the empty text.
+    of = lambda side: F.when(F.col(side) == "", F.array().cast("array<string>")).otherwise(X.lines_of(side))
+    lines = df.select(*keys, of(a).alias("_a"), of(b).alias("_b"))
     scripted = with_scripts(lines, "_a", "_b")
     spelled = F.transform("script", lambda s: F.struct(
         s["op"].alias("op"), s["a"].alias("a"), s["b"].alias("b"),
