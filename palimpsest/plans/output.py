@@ -164,7 +164,9 @@ def planned_edits(t):
     """The old sources with the edits planned from the revision diff applied: the new sources."""
     old, new = D.revision_lines(t)
     nodes = R.diff_nodes(old, new, ["doc_id"])
-    texts = t.documents.select("doc_id", F.concat("text", F.lit("\n")).alias("text"))
+    # The source is its lines with a newline after each; a NULL text has none.
+    texts = t.documents.select("doc_id", F.when(F.col("text").endswith("\n"), F.col("text")).otherwise(
+        F.coalesce(F.concat("text", F.lit("\n")), F.lit(""))).alias("text"))
     done, _ = P.apply_edits(texts, ED.plan_edits(nodes, old, ["doc_id"]), ["doc_id"])
     return done.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))
 
