@@ -127,11 +127,12 @@ def expand_expressions(expressions: DataFrame, aliases: DataFrame, keys: Sequenc
     """``expressions`` (keys, expr_id, text) with ``expanded``: all aliases in it replaced, to the end, all at once.
 
     ``aliases``: keys, alias, value. An alias introduced twice is none. One that hangs on a cycle has no expansion, and an
-    expression that names it stays as written. Each round settles the aliases whose own names are all settled, so there are
+    expression that names it stays as written. Rows whose key is NULL introduce none. Each round settles the aliases whose own names are all settled, so there are
     as many rounds as aliases stand on one another.
     """
     keys = list(keys)
-    once = aliases.groupBy(*keys, "alias").agg(F.count("*").alias("_n"), F.first("value").alias("value")).filter("_n = 1")
+    once = aliases.dropna(subset=keys).groupBy(*keys, "alias").agg(
+        F.count("*").alias("_n"), F.first("value").alias("value")).filter("_n = 1")
     given = checkpointed(once.select(*keys, "alias", expression_tokens("value").alias("_t")))
     names = given.select(*keys, F.col("alias").alias("ref"))
 
