@@ -119,6 +119,10 @@ new_lines AS (
 
 def revisions(t) -> DataFrame:
     """(doc_id, old_text, new_text): each document and a revision whose edits its own lines decide."""
+    return revised(t.documents)
+
+
+def revised(docs: DataFrame) -> DataFrame:
     def edit(line):
         k, gap = F.length(line) % 9, F.instr(line, " ")
         rest = F.substring(line, gap + 1, F.length(line))
@@ -133,7 +137,7 @@ def revisions(t) -> DataFrame:
                 .otherwise(F.array(edit(line))))
 
     new = F.flatten(F.transform(F.split("text", "\n", -1), revised))
-    return t.documents.select("doc_id", F.col("text").alias("old_text"), F.array_join(new, "\n").alias("new_text"))
+    return docs.select("doc_id", F.col("text").alias("old_text"), F.array_join(new, "\n").alias("new_text"))
 
 
 def revision_lines(t) -> tuple[DataFrame, DataFrame]:
